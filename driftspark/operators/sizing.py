@@ -1,0 +1,11 @@
+"""Size checks that go before a broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def within(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; stops reading at the first row too many."""
+    return df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= rows
