@@ -84,9 +84,15 @@ def is_property(trail: Column) -> Column:
     return F.substring(trail, -1, 1) == "p"
 
 
+def parent_path(node_path: Column) -> Column:
+    """Path without its last segment; the root is its own parent."""
+    return F.slice(node_path, F.lit(1), F.greatest(F.size(node_path) - 1, F.lit(0)))
+
+
 def prefixes(node_path: Column) -> Column:
-    """All proper prefixes of a path, the root first."""
-    return F.transform(F.sequence(F.lit(0), F.size(node_path) - 1), lambda n: F.slice(node_path, 1, n))
+    """All proper prefixes of a path, the root first. Total, as the optimizer may evaluate it before any filter."""
+    lengths = F.when(F.size(node_path) > 0, F.sequence(F.lit(0), F.greatest(F.size(node_path) - 1, F.lit(0))))
+    return F.transform(F.coalesce(lengths, F.array().cast("array<int>")), lambda n: F.slice(node_path, 1, n))
 
 
 def schema_to_nodes(
@@ -189,9 +195,9 @@ def schema_to_nodes(
 
 
 def json_quote(text: Column) -> Column:
-    """JSON string literal of a text column."""
+    """JSON string literal of a text column; SQL NULL stays NULL."""
     wrapped = F.to_json(F.array(text))
-    return wrapped.substr(F.lit(2), F.length(wrapped) - 2)
+    return F.when(text.isNotNull(), wrapped.substr(F.lit(2), F.length(wrapped) - 2))
 
 
 def nodes_to_schema(nodes: DataFrame, annotations: str = "x-contract") -> DataFrame:
@@ -203,7 +209,7 @@ def nodes_to_schema(nodes: DataFrame, annotations: str = "x-contract") -> DataFr
     where = [*ENDPOINT, "location"]
     required = (
         nodes.where("required")
-        .groupBy(*where, F.slice("node_path", 1, F.size("node_path") - 1).alias("node_path"))
+        .groupBy(*where, parent_path(F.col("node_path")).alias("node_path"))
         .agg(F.array_join(F.transform(F.array_sort(F.collect_set("name")), json_quote), ",").alias("names"))
     )
     # oneOf#10 must follow oneOf#9: alternatives sort by number, properties by name.

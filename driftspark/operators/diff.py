@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.model import ENDPOINT, Contract
+from driftspark.model import ENDPOINT, Contract, parent_path
 
 BREAKING, NON_BREAKING, ADDITIVE = "breaking", "non-breaking", "additive"
 CHANGE = [*ENDPOINT, "field", "change_type", "kind", "message"]
@@ -89,21 +89,29 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
 
     both = side(old, "o").join(side(new, "n"), [*_WHERE, "node_path"], "full_outer")
     o, n = F.col("o"), F.col("n")
+    changed = both.where(
+        "o is not null and n is not null and size(node_path) > 0 and (o.type <> n.type or o.required <> n.required)"
+    )
 
-    shared = both.where("o is not null and n is not null")
-    changed = shared.where("size(node_path) > 0 and (o.type <> n.type or o.required <> n.required)")
-
-    parent = F.slice("node_path", 1, F.size("node_path") - 1)
-    one_sided = both.where("o is null or n is null")
-    parents = shared.where(f"size(node_path) < {max_depth}").select(*_WHERE, F.col("node_path").alias("parent"))
-    loose_fields = (
-        one_sided.where("size(node_path) > 0")
-        .withColumn("parent", parent)
-        .join(parents, [*_WHERE, "parent"], "left_semi")
-        .drop("parent")
+    # A one-sided field counts below a parent both sides have, a one-sided schema on an endpoint both
+    # sides have. Endpoints stand in as the parent of their root, a path no real node has.
+    above_root = F.array(F.lit(None).cast("string"))
+    inner = F.size("node_path") < max_depth
+    parents = (
+        old.nodes.where(compared & in_reach & inner).select(*_WHERE, "node_path")
+        .join(new.nodes.where(compared & in_reach & inner).select(*_WHERE, "node_path"), [*_WHERE, "node_path"])
+        .withColumn("parent", F.coalesce("node_path", above_root))
+        .select(*_WHERE, "parent")
+    )
+    matched = old.endpoints.select(*ENDPOINT).join(new.endpoints.select(*ENDPOINT), ENDPOINT).select(
+        *ENDPOINT, F.explode(F.array(*[F.lit(x) for x in COMPARED])).alias("location"), above_root.alias("parent")
+    )
+    at_root = F.size("node_path") == 0
+    loose = (
+        both.where("o is null or n is null")
+        .withColumn("parent", F.when(at_root, above_root).otherwise(parent_path(F.col("node_path"))))
+        .join(parents.unionByName(matched), [*_WHERE, "parent"], "left_semi")
     )
-    matched = old.endpoints.select(*ENDPOINT).join(new.endpoints.select(*ENDPOINT), ENDPOINT, "left_semi")
-    loose_roots = one_sided.where("size(node_path) = 0").join(matched, ENDPOINT, "left_semi")
 
     request = F.col("location") != "response"
     field = F.concat_ws(".", F.col("location"), F.array_join("node_path", "."))
@@ -155,16 +163,14 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
         request & n["required"],
         change("required_field_added", BREAKING, quoted('Required field "%s" was added to request body')),
     ).otherwise(change("field_added", NON_BREAKING, quoted('Field "%s" was added')))
-    fields = loose_fields.select(*ENDPOINT, field.alias("field"), F.when(n.isNull(), removed).otherwise(added).alias("c"))
-
     schema_added = change("schema_added", F.when(request, ADDITIVE).otherwise(NON_BREAKING), _message("%s schema added", field))
     schema_removed = change("schema_removed", BREAKING, _message("%s schema removed", field))
-    schemas = loose_roots.select(
-        *ENDPOINT, field.alias("field"), F.when(n.isNull(), schema_removed).otherwise(schema_added).alias("c")
-    )
-    return two_sided.unionByName(fields).unionByName(schemas).select(
-        *ENDPOINT, "field", "c.change_type", "c.kind", "c.message"
+    gone = n.isNull()
+    one_sided = loose.select(
+        *ENDPOINT, field.alias("field"),
+        F.when(at_root & gone, schema_removed).when(at_root, schema_added).when(gone, removed).otherwise(added).alias("c"),
     )
+    return two_sided.unionByName(one_sided).select(*ENDPOINT, "field", "c.change_type", "c.kind", "c.message")
 
 
 def diff_contracts(

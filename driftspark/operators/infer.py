@@ -223,23 +223,24 @@ def observed_nodes(
     """One node row per path out of :func:`observed_types`.
 
     Where samples disagree, the earliest type stays, as it would when samples are merged one after
-    the other; nodes that hang below a type that lost are removed with it.
+    the other; nodes that hang below a type that lost are removed with it. ``types`` is read
+    several times: settle it first when it comes straight from payloads.
     """
     if widen_numbers:
         widened = F.when(F.col("type") == "integer", "number").otherwise(F.col("type"))
         types = types.withColumn("type", widened)
     node = [*keys, "node_path"]
-    first = Window.partitionBy(*node).orderBy(
-        F.col("type").isNull(), "first_seen", F.col("samples").desc(), "type", "trail"
+    group = Window.partitionBy(*node)
+    first = group.orderBy(F.col("type").isNull(), "first_seen", F.col("samples").desc(), "type", "trail")
+    chosen = (
+        types.withColumn("rank", F.row_number().over(first))
+        .withColumn("kinds", F.count(F.lit(1)).over(group))
+        .where("rank = 1")
+        .drop("rank")
     )
-    chosen = types.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank")
-    # Ancestors that changed type or kind: only these can orphan a node.
-    disputed = (
-        types.groupBy(*node)
-        .agg(F.count_distinct(F.struct("trail", F.coalesce("type", F.lit("")))).alias("kinds"))
-        .where("kinds > 1")
-        .join(chosen, node)
-        .select(*keys, F.col("node_path").alias("prefix"), F.col("trail").alias("p_trail"), F.col("type").alias("p_type"))
+    # Ancestors seen with several types or kinds: only these can orphan a node.
+    disputed = chosen.where("kinds > 1").select(
+        *keys, F.col("node_path").alias("prefix"), F.col("trail").alias("p_trail"), F.col("type").alias("p_type")
     )
     letter = F.col("trail").substr(F.length("p_trail") + 1, F.lit(1))
     fits = (

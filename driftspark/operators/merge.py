@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.model import ENDPOINT, NODE, NODE_ATTRIBUTES, Contract, as_nodes, is_property, prefixes
+from driftspark.model import ENDPOINT, NODE, NODE_ATTRIBUTES, Contract, as_nodes, is_property, parent_path, prefixes
 
 SAMPLED = "sampled"
 _WHERE = [*ENDPOINT, "location"]
@@ -48,7 +48,7 @@ def plan_merge(
     if learn_empty_items:
         options = (
             baseline.where("trail like '%o'")
-            .groupBy(*_WHERE, F.slice("node_path", 1, F.size("node_path") - 1).alias("node_path"))
+            .groupBy(*_WHERE, parent_path(F.col("node_path")).alias("node_path"))
             .agg(F.count(F.lit(1)).alias("b_alternatives"))
         )
         b_side = _side(baseline, "b").join(options, NODE, "left").fillna(0, ["b_alternatives"])

@@ -7,6 +7,8 @@ Signals inside handlers (R9-R12) are read with patterns, so comments and strings
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,11 +139,11 @@ def resolve_paths(routes: DataFrame, params: Column) -> DataFrame:
     return routes.select("*", F.array_join(filled, "").alias("resolved"), missing.alias("missing"))
 
 
-def _by_method(column, method: Column = F.col("method")) -> Column:
+def _by_method(column: Callable[[str], Column]) -> Column:
     """``column(m)`` for the row's own method m; patterns stay literals and are compiled once."""
     out = F.lit(None)
     for m in METHODS:
-        out = F.when(method == m, column(m)).otherwise(out)
+        out = F.when(F.col("method") == m, column(m)).otherwise(out)
     return out
 
 

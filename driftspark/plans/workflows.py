@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.model import ENDPOINT, Contract, as_nodes
+from driftspark.session import settle
 from driftspark.operators import diff, impact, infer, merge, routes
 from driftspark.sources import payloads as log
 from driftspark.sources import snapshots
@@ -21,7 +22,8 @@ def contract_of_corpus(files: DataFrame) -> Contract:
     Path and query schemas come from the text. Responses start as ``unknown`` and are filled by
     payloads.
     """
-    found = routes.route_inventory(files).select(
+    # Endpoints and nodes both start from the inventory: settled, the corpus is read once.
+    found = settle(routes.route_inventory(files), "inventory").select(
         F.substring_index("repo", "/", 1).alias("owner"),
         F.expr("substring(repo, locate('/', repo) + 1)").alias("app"),
         F.lit(0).cast("bigint").alias("version"),
@@ -99,12 +101,13 @@ def check(
     static_changes = diff.diff_contracts(baseline, current, unique=True)
 
     targets = log.sampling_targets(baseline.endpoints, baseline.nodes, sampled_only)
-    observed = infer.observed_nodes(infer.observed_types(log.targeted(log.sampled(payloads), targets)))
-    runtime_nodes = merge.apply_samples(baseline.nodes, observed)
+    seen_types = settle(infer.observed_types(log.targeted(log.sampled(payloads), targets)), "types")
+    observed = settle(infer.observed_nodes(seen_types), "observed")
+    runtime_nodes = settle(merge.apply_samples(baseline.nodes, observed), "runtime")
     runtime = Contract(baseline.endpoints, runtime_nodes)
     runtime_changes = diff.field_changes(baseline, runtime)
 
-    everything = static_changes.unionByName(runtime_changes)
+    everything = settle(static_changes.unionByName(runtime_changes), "changes")
     apps = baseline.endpoints.select("owner", "app").distinct()
     broken = impact.broken_fields(everything).select(
         F.concat_ws("/", "owner", "app").alias("repo"), F.col("field_name").alias("field")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings that change results; safe to apply to a session somebody else built.
 REQUIRED = {
@@ -26,6 +27,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         SparkSession.builder.appName("driftspark")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -49,3 +51,14 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="driftspark-")
         spark.conf.set("driftspark.folder", folder)
     return folder.rstrip("/")
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Cuts the lineage of results that several later steps read: they start from files that outlive
+    any executor, their plans stay small, and joins see the true size of the table.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

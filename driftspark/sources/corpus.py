@@ -16,10 +16,9 @@ def read_corpus(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("
     File extensions are decided while listing and directories before any content is read.
     """
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
-        .text(root)
+        .text(root, wholetext=True)
     )
     # Listed paths carry a scheme and percent escapes; what follows the root is relative.
     base = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", root).rstrip("/") + "/"

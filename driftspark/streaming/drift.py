@@ -21,7 +21,8 @@ class DriftCheck:
 
     * ``baseline/batch=n`` — nodes of the (endpoint, location) pairs whose schema batch n replaced;
     * ``changes/batch=n`` — the classified changes of batch n;
-    * ``observed/batch=n`` — what its payloads showed (read back, so payloads are parsed once).
+    * ``seen/batch=n`` and ``observed/batch=n`` — what its payloads showed, as types and as nodes
+      (read back, so payloads are parsed once).
 
     Batch n compares with the newest nodes of batches before n. Samples of one batch are combined
     first (``union``) or reduced to the newest one (``latest``), then merged once, so where batches
@@ -60,29 +61,29 @@ class DriftCheck:
     def changes(self) -> DataFrame:
         return self._read("changes", CHANGES_DDL)
 
-    def _observed(self, batch: DataFrame) -> DataFrame:
+    def _seen(self, batch: DataFrame) -> DataFrame:
         samples = log.targeted(log.sampled(batch, include_writes=self.include_writes), log.sampling_targets(self.endpoints, None))
-        if self.mode == "latest":
-            return infer.sample_nodes(infer.latest_schema(samples))
-        return infer.observed_nodes(infer.observed_types(samples))
+        return infer.latest_schema(samples) if self.mode == "latest" else infer.observed_types(samples)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        def keep(df: DataFrame, table: str, ddl: str) -> DataFrame:
+        def keep(df: DataFrame, table: str) -> DataFrame:
             path = f"{self.folder}/{table}/batch={batch_id}"
             df.write.mode("overwrite").parquet(path)
-            return self.spark.read.schema(ddl).parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
 
-        observed = keep(self._observed(batch), "observed", NODES_DDL)
+        seen = keep(self._seen(batch), "seen")
+        observed = infer.sample_nodes(seen) if self.mode == "latest" else infer.observed_nodes(seen)
+        observed = keep(observed, "observed")
         touched = observed.where("size(node_path) = 0").select(*_WHERE)
         before = self.baseline(before=batch_id).join(touched, _WHERE, "left_semi")
         plan = merge.plan_merge(before, observed)
         if self.apply == "changed":
             renewed = merge.field_summary(plan).select(*_WHERE).distinct()
             plan = plan.join(renewed, _WHERE, "left_semi")
-        after = keep(merge.merged_nodes(plan), "baseline", NODES_DDL)
+        after = keep(merge.merged_nodes(plan), "baseline")
         renewed = after.where("size(node_path) = 0").select(*_WHERE)
         old = Contract(self.endpoints, before.join(renewed, _WHERE, "left_semi"))
-        keep(diff.field_changes(old, Contract(self.endpoints, after)), "changes", CHANGES_DDL)
+        keep(diff.field_changes(old, Contract(self.endpoints, after)), "changes")
 
     def run(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)

@@ -14,6 +14,7 @@ from driftspark.session import build_session  # noqa: E402
 def spark():
     session = build_session("local[4]", 4)
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
     yield session
     session.stop()
 
@@ -30,14 +31,19 @@ def nodes_of(spark, docs, annotations="x-contract"):
     ddl = "owner string, app string, method string, path string, location string, doc string"
     raw = spark.createDataFrame([(*d[:5], json.dumps(d[5])) for d in docs], ddl)
     parsed = raw.selectExpr("owner", "app", "method", "path", "location", "parse_json(doc) as schema")
-    return as_nodes(
-        schema_to_nodes(parsed, ["owner", "app", "method", "path", "location"], annotations=annotations)
+    nodes = as_nodes(
+        schema_to_nodes(parsed, ["owner", "app", "method", "path", "location"], annotations=annotations, levels=5)
     )
+    return spark.createDataFrame(nodes.collect(), NODES_DDL)
 
 
 def endpoints_of(spark, items):
-    """items: (method, path, codes, description) with owner o and app a, in order."""
-    data = [("o", "a", 1, i, m, p, None, None, list(codes), text) for i, (m, p, codes, text) in enumerate(items)]
+    """items: (method, path, codes, description) with owner o and app a; duplicates are numbered from 0."""
+    seen = {}
+    data = []
+    for m, p, codes, text in items:
+        ordinal = seen[(m, p)] = seen.get((m, p), -1) + 1
+        data.append(("o", "a", 1, ordinal, m, p, None, None, list(codes), text))
     return spark.createDataFrame(data, ENDPOINTS_DDL)
 
 
