@@ -77,8 +77,10 @@ def _matching_lines(files: DataFrame) -> DataFrame:
     special = F.filter("quoted", lambda f: F.contains(raw, f) & F.rlike(raw, _whole_word(f)))
     hits = F.concat(F.array_intersect("plain", words), F.when(F.size("quoted") > 0, special).otherwise(F.col("quoted")))
     text = F.substring(F.regexp_replace("raw", f"^{_SPACE}+|{_SPACE}+$", ""), 1, MAX_TEXT)
-    found = lines.select("repo", F.explode(hits).alias("field"), "file", (F.col("i") + 1).alias("line"), "raw")
-    return found.select("repo", "field", "file", "line", text.alias("text"))
+    # Trimmed once per line with a hit, before one row per field is made of it.
+    found = lines.select("repo", "file", (F.col("i") + 1).alias("line"), "raw", hits.alias("hits"))
+    found = found.select("repo", "file", "line", "hits", F.when(F.size("hits") > 0, text).alias("text"))
+    return found.select("repo", F.explode("hits").alias("field"), "file", "line", "text")
 
 
 def consumer_lines(files: DataFrame, fields: DataFrame, broadcast_limit: int = BROADCAST_FIELDS) -> DataFrame:

@@ -339,7 +339,9 @@ def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contract_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: the version of every app at a point of the history, and the apps that had none yet."""
     published = _published(spark, sf_dir)
-    return snapshots.as_of_status(published, published, 3000)
+    return snapshots.as_of_status(published, published, 3000).withColumn(
+        "found_version", F.coalesce("found_version", F.lit(-1).cast("bigint"))
+    )
 
 
 @query
