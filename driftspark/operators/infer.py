@@ -51,9 +51,9 @@ _SHAPE = (
 
 
 def _descend(
-    level: DataFrame, carry: Sequence[str], own: Sequence[str], levels: int, union_items: bool, arrays: bool, fold: bool
-) -> DataFrame:
-    """Unroll ``levels`` steps from rows with ``node_path, trail, depth, <own>, is_self, item, kind``.
+    carry: Sequence[str], own: Sequence[str], levels: int, union_items: bool, arrays: bool, fold: bool
+) -> list[list[str]]:
+    """SELECT lists that unroll ``levels`` steps from ``node_path, trail, depth, <own>, is_self, item, kind``.
 
     Each step types the new rows, keeps the value ``v`` of those that have children to show, and
     explodes "myself, then my children". All steps are plain expressions of one narrow stage.
@@ -89,30 +89,36 @@ def _descend(
         )
         step, letters = "ELSE concat(node_path, array(e.key)) END", "ELSE concat(trail, 'p') END"
 
-    def typed(rows: DataFrame) -> DataFrame:
-        return rows.selectExpr(
-            *carried, *place,
-            *[f"CASE WHEN is_self THEN {name} ELSE {found[name]} END AS {name}" for name in own],
-            f"CASE WHEN {container} THEN item END AS v",
-        )
-
-    level = typed(level)
-    for _ in range(levels):
-        if arrays:
-            level = level.selectExpr("*", *items).selectExpr("*", *kinds)
-            level = level.selectExpr(*carried, *place, *own, "v", *held, *tags)
-        level = level.selectExpr(
+    typed = [
+        *carried, *place,
+        *[f"CASE WHEN is_self THEN {name} ELSE {found[name]} END AS {name}" for name in own],
+        f"CASE WHEN {container} THEN item END AS v",
+    ]
+    step_down = [
+        [
             *carried, *place, *own,
             f"explode(CASE WHEN v IS NULL THEN array({_SELF}) ELSE concat(array({_SELF}), {children}) END) AS e",
-        ).selectExpr(
+        ],
+        [
             *carried,
             f"CASE WHEN e.key IS NULL THEN node_path {step} AS node_path",
             f"CASE WHEN e.key IS NULL THEN trail {letters} AS trail",
             "CASE WHEN e.key IS NULL THEN depth ELSE depth + 1 END AS depth",
             *own, "e.key IS NULL AS is_self", "e.value AS item", "schema_of_variant(e.value) AS kind",
-        )
-        level = typed(level)
-    return level.drop("v")
+        ],
+        typed,
+    ]
+    if arrays:
+        step_down = [["*", *items], ["*", *kinds], [*carried, *place, *own, "v", *held, *tags], *step_down]
+    return [typed, *(step_down * levels), [*carried, *place, *own]]
+
+
+def _select(df: DataFrame, stages: Sequence[Sequence[str]], at_once: int = 6) -> DataFrame:
+    """Apply one SELECT after the other, many per statement, so that the chain is analysed few times."""
+    for start in range(0, len(stages), at_once):
+        text = "".join(" |> SELECT " + ", ".join(stage) for stage in stages[start : start + at_once])
+        df = df.sparkSession.sql("FROM {source}" + text.replace("{", "{{").replace("}", "}}"), source=df)
+    return df
 
 
 def flatten_values(
@@ -131,15 +137,16 @@ def flatten_values(
     stays one row with that text as type; :func:`unfold_shapes` brings out its nodes later.
     """
     own = ["type", "example"] if examples else ["type"]
-    start = df.select(*carry, value.alias("item")).selectExpr(
+    start = [
         *[f"`{name}`" for name in carry],
         "cast(array() as array<string>) AS node_path", "'' AS trail", "0 AS depth",
         *[f"cast(null as string) AS {name}" for name in own],
         "false AS is_self", "item", "schema_of_variant(item) AS kind",
-    )
+    ]
+    steps = _descend(carry, own, levels, union_items, arrays=True, fold=fold and not examples)
+    flat = _select(df.select(*carry, value.alias("item")), [start, *steps])
     # Unreadable values are dropped at the end: a filter before the descent would be pushed below
     # the projection that parses and make every text parse twice.
-    flat = _descend(start, carry, own, levels, union_items, arrays=True, fold=fold and not examples)
     return flat.where("depth > 0 or type is not null")
 
 
@@ -153,11 +160,12 @@ def unfold_shapes(rows: DataFrame, carry: Sequence[str]) -> DataFrame:
     for kind, sample in (("BIGINT", "0"), ("DECIMAL", "0.5"), ("STRING", '""'), ("BOOLEAN", "true"), ("VOID", "null")):
         json = f"replace({json}, ':{kind}', ':{sample}')"
     json = f"replace(replace({json}, 'OBJECT<', '{{'), '>', '}}')"
-    start = rows.selectExpr(
+    start = [
         *[f"`{name}`" for name in carry], "node_path", "trail", "depth", "type",
         f"try_parse_json(CASE WHEN startswith(type, 'OBJECT<') THEN {json} END) AS item",
-    ).selectExpr("*", "item IS NULL AS is_self", "schema_of_variant(item) AS kind")
-    return _descend(start, carry, ["type"], MAX_OBJECT_DEPTH + 1, False, arrays=False, fold=False)
+    ]
+    steps = _descend(carry, ["type"], MAX_OBJECT_DEPTH + 1, False, arrays=False, fold=False)
+    return _select(rows, [start, ["*", "item IS NULL AS is_self", "schema_of_variant(item) AS kind"], *steps])
 
 
 def observed_types(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.model import Contract, as_nodes
+from driftspark.sources.spread import read_spread
 
 Spec = list[dict[str, str]]
 
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return read_spread(spark, f"{sf_dir}/{name}.parquet", columns)
+
+
 def inline(spec: Spec) -> str:
     """Spark: one output row per entry of the spec."""
     structs = ["named_struct(" + ", ".join(f"'{k}', {v}" for k, v in row.items()) + ")" for row in spec]
@@ -64,11 +69,11 @@ def payload_sql(columns: dict[str, str]) -> str:
 
 
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr("ts", "event_id", *payload_sql_list(EVENT_PAYLOAD))
+    return spread(spark, sf_dir, "events", "ts", "event_id", "event_type", "value", "props").selectExpr("ts", "event_id", *payload_sql_list(EVENT_PAYLOAD))
 
 
 def order_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderdate AS ts", *payload_sql_list(ORDER_PAYLOAD))
+    return spread(spark, sf_dir, "orders").selectExpr("o_orderdate AS ts", *payload_sql_list(ORDER_PAYLOAD))
 
 
 def payload_sql_list(columns: dict[str, str]) -> list[str]:
@@ -139,7 +144,7 @@ def _codes(by_status: dict[str, list[int]], array: str, close: str) -> str:
 
 
 def order_contract(spark: SparkSession, sf_dir: str, new: bool) -> Contract:
-    orders = table(spark, sf_dir, "orders").where(NEW_ORDERS if new else OLD_ORDERS)
+    orders = spread(spark, sf_dir, "orders").where(NEW_ORDERS if new else OLD_ORDERS)
     endpoint = payload_sql_list(ENDPOINT_OF_ORDER)
     endpoints = orders.selectExpr(
         *endpoint, "0 AS ordinal", f"{_codes(CODES_NEW if new else CODES_OLD, 'array(', ')')} AS status_codes",
@@ -219,7 +224,7 @@ OBSERVED_NODES: Spec = [
 
 
 def part_nodes(spark: SparkSession, sf_dir: str, observed: bool) -> DataFrame:
-    parts = table(spark, sf_dir, "part").selectExpr(
+    parts = spread(spark, sf_dir, "part").selectExpr(
         *payload_sql_list(ENDPOINT_OF_PART), inline(OBSERVED_NODES if observed else BASE_NODES)
     )
     path = F.when(F.col("p") == "", F.array().cast("array<string>")).otherwise(F.split("p", "/"))
@@ -261,7 +266,7 @@ FILE_OF_PART = {
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(*payload_sql_list(FILE_OF_PART))
+    return spread(spark, sf_dir, "part").selectExpr(*payload_sql_list(FILE_OF_PART))
 
 
 def files_cte() -> str:
@@ -270,7 +275,7 @@ def files_cte() -> str:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a source file of the repository named after its language."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").selectExpr(
         "lang AS repo", "concat('src/', source, '/', cast(doc_id as string), '.ts') AS rel_path", "text AS content"
     )
 

@@ -1,0 +1,24 @@
+"""Spreading of small inputs."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_BYTES = 256 * 1024 * 1024
+
+
+def read_spread(spark: SparkSession, path: str, columns: Sequence[str] = (), small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """A Parquet table for work that costs far more per row than reading it.
+
+    A small file often is one row group and so one busy task, whatever the number of cores: its rows
+    are dealt out first. The size is checked; a large table already comes in many splits and is never
+    moved.
+    """
+    table = spark.read.parquet(path)
+    if columns:
+        table = table.select(*columns)
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return table.repartition(spark.sparkContext.defaultParallelism) if size <= small_bytes else table
