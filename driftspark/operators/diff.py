@@ -77,7 +77,7 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
     """Schemas and fields of endpoints present on both sides.
 
     One full outer join on the node key finds every difference; it is keyed down to the field, so no
-    endpoint forms a hot key. One-sided nodes count only below a parent that both sides have.
+    endpoint forms a hot key.
     ``max_depth=1`` compares top-level properties, more also looks into nested ones and array items.
     """
     compared = F.col("location").isin(*COMPARED)
@@ -89,29 +89,20 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
 
     both = side(old, "o").join(side(new, "n"), [*_WHERE, "node_path"], "full_outer")
     o, n = F.col("o"), F.col("n")
-    changed = both.where(
-        "o is not null and n is not null and size(node_path) > 0 and (o.type <> n.type or o.required <> n.required)"
-    )
+    at_root = F.size("node_path") == 0
 
-    # A one-sided field counts below a parent both sides have, a one-sided schema on an endpoint both
-    # sides have. Endpoints stand in as the parent of their root, a path no real node has.
+    # A field counts below a parent both sides have, a schema on an endpoint both sides have.
+    # Endpoints stand in as the parent of their roots, under a path no real node has.
     above_root = F.array(F.lit(None).cast("string"))
     inner = F.size("node_path") < max_depth
     parents = (
         old.nodes.where(compared & in_reach & inner).select(*_WHERE, "node_path")
         .join(new.nodes.where(compared & in_reach & inner).select(*_WHERE, "node_path"), [*_WHERE, "node_path"])
-        .withColumn("parent", F.coalesce("node_path", above_root))
-        .select(*_WHERE, "parent")
+        .select(*_WHERE, F.col("node_path").alias("parent"))
     )
     matched = old.endpoints.select(*ENDPOINT).join(new.endpoints.select(*ENDPOINT), ENDPOINT).select(
         *ENDPOINT, F.explode(F.array(*[F.lit(x) for x in COMPARED])).alias("location"), above_root.alias("parent")
     )
-    at_root = F.size("node_path") == 0
-    loose = (
-        both.where("o is null or n is null")
-        .withColumn("parent", F.when(at_root, above_root).otherwise(parent_path(F.col("node_path"))))
-        .join(parents.unionByName(matched), [*_WHERE, "parent"], "left_semi")
-    )
 
     request = F.col("location") != "response"
     field = F.concat_ws(".", F.col("location"), F.array_join("node_path", "."))
@@ -124,7 +115,7 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
     def quoted(template: str, *more: Column) -> Column:
         return _message(template, field, *more)
 
-    # Both sides have the field: its type and its required flag may both have changed.
+    # On a field both sides have, the type and the required flag may both have changed.
     differs = o["type"] != n["type"]
     if widen_numbers:
         differs = differs & ~(o["type"].isin("integer", "number") & n["type"].isin("integer", "number"))
@@ -156,8 +147,6 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
             change("now_required", NON_BREAKING, quoted('Field "%s" is now required in response')),
         )
     )
-    two_sided = changed.select(*ENDPOINT, field.alias("field"), F.explode(F.array_compact(F.array(by_type, by_required))).alias("c"))
-
     removed = change("field_removed", BREAKING, quoted('Field "%s" was removed'))
     added = F.when(
         request & n["required"],
@@ -165,12 +154,18 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
     ).otherwise(change("field_added", NON_BREAKING, quoted('Field "%s" was added')))
     schema_added = change("schema_added", F.when(request, ADDITIVE).otherwise(NON_BREAKING), _message("%s schema added", field))
     schema_removed = change("schema_removed", BREAKING, _message("%s schema removed", field))
-    gone = n.isNull()
-    one_sided = loose.select(
-        *ENDPOINT, field.alias("field"),
-        F.when(at_root & gone, schema_removed).when(at_root, schema_added).when(gone, removed).otherwise(added).alias("c"),
+    gone, fresh = n.isNull(), o.isNull()
+    one_sided = (
+        F.when(at_root & gone, schema_removed).when(at_root & fresh, schema_added).when(gone, removed).when(fresh, added)
+    )
+    by_field = F.array(F.when(~at_root, by_type), F.when(~at_root, by_required), one_sided)
+    # Unchanged nodes give nothing here, so only changes are matched with their parents.
+    found = both.select(
+        *_WHERE, F.when(at_root, above_root).otherwise(parent_path(F.col("node_path"))).alias("parent"),
+        field.alias("field"), F.explode(F.array_compact(by_field)).alias("c"),
     )
-    return two_sided.unionByName(one_sided).select(*ENDPOINT, "field", "c.change_type", "c.kind", "c.message")
+    kept = found.join(parents.unionByName(matched), [*_WHERE, "parent"], "left_semi")
+    return kept.select(*ENDPOINT, "field", "c.change_type", "c.kind", "c.message")
 
 
 def diff_contracts(

@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings that change results; safe to apply to a session somebody else built.
+# Runtime settings the operators expect; safe to apply to a session somebody else built.
 REQUIRED = {
     # JSON objects with a repeated key keep the last value instead of failing to parse.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Bursts are merged inside each task before they are shuffled, which takes the load off hot keys,
+    # and streaming state lives on disk instead of the heap.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
