@@ -185,6 +185,12 @@ def response_known(nodes: DataFrame) -> DataFrame:
     return nodes.where("location = 'response' and size(node_path) = 0 and not (type <=> 'unknown')").select(*ENDPOINT)
 
 
+def _belonging_to(nodes: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Nodes from elsewhere, attached to the (last) declaration of their endpoint among ``endpoints``."""
+    last = endpoints.groupBy(*ENDPOINT).agg(F.max("ordinal").alias("endpoint_ordinal"))
+    return as_nodes(nodes.drop("endpoint_ordinal").join(last, ENDPOINT))
+
+
 def carry_forward(scanned: Contract, baseline: Contract) -> Contract:
     """M9: a response the scan could not infer keeps the baseline's known one."""
     carried = (
@@ -194,26 +200,22 @@ def carry_forward(scanned: Contract, baseline: Contract) -> Contract:
         .distinct()
     )
     response = F.col("location") == "response"
-    nodes = (
-        scanned.nodes.where(~response)
-        .unionByName(scanned.nodes.where(response).join(carried, ENDPOINT, "left_anti"))
-        .unionByName(baseline.nodes.where(response).join(carried, ENDPOINT, "left_semi"))
+    kept = scanned.nodes.where(~response).unionByName(
+        scanned.nodes.where(response).join(carried, ENDPOINT, "left_anti")
     )
-    return Contract(scanned.endpoints, nodes)
+    taken = baseline.nodes.where(response).join(carried, ENDPOINT, "left_semi")
+    return Contract(scanned.endpoints, as_nodes(kept).unionByName(_belonging_to(taken, scanned.endpoints)))
 
 
 def accept(scanned: Contract, runtime_nodes: DataFrame, sampled: DataFrame, version: Column | int) -> Contract:
     """The next baseline. Endpoints with a sample take the runtime response, the rest the scanned one."""
     keys = sampled.select(*ENDPOINT).distinct()
-    current = scanned.endpoints.select(*ENDPOINT).distinct()
     response = F.col("location") == "response"
-    nodes = (
-        scanned.nodes.where(~response)
-        .unionByName(scanned.nodes.where(response).join(keys, ENDPOINT, "left_anti"))
-        .unionByName(
-            runtime_nodes.where(response).join(keys, ENDPOINT, "left_semi").join(current, ENDPOINT, "left_semi")
-        )
+    kept = scanned.nodes.where(~response).unionByName(
+        scanned.nodes.where(response).join(keys, ENDPOINT, "left_anti")
     )
+    taken = runtime_nodes.where(response).join(keys, ENDPOINT, "left_semi")
+    nodes = as_nodes(kept).unionByName(_belonging_to(taken, scanned.endpoints))
     stamp = version if isinstance(version, Column) else F.lit(version)
     return Contract(
         scanned.endpoints.withColumn("version", stamp.cast("bigint")),
