@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.model import ENDPOINT, NODE, NODE_ATTRIBUTES, Contract, as_nodes, is_property, parent_path, prefixes
+from driftspark.model import ENDPOINT, NODE, NODE_ATTRIBUTES, Contract, as_nodes, is_property, node_hash, parent_path, prefixes
 
 SAMPLED = "sampled"
 _WHERE = [*ENDPOINT, "location"]
 
 
 def _side(df: DataFrame, name: str) -> DataFrame:
-    return df.select(*NODE, F.struct(*NODE_ATTRIBUTES).alias(name))
+    return df.select(node_hash(), *NODE, F.struct(*NODE_ATTRIBUTES).alias(name))
 
 
 def _rule(learn_empty_items: bool, widen_numbers: bool) -> Column:
@@ -54,7 +54,7 @@ def plan_merge(
         b_side = _side(baseline, "b").join(options, NODE, "left").fillna(0, ["b_alternatives"])
     else:
         b_side = _side(baseline, "b")
-    both = b_side.join(_side(observed, "o"), NODE, "full_outer")
+    both = b_side.join(_side(observed, "o"), ["node_hash", *NODE], "full_outer").drop("node_hash")
     both = both.withColumn("rule", _rule(learn_empty_items, widen_numbers)).drop("b_alternatives")
 
     def holds_children(side: str) -> Column:
