@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from driftspark.functions import patterns as P
 from driftspark.model import METHODS, STACKS
 
+# Notes on endpoints whose handler cannot be read.
 NO_HANDLER = "Handler could not be parsed"
 WRAPPED = "Handler is a wrapped export (e.g. withAuth(fn)) — export a plain function for full inference"
 
