@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from driftspark.llm.common import map_texts, table
+from driftspark.llm.common import map_texts, ready, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 # Texts above this many code points are cut, at safe boundaries only.
@@ -82,6 +82,7 @@ def decode(tokens: DataFrame, ids: str = "ids", path: str | None = None, pattern
 
     Null ids give no bytes.
     """
+    ready(tokens.sparkSession)
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
     @F.pandas_udf(BinaryType())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,14 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+import driftspark
 from driftspark.session import settle
 
 # White space of all operators on words: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where it is not installed but its folder can be reached.
+
+    It adds to the path of the workers only; a cluster without such a folder gets the package as usual, by
+    installation or ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(driftspark.__file__)))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *paths]))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_texts(
@@ -29,6 +45,7 @@ def map_texts(
     Runs where the rows are (no shuffle). ``make`` is called once per task, for models and dictionaries.
     Other columns of ``rows`` are not carried, so none can clash with those of ``result``.
     """
+    ready(rows.sparkSession)
     added = StructType.fromDDL(result)
     source = rows.select(*keys, F.col(text).alias("__text"))
     schema = StructType([*(source.schema[k] for k in keys), *added.fields])
@@ -57,6 +74,7 @@ def numbered(rows: DataFrame, group: str, order: Sequence[Column], weight: str,
     added. The numbering is written once before it is read twice, so a lost executor cannot change the
     partitions under it.
     """
+    ready(rows.sparkSession)
     dealt = rows.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
     names = rows.columns
     added = StructType.fromDDL("__task long, slot long, before long, __weight long")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from driftspark.llm.common import WORD, map_texts, table
+from driftspark.llm.common import WORD, map_texts, ready, table
 
 WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -142,6 +142,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filtered(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The rows of ``docs`` that are kept by :func:`assess`, columns unchanged; rows without a key are judged too."""
+    ready(docs.sparkSession)
     least = limits.get("least", REPEAT)
     max_covered, max_longest = limits.get("max_covered", MAX_COVERED), limits.get("max_longest", MAX_LONGEST)
 

@@ -1,10 +1,17 @@
 """Registered queries of this subpackage."""
 
 from driftspark.llm.bpe import op2_byte_bpe
+from driftspark.llm.minhash import op3_minhash_neardup
+from driftspark.llm.neardup import op1_embedding_neardup
 from driftspark.llm.packing import op5_packing
 from driftspark.llm.quality import op8_quality
-from driftspark.llm.secrets import op9_secrets
+from driftspark.llm.secret_scan import op9_secrets
 from driftspark.llm.sharding import op6_sharding
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_packing, op6_sharding, op8_quality, op9_secrets)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_neardup, op2_byte_bpe, op3_minhash_neardup, op5_packing, op6_sharding, op8_quality, op9_secrets,
+    )
+}
 ORACLE: dict[str, str] = {}

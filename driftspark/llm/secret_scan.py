@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from driftspark.llm.bpe import encoding
-from driftspark.llm.common import map_texts, table
+from driftspark.llm.common import map_texts, ready, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 KINDS = ("assign", "access", "hex", "opaque")
@@ -98,6 +98,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "<secret>", path: st
     ``n_chars``, where there is one, is set to the new length. Texts without spans, empty and null ones stay
     as they are.
     """
+    ready(docs.sparkSession)
     path, pattern = path or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
     @F.pandas_udf(StringType())
