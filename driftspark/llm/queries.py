@@ -7,11 +7,12 @@ from driftspark.llm.packing import op5_packing
 from driftspark.llm.quality import op8_quality
 from driftspark.llm.secret_scan import op9_secrets
 from driftspark.llm.sharding import op6_sharding
+from driftspark.llm.suffix import op4_suffix_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_embedding_neardup, op2_byte_bpe, op3_minhash_neardup, op5_packing, op6_sharding, op8_quality, op9_secrets,
+        op1_embedding_neardup, op2_byte_bpe, op3_minhash_neardup, op4_suffix_dedup, op5_packing, op6_sharding, op8_quality, op9_secrets,
     )
 }
 ORACLE: dict[str, str] = {}
