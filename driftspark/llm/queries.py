@@ -1,6 +1,7 @@
 """Registered queries of this subpackage."""
 
 from driftspark.llm.bpe import op2_byte_bpe
+from driftspark.llm.html_text import op7_html_extraction
 from driftspark.llm.minhash import op3_minhash_neardup
 from driftspark.llm.neardup import op1_embedding_neardup
 from driftspark.llm.packing import op5_packing
@@ -12,7 +13,8 @@ from driftspark.llm.suffix import op4_suffix_dedup
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_embedding_neardup, op2_byte_bpe, op3_minhash_neardup, op4_suffix_dedup, op5_packing, op6_sharding, op8_quality, op9_secrets,
+        op1_embedding_neardup, op2_byte_bpe, op3_minhash_neardup, op4_suffix_dedup, op5_packing, op6_sharding, op7_html_extraction,
+        op8_quality, op9_secrets,
     )
 }
 ORACLE: dict[str, str] = {}
