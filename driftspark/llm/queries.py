@@ -5,6 +5,7 @@ from driftspark.llm.html_text import op7_html_extraction
 from driftspark.llm.minhash import op3_minhash_neardup
 from driftspark.llm.neardup import op1_embedding_neardup
 from driftspark.llm.packing import op5_packing
+from driftspark.llm.pii import op10_pii_surrogates
 from driftspark.llm.quality import op8_quality
 from driftspark.llm.secret_scan import op9_secrets
 from driftspark.llm.sharding import op6_sharding
@@ -14,7 +15,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_neardup, op2_byte_bpe, op3_minhash_neardup, op4_suffix_dedup, op5_packing, op6_sharding, op7_html_extraction,
-        op8_quality, op9_secrets,
+        op8_quality, op9_secrets, op10_pii_surrogates,
     )
 }
 ORACLE: dict[str, str] = {}
