@@ -7,24 +7,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import packing, quality, secret_scan
+from driftspark.llm import minhash, packing, quality, secret_scan, suffix
 from driftspark.session import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules on length and repetition."""
     return quality.filtered(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: 80 % of the shingles of five words in common."""
+    return minhash.first_of_group(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document with a smaller id has too."""
+    return suffix.strip(docs)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every secret masked."""
     return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their places in batches of similar length."""
     counted = docs.withColumn("n_tokens", packing.word_tokens(F.col("text")))
     return packing.pack(counted, "n_tokens", packing.spread("doc_id"))
 
 
-STAGES = [("quality rules", quality_rules), ("secret scans", secret_scans), ("packing", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("secret scans", secret_scans),
+    ("packing", pack),
+]
 # Suffix arrays, MinHash and token efficiency cannot be said in SQL.
 ORACLE_SQL = None
 
