@@ -38,7 +38,7 @@ ENDPOINTS_DDL = (
 NODES_DDL = (
     "owner string, app string, version bigint, method string, path string, location string, "
     "node_path array<string>, trail string, depth int, name string, ordinal int, endpoint_ordinal bigint, "
-    "type string, required boolean, source string, sampled_type string, note string, example string"
+    "type string, required boolean, source string, sampled_type string, note string, example string, required_names array<string>"
 )
 PAYLOADS_DDL = (
     "ts timestamp, owner string, app string, method string, path string, status int, content_type string, body string"
@@ -50,7 +50,7 @@ SOURCE_FILES_DDL = "repo string, rel_path string, content string"
 
 NODE_ATTRIBUTES = [
     "trail", "depth", "name", "ordinal", "endpoint_ordinal",
-    "type", "required", "source", "sampled_type", "note", "example",
+    "type", "required", "source", "sampled_type", "note", "example", "required_names",
 ]
 
 
@@ -105,14 +105,17 @@ def schema_to_nodes(
     docs: DataFrame,
     keys: Sequence[str],
     schema: str = "schema",
-    annotations: str = "x-contract",
+    annotations: str | Column = "x-contract",
     levels: int = 16,
 ) -> DataFrame:
     """One row per node of the JSON Schema documents in the VARIANT column ``schema``.
 
     One narrow stage: each level explodes only the nodes that still have children. A document
-    nested deeper than ``levels`` stops the job rather than losing its tail.
+    nested deeper than ``levels`` stops the job rather than losing its tail. ``annotations`` is the prefix of
+    the annotation keys, or one of the ``keys`` that holds it for each row; ``required_names`` are the required
+    names that are no property.
     """
+    prefix = annotations if isinstance(annotations, Column) else F.lit(annotations)
     kid_type = "array<struct<key:string,value:variant,kind:string,required:boolean>>"
     empty = F.array().cast(kid_type)
     own = F.expr(
@@ -120,17 +123,26 @@ def schema_to_nodes(
         "'kind', cast(null as string), 'required', false))"
     )
 
-    def text(v: Column, path: str) -> Column:
+    def text(v: Column, path: str | Column) -> Column:
         return F.try_variant_get(v, path, "string")
 
+    def note(v: Column, name: str) -> Column:
+        if not isinstance(annotations, Column):
+            return text(v, f"$['{annotations}-{name}']")
+        return F.when(prefix != "", text(v, F.concat(F.lit("$['"), prefix, F.lit(f"-{name}']"))))
+
     def attributes(v: Column) -> Column:
         example = F.try_variant_get(v, "$.examples[0]", "variant")
+        required = F.try_variant_get(v, "$.required", "array<string>")
+        properties = F.map_keys(F.try_variant_get(v, "$.properties", "map<string,variant>"))
+        unmatched = F.array_except(required, F.coalesce(properties, F.array().cast("array<string>")))
         return F.struct(
             text(v, "$.type").alias("type"),
-            text(v, f"$['{annotations}-source']").alias("source"),
-            text(v, f"$['{annotations}-sampled-type']").alias("sampled_type"),
-            text(v, f"$['{annotations}-note']").alias("note"),
+            note(v, "source").alias("source"),
+            note(v, "sampled-type").alias("sampled_type"),
+            note(v, "note").alias("note"),
             F.to_json(example).alias("example"),
+            F.when(F.size(unmatched) > 0, unmatched).alias("required_names"),
         )
 
     def children(v: Column) -> Column:
@@ -216,14 +228,22 @@ def nodes_to_schema(nodes: DataFrame, annotations: str = "x-contract") -> DataFr
     required = (
         nodes.where("required")
         .groupBy(*where, parent_path(F.col("node_path")).alias("node_path"))
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_set("name")), json_quote), ",").alias("names"))
+        .agg(F.collect_set("name").alias("own_names"))
+    )
+    both_names = F.array_union(
+        F.coalesce("own_names", F.array().cast("array<string>")), F.coalesce("required_names", F.array().cast("array<string>"))
     )
+    names = F.when(F.size(both_names) > 0, F.array_join(F.transform(F.array_sort(both_names), json_quote), ","))
     # oneOf#10 must follow oneOf#9: alternatives sort by number, properties by name.
+    def option(i: Column) -> Column:
+        return F.col("trail").substr(i + 1, F.lit(1)) == "o"
+
     order = F.transform(
         "node_path",
-        lambda s, i: F.when(
-            F.col("trail").substr(i + 1, F.lit(1)) == "o", F.lpad(F.substring_index(s, "#", -1), 9, "0")
-        ).otherwise(s),
+        lambda s, i: F.struct(
+            F.when(option(i), "oneOf").otherwise(s).alias("text"),
+            F.when(option(i), F.substring_index(s, "#", -1).try_cast("bigint")).otherwise(F.lit(0)).alias("number"),
+        ),
     )
 
     def member(key: str, value: Column) -> Column:
@@ -236,7 +256,7 @@ def nodes_to_schema(nodes: DataFrame, annotations: str = "x-contract") -> DataFr
             member(f"{annotations}-source", json_quote(F.col("source"))),
             member(f"{annotations}-sampled-type", json_quote(F.col("sampled_type"))),
             member(f"{annotations}-note", json_quote(F.col("note"))),
-            member("required", F.concat(F.lit("["), F.col("names"), F.lit("]"))),
+            member("required", F.concat(F.lit("["), names, F.lit("]"))),
         )
     )
     rows = nodes.join(required, [*where, "node_path"], "left").groupBy(*where).agg(

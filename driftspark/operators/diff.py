@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.model import ENDPOINT, Contract, node_hash, parent_path
+from driftspark.session import settle
 
 BREAKING, NON_BREAKING, ADDITIVE = "breaking", "non-breaking", "additive"
 CHANGE = [*ENDPOINT, "field", "change_type", "kind", "message"]
-# Path parameters are not compared.
+# The message texts below are fixed values of the report. Path parameters are not compared.
 COMPARED = ["body", "query", "response"]
 _WHERE = [*ENDPOINT, "location"]
 
@@ -89,8 +90,16 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
     in_reach = (F.size("node_path") <= max_depth) & F.col("trail").rlike("^(p[pi]*)?$" if max_depth > 1 else "^p?$")
 
     def side(contract: Contract, name: str) -> DataFrame:
+        """Nodes, and a row with ``ghost`` for each name that is required but no property."""
         rows = contract.nodes.where(compared & in_reach)
-        return rows.select(node_hash(), *_WHERE, "node_path", F.struct("type", "required").alias(name))
+        real = rows.select(*_WHERE, "node_path", F.struct("type", "required", F.lit(False).alias("ghost")).alias(name))
+        ghosts = rows.where((F.size("required_names") > 0) & (F.size("node_path") < max_depth)).select(
+            *_WHERE, F.explode("required_names").alias("ghost"), "node_path"
+        ).select(
+            *_WHERE, F.concat("node_path", F.array("ghost")).alias("node_path"),
+            F.struct(F.lit(None).cast("string").alias("type"), F.lit(True).alias("required"), F.lit(True).alias("ghost")).alias(name),
+        )
+        return real.unionByName(ghosts).select(node_hash(), "*")
 
     both = side(old, "o").join(side(new, "n"), ["node_hash", *_WHERE, "node_path"], "full_outer")
     o, n = F.col("o"), F.col("n")
@@ -100,11 +109,6 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
     # Endpoints stand in as the parent of their roots, under a path no real node has.
     above_root = F.array(F.lit(None).cast("string"))
     inner = F.size("node_path") < max_depth
-    parents = (
-        old.nodes.where(compared & in_reach & inner).select(*_WHERE, "node_path")
-        .join(new.nodes.where(compared & in_reach & inner).select(*_WHERE, "node_path"), [*_WHERE, "node_path"])
-        .select(*_WHERE, F.col("node_path").alias("parent"))
-    )
     matched = old.endpoints.select(*ENDPOINT).join(new.endpoints.select(*ENDPOINT), ENDPOINT).select(
         *ENDPOINT, F.explode(F.array(*[F.lit(x) for x in COMPARED])).alias("location"), above_root.alias("parent")
     )
@@ -139,17 +143,18 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
             change("type_changed", BREAKING, quoted('Field "%s" type changed from %s to %s', o["type"], n["type"])),
         )
     )
+    real_new, real_old = ~n["ghost"], ~o["ghost"]
     by_required = (
         F.when(
-            o["required"] & ~n["required"],
+            o["required"] & ~n["required"] & real_new,
             change("now_optional", NON_BREAKING, quoted('Field "%s" changed from required to optional')),
         )
         .when(
-            ~o["required"] & n["required"] & request,
+            ~o["required"] & n["required"] & real_old & request,
             change("now_required", BREAKING, quoted('Field "%s" changed from optional to required in request body')),
         )
         .when(
-            ~o["required"] & n["required"],
+            ~o["required"] & n["required"] & real_old,
             change("now_required", NON_BREAKING, quoted('Field "%s" is now required in response')),
         )
     )
@@ -160,19 +165,29 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
     ).otherwise(change("field_added", NON_BREAKING, quoted('Field "%s" was added')))
     schema_added = change("schema_added", F.when(request, ADDITIVE).otherwise(NON_BREAKING), _message("%s schema added", field))
     schema_removed = change("schema_removed", BREAKING, _message("%s schema removed", field))
-    gone, fresh = n.isNull(), o.isNull()
+    gone, fresh = n.isNull() | n["ghost"], o.isNull() | o["ghost"]
+    never = F.coalesce(gone, F.lit(False)) & F.coalesce(fresh, F.lit(False))
     one_sided = (
-        F.when(at_root & gone, schema_removed).when(at_root & fresh, schema_added).when(gone, removed).when(fresh, added)
+        F.when(never, F.lit(None))
+        .when(at_root & gone, schema_removed).when(at_root & fresh, schema_added).when(gone, removed).when(fresh, added)
     )
     by_field = F.array(F.when(~at_root, by_type), F.when(~at_root, by_required), one_sided)
-    # Unchanged nodes give nothing here, so only changes are matched with their parents.
-    found = both.select(
-        *_WHERE, F.when(at_root, above_root).otherwise(parent_path(F.col("node_path"))).alias("parent"),
-        "field", F.explode(F.array_compact(by_field)).alias("c"),
+    # What the outer join has to tell is written once: the changes, and the nodes that both sides have, which
+    # are the parents that changes count under. Other unchanged nodes give nothing.
+    told = settle(
+        both.select(
+            *_WHERE, "node_path", "field",
+            F.when(at_root, above_root).otherwise(parent_path(F.col("node_path"))).alias("parent"),
+            F.array_compact(by_field).alias("changes"),
+            F.coalesce(real_old & real_new & inner, F.lit(False)).alias("in_both"),
+        ).where("in_both or size(changes) > 0"),
+        "told",
     )
     # The hash leads the join key for a cheap sort, as in node_hash().
     key = F.xxhash64(*_WHERE, "parent")
+    parents = told.where("in_both").select(*_WHERE, F.col("node_path").alias("parent"))
     allowed = parents.unionByName(matched).withColumn("key", key)
+    found = told.select(*_WHERE, "parent", "field", F.explode("changes").alias("c"))
     kept = found.withColumn("key", key).join(allowed, ["key", *_WHERE, "parent"], "left_semi")
     return kept.select(*ENDPOINT, "field", "c.change_type", "c.kind", "c.message")
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.functions import patterns as P
-from driftspark.operators.sizing import within
+from driftspark.session import settle
 
-# Fixed values of the impact report: references listed per field and characters of each line.
+# Fixed values of the impact report: references listed per field and characters of each line (defaults).
 MAX_REFERENCES = 12
 MAX_TEXT = 120
 
@@ -16,7 +16,6 @@ MAX_TEXT = 120
 _SPACE = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 # Words, and every other character by itself.
 _TOKEN = "(?s)[A-Za-z0-9_]+|[^A-Za-z0-9_]"
-BROADCAST_FIELDS = 100_000
 
 
 def broken_fields(changes: DataFrame) -> DataFrame:
@@ -62,83 +61,66 @@ def _whole_word(field: Column) -> Column:
 _PLAIN = "^[A-Za-z0-9_]+$"
 
 
-def _matching_lines(files: DataFrame) -> DataFrame:
-    """Lines that mention one of the file's candidates.
+def consumer_lines(files: DataFrame, fields: DataFrame, max_text: int | None = None) -> DataFrame:
+    """Every (repo, field, file, line) where a field name stands as a whole word, with the line's text.
 
-    ``plain`` holds candidates made of word characters (compared as whole words of the line),
-    ``quoted`` the others (searched literally between boundaries).
-    """
-    lines = files.where("size(plain) > 0 or size(quoted) > 0").select(
-        "repo", F.col("rel_path").alias("file"), "plain", "quoted",
-        F.posexplode(F.split("content", "\n", -1)).alias("i", "raw"),
-    )
-    raw = F.col("raw")
-    words = F.regexp_extract_all(raw, F.lit("[A-Za-z0-9_]+"), F.lit(0))
-    special = F.filter("quoted", lambda f: F.contains(raw, f) & F.rlike(raw, _whole_word(f)))
-    hits = F.concat(F.array_intersect("plain", words), F.when(F.size("quoted") > 0, special).otherwise(F.col("quoted")))
-    text = F.substring(F.regexp_replace("raw", f"^{_SPACE}+|{_SPACE}+$", ""), 1, MAX_TEXT)
-    # Trimmed once per line with a hit, before one row per field is made of it.
-    found = lines.select("repo", "file", (F.col("i") + 1).alias("line"), "raw", hits.alias("hits"))
-    found = found.select("repo", "file", "line", "hits", F.when(F.size("hits") > 0, text).alias("text"))
-    return found.select("repo", F.explode("hits").alias("field"), "file", "line", "text")
-
-
-def consumer_lines(files: DataFrame, fields: DataFrame, broadcast_limit: int = BROADCAST_FIELDS) -> DataFrame:
-    """Every (repo, field, file, line) where a field name stands as a whole word.
-
-    ``fields`` holds (repo, field). While it is small (counted first), it is grouped per repository,
-    broadcast, and each file is searched in its own row: the corpus is never shuffled. Beyond the
-    limit, files and fields meet by an equi-join on (repo, token) that moves tokens instead of
-    contents, and only files with a candidate are read again.
+    ``fields`` holds (repo, field). Words are extracted once: each line gives its distinct words (and, for
+    names made of odd characters only, its odd characters), which meet the names by an equi-join on
+    (repo, word). A name of several words is sought by its longest word and confirmed on the text of the line.
+    Only (file, line, name) moves until the names are found; the contents of files with a hit are then read
+    once more. ``max_text`` cuts the shown text to so many characters; without it, lines come whole.
     """
     files = consumer_files(files)
     fields = fields.select("repo", "field").where("field <> ''").distinct()
-    plain = F.col("field").rlike(_PLAIN)
-    if within(fields, broadcast_limit):
-        by_repo = fields.groupBy("repo").agg(
-            F.collect_list(F.when(plain, F.col("field"))).alias("all_plain"),
-            F.collect_list(F.when(~plain, F.col("field"))).alias("all_quoted"),
-        )
-        words = F.regexp_extract_all(F.col("content"), F.lit("[A-Za-z0-9_]+"), F.lit(0))
-        staged = files.join(F.broadcast(by_repo), "repo").select(
-            "repo", "rel_path", "content",
-            F.array_intersect("all_plain", words).alias("plain"),
-            F.filter("all_quoted", lambda f: F.contains(F.col("content"), f)).alias("quoted"),
-        )
-        return _matching_lines(staged)
-    tokens = F.array_distinct(F.regexp_extract_all(F.col("content"), F.lit(_TOKEN), F.lit(0)))
-    wanted = fields.withColumn("token", _anchor(F.col("field")))
-    hits = (
-        files.select("repo", "rel_path", F.explode(tokens).alias("token"))
+    wanted = fields.select("repo", "field", _anchor(F.col("field")).alias("token"), (~F.col("field").rlike(_PLAIN)).alias("odd"))
+    numbered = files.select("repo", "rel_path", F.posexplode(F.split("content", "\n", -1)).alias("i", "raw"))
+    tokens = F.array_distinct(F.regexp_extract_all(F.col("raw"), F.lit(_TOKEN), F.lit(0)))
+    found = (
+        numbered.select("repo", "rel_path", "i", F.explode(tokens).alias("token"))
         .join(wanted, ["repo", "token"])
+        .groupBy("repo", "rel_path", "i")
+        .agg(F.collect_list(F.struct("field", "odd")).alias("names"))
         .groupBy("repo", "rel_path")
-        .agg(
-            F.collect_list(F.when(plain, F.col("field"))).alias("plain"),
-            F.collect_list(F.when(~plain, F.col("field"))).alias("quoted"),
-        )
+        .agg(F.collect_list(F.struct("i", "names")).alias("hits"))
     )
-    return _matching_lines(files.join(hits, ["repo", "rel_path"]))
-
-
-def consumer_refs(files: DataFrame, fields: DataFrame, broadcast_limit: int = BROADCAST_FIELDS) -> DataFrame:
-    """The first 12 references per (repo, field), by file and line.
-
-    The rank is limited inside each task before the shuffle, so a name used in a third of all lines
-    still moves 12 rows per task.
+    split = F.split("content", "\n", -1)
+    lines = files.join(found, ["repo", "rel_path"]).select("repo", F.col("rel_path").alias("file"), split.alias("all"), F.explode("hits").alias("h"))
+    raw = lines.select("repo", "file", F.col("h.i").alias("i"), F.get("all", F.col("h.i")).alias("raw"), F.col("h.names").alias("names"))
+    text = F.regexp_replace("raw", f"^{_SPACE}+|{_SPACE}+$", "")
+    shown = raw.withColumn("text", text if max_text is None else F.substring(text, 1, max_text))
+    each = shown.select("repo", F.explode("names").alias("n"), "file", (F.col("i") + 1).alias("line"), "text", "raw")
+    here = ~F.col("n.odd") | (F.contains("raw", F.col("n.field")) & F.rlike(F.col("raw"), _whole_word(F.col("n.field"))))
+    return each.where(here).select("repo", F.col("n.field").alias("field"), "file", "line", "text")
+
+
+def consumer_refs(
+    files: DataFrame, fields: DataFrame, limit: int | None = MAX_REFERENCES, max_text: int | None = MAX_TEXT
+) -> DataFrame:
+    """The first ``limit`` references per (repo, field), by file and line, all with ``limit=None``.
+
+    ``total`` is the number of references of the field before the limit. The rank is limited inside each task
+    before the shuffle, so a name used in a third of all lines still moves ``limit`` rows per task.
     """
+    lines = consumer_lines(files, fields, max_text)
+    if limit is None:
+        return lines
+    lines = settle(lines, "references")
     first = Window.partitionBy("repo", "field").orderBy("file", "line")
-    ranked = consumer_lines(files, fields, broadcast_limit).withColumn("rank", F.row_number().over(first))
-    return ranked.where(f"rank <= {MAX_REFERENCES}").drop("rank")
+    ranked = lines.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit).drop("rank")
+    totals = lines.groupBy("repo", "field").agg(F.count(F.lit(1)).alias("total"))
+    return ranked.join(totals, ["repo", "field"])
 
 
 def impact_table(fields: DataFrame, refs: DataFrame) -> DataFrame:
-    """C4: references per broken field as one text, ``none found`` without any (at most 12 each)."""
+    """C4: the references per broken field, counted in full and listed as one text, ``none found`` without any.
+
+    ``refs`` comes from :func:`consumer_refs` with a limit, so that a listing is bounded."""
     listing = F.transform(
         F.array_sort(F.collect_list(F.struct("file", "line", "text"))),
         lambda r: F.concat(F.lit("  "), r.file, F.lit(":"), r.line.cast("string"), F.lit("  "), r.text),
     )
     per_field = refs.groupBy("repo", "field").agg(
-        F.count(F.lit(1)).alias("references"), F.array_join(listing, "\n").alias("listing")
+        F.max("total").alias("references"), F.array_join(listing, "\n").alias("listing")
     )
     return fields.select("repo", "field").distinct().join(per_field, ["repo", "field"], "left").select(
         "repo", "field",

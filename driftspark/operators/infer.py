@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from driftspark.functions.json_types import tag_sql
 from driftspark.model import ENDPOINT, as_nodes, prefixes
+from driftspark.session import settle
 
-# Objects below this depth lose their properties; array elements looked at.
+# Fixed values of schema learning: objects below this depth lose their properties; array elements looked at.
 MAX_OBJECT_DEPTH = 6
 ITEMS_INSPECTED = 3
 
@@ -110,7 +111,10 @@ def _descend(
     ]
     if arrays:
         step_down = [["*", *items], ["*", *kinds], [*carried, *place, *own, "v", *held, *tags], *step_down]
-    return [typed, *(step_down * levels), [*carried, *place, *own]]
+    # What the unrolled steps leave unopened goes along as text, for :func:`_complete`.
+    rest = f"CASE WHEN v IS NOT NULL AND (type = 'array' OR depth <= {MAX_OBJECT_DEPTH}) THEN to_json(v) END AS rest"
+    last = [*carried, *place, *own, rest] if arrays else [*carried, *place, *own]
+    return [typed, *(step_down * levels), last]
 
 
 def _select(df: DataFrame, stages: Sequence[Sequence[str]], at_once: int = 6) -> DataFrame:
@@ -132,10 +136,38 @@ def flatten_values(
 ) -> DataFrame:
     """One row per schema node of a VARIANT value.
 
-    Rows whose value is SQL NULL (unreadable JSON) give nothing. Objects stop at depth 6 and arrays
-    after ``levels`` levels. With ``fold``, an object whose schema text settles its whole subtree
+    Rows whose value is SQL NULL (unreadable JSON) give nothing. Objects stop at depth 6, arrays are followed
+    to any depth: ``levels`` steps are unrolled into one stage, and what is nested deeper is opened in further
+    rounds of as many steps. With ``fold``, an object whose schema text settles its whole subtree
     stays one row with that text as type; :func:`unfold_shapes` brings out its nodes later.
     """
+    flat = _flatten(df, value, carry, levels, examples, union_items, fold)
+    own = ["type", "example"] if examples else ["type"]
+    return _complete(flat, carry, own, levels, union_items, fold and not examples)
+
+
+def _complete(
+    flat: DataFrame, carry: Sequence[str], own: Sequence[str], levels: int, union_items: bool, fold: bool
+) -> DataFrame:
+    """Opens what the unrolled steps left as ``rest``, round by round, until nothing is left.
+
+    The rows so far are written, as they are read for both sides of each round."""
+    steps = _descend(carry, own, levels, union_items, arrays=True, fold=fold)[1:]
+    columns = [*carry, "node_path", "trail", "depth", *own]
+    done = None
+    while True:
+        flat = settle(flat, "flat")
+        closed = flat.where("rest is null").select(*columns)
+        done = closed if done is None else done.unionByName(closed)
+        beyond = flat.where("rest is not null")
+        if beyond.isEmpty():
+            return done
+        flat = _select(beyond, [[*[f"`{c}`" for c in columns], "try_parse_json(rest) AS v"], *steps])
+
+
+def _flatten(
+    df: DataFrame, value: Column, carry: Sequence[str], levels: int, examples: bool, union_items: bool, fold: bool
+) -> DataFrame:
     own = ["type", "example"] if examples else ["type"]
     start = [
         *[f"`{name}`" for name in carry],
@@ -183,18 +215,19 @@ def observed_types(
     its few distinct shapes, and nodes are counted from those.
     """
     node = [*keys, "node_path", "trail", "depth", "type"]
-    flat = flatten_values(
-        payloads, F.try_parse_json(F.col(body)), [*keys, ts], levels, examples, union_items, fold=not examples
+    flat = _flatten(payloads, F.try_parse_json(F.col(body)), [*keys, ts], levels, examples, union_items, not examples)
+    counted = ["samples", "first_seen", "last_seen"]
+    least = [F.min("example").alias("example")] if examples else []
+    shapes = flat.groupBy(*node, "rest").agg(
+        F.count(F.lit(1)).alias("samples"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), *least
     )
+    # Grouped first: what is nested too deep is opened once for all payloads that share it.
+    shapes = _complete(shapes, [*keys, *counted], ["type", "example"] if examples else ["type"], levels, union_items, not examples)
     if examples:
-        return flat.groupBy(*node).agg(
-            F.count(F.lit(1)).alias("samples"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"),
+        return shapes.groupBy(*node).agg(
+            F.sum("samples").alias("samples"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
             F.min("example").alias("example"),
         )
-    counted = ["samples", "first_seen", "last_seen"]
-    shapes = flat.groupBy(*node).agg(
-        F.count(F.lit(1)).alias("samples"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen")
-    )
     return unfold_shapes(shapes, [*keys, *counted]).groupBy(*node).agg(
         F.sum("samples").alias("samples"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
     )

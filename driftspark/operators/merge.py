@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.model import ENDPOINT, NODE, NODE_ATTRIBUTES, Contract, as_nodes, is_property, node_hash, parent_path, prefixes
+from driftspark.model import ENDPOINT, NODE, NODE_ATTRIBUTES, Contract, as_nodes, is_property, node_hash, parent_path
+from driftspark.session import settle
 
 SAMPLED = "sampled"
 _WHERE = [*ENDPOINT, "location"]
@@ -42,8 +43,9 @@ def plan_merge(
 
     A node that is an object, or an array, on both sides is merged child by child. Any other node
     *stops* the descent, and its whole subtree follows the decision made there. Only stops that can
-    have children, and objects that were sampled before, matter to other nodes: that small set is
-    matched with the ancestors of each node by an equi-join.
+    have children, and objects that were sampled before, matter to other nodes: those of one schema are
+    gathered (they are a part of one document) and each node of it looks its ancestors up in its own row.
+    The outer join is written once, as it is read for both sides of that lookup.
     """
     if learn_empty_items:
         options = (
@@ -55,7 +57,7 @@ def plan_merge(
     else:
         b_side = _side(baseline, "b")
     both = b_side.join(_side(observed, "o"), ["node_hash", *NODE], "full_outer").drop("node_hash")
-    both = both.withColumn("rule", _rule(learn_empty_items, widen_numbers)).drop("b_alternatives")
+    both = settle(both.withColumn("rule", _rule(learn_empty_items, widen_numbers)).drop("b_alternatives"), "both")
 
     def holds_children(side: str) -> Column:
         node = F.col(side)
@@ -63,28 +65,27 @@ def plan_merge(
 
     stops = ~F.col("rule").isin("object", "array")
     sampled_object = (F.col("rule") == "object") & F.coalesce(F.col("b.source") == SAMPLED, F.lit(False))
-    ancestors = both.where((stops & (holds_children("b") | holds_children("o"))) | sampled_object).select(
-        *_WHERE,
+    marks = F.struct(
+        F.size("node_path").alias("level"),
         F.col("node_path").alias("prefix"),
-        F.when(
-            stops,
-            F.struct(
-                F.size("node_path").alias("level"),
-                "rule",
-                F.coalesce("b.trail", "o.trail").alias("trail"),
-                F.coalesce(F.col("b.source") == SAMPLED, F.lit(False)).alias("sampled"),
-            ),
-        ).alias("stop"),
-        F.when(sampled_object, F.size("node_path")).alias("sampled_level"),
+        stops.alias("stops"),
+        "rule",
+        F.coalesce("b.trail", "o.trail").alias("trail"),
+        F.coalesce(F.col("b.source") == SAMPLED, F.lit(False)).alias("sampled"),
     )
-    governed = (
-        both.where("size(node_path) > 0")
-        .select(*NODE, F.explode(prefixes(F.col("node_path"))).alias("prefix"))
-        .join(ancestors, [*_WHERE, "prefix"])
-        .groupBy(*NODE)
-        .agg(F.min("stop").alias("stop"), F.collect_set("sampled_level").alias("sampled_levels"))
+    above = (
+        both.where((stops & (holds_children("b") | holds_children("o"))) | sampled_object)
+        .groupBy(*_WHERE).agg(F.array_sort(F.collect_list(marks)).alias("above"))
+    )
+    own_path = F.col("node_path")
+    ancestors = F.filter(
+        "above", lambda a: (a["level"] < F.size(own_path)) & (F.slice(own_path, 1, F.greatest(a["level"], F.lit(0))) == a["prefix"])
+    )
+    planned = both.join(above, _WHERE, "left").withColumn("above", ancestors).select(
+        *NODE, "b", "o", "rule",
+        F.get(F.filter("above", lambda a: a["stops"]), F.lit(0)).alias("stop"),
+        F.transform(F.filter("above", lambda a: ~a["stops"]), lambda a: a["level"]).alias("sampled_levels"),
     )
-    planned = both.join(governed, NODE, "left")
 
     no_levels = F.array().cast("array<int>")
     sampled_levels = F.coalesce("sampled_levels", no_levels)
@@ -125,6 +126,7 @@ def plan_merge(
 def merged_nodes(plan: DataFrame) -> DataFrame:
     """The merged schema (M1-M6) out of :func:`plan_merge`."""
     winner, rule = F.col("winner"), F.col("rule")
+    # The note is a fixed text of the merge.
     conflict = F.coalesce((rule == "conflict") & (winner == "b"), F.lit(False))
     kept = plan.where("winner <> 'none'")
     chosen = F.when(winner == "b", F.col("b")).otherwise(F.col("o"))
@@ -170,9 +172,12 @@ def apply_samples(
     plan = plan_merge(baseline, observed, **options)
     if apply == "always":
         return merged_nodes(plan)
-    changed = field_summary(plan).select(*_WHERE).distinct()
+    plan = settle(plan, "plan")
+    changed = settle(field_summary(plan).select(*_WHERE).distinct(), "changed")
     adopted = merged_nodes(plan.join(changed, _WHERE, "left_semi"))
-    return adopted.unionByName(as_nodes(baseline.join(changed, _WHERE, "left_anti")))
+    # The baseline's own rows are the ``b`` sides of the plan: nothing is read or joined again.
+    rest = plan.where("b is not null").join(changed, _WHERE, "left_anti").select(*NODE, "b.*")
+    return adopted.unionByName(as_nodes(rest))
 
 
 def type_conflicts(merged: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.model import ENDPOINT
+from driftspark.model import ENDPOINT, as_nodes, nodes_to_schema
 
+# Matches listed if nothing else is asked for, and at most, by the interactive search.
 DEFAULT_LIMIT, MAX_LIMIT = 10, 50
 _APP = ["owner", "app"]
 _BODY, _QUERY, _PATH = 3, 2, 1
@@ -23,14 +24,23 @@ def current(published: DataFrame) -> DataFrame:
     return published.withColumn("rank", F.row_number().over(newest)).where("rank = 1").drop("rank")
 
 
-def search(published: DataFrame, query: str | None = None, stack: str | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Current contracts whose ``owner/app`` contains the query, whatever the case, by slug."""
+def search(
+    published: DataFrame, query: str | None = None, stack: str | None = None, limit: int | None = DEFAULT_LIMIT,
+    most: int | None = MAX_LIMIT,
+) -> DataFrame:
+    """Current contracts whose ``owner/app`` contains the query, whatever the case, by slug.
+
+    At most ``limit`` rows, and never more than ``most``; both ``None`` gives all matches, in no order. A
+    limited result has ``matches``, the number of all."""
     found = current(published).withColumn("slug", F.concat_ws("/", "owner", "app"))
     if query:
         found = found.where(F.contains(F.lower("slug"), F.lit(query.lower())))
     if stack:
         found = found.where(F.col("stack") == stack)
-    return found.orderBy("slug").limit(min(limit, MAX_LIMIT))
+    bounds = [n for n in (limit, most) if n is not None]
+    if not bounds:
+        return found
+    return found.orderBy("slug").limit(min(bounds)).withColumn("matches", F.lit(found.count()))
 
 
 def lookup(published: DataFrame, owner: str, app: str) -> DataFrame:
@@ -56,6 +66,25 @@ def tools(endpoints: DataFrame) -> DataFrame:
     return named.join(counts, [*_APP, "tool"])
 
 
+def tool_schemas(nodes: DataFrame) -> DataFrame:
+    """G5 in full: per tool and input name the whole property schema of the winning source, as JSON Schema text.
+
+    The nodes below each winning property become a schema of their own; large apps stay spread over tools.
+    """
+    winners = tool_inputs(nodes)
+    below = nodes.where("size(node_path) >= 1 and location in ('path', 'query', 'body')").withColumn("top", F.element_at("node_path", 1))
+    kept = below.join(winners.select(*ENDPOINT, "location", F.col("name").alias("top")), [*ENDPOINT, "location", "top"], "left_semi")
+    rooted = kept.select(
+        "owner", "app", "method", "path", F.to_json(F.struct("location", "top")).alias("location"),
+        F.slice("node_path", F.lit(2), F.size("node_path")).alias("node_path"), F.substring("trail", 2, 1 << 30).alias("trail"),
+        "type", F.when(F.size("node_path") > 1, F.col("required")).otherwise(F.lit(False)).alias("required"), "source", "sampled_type", "note", "example",
+    )
+    schemas = nodes_to_schema(as_nodes(rooted)).select(
+        *ENDPOINT, F.get_json_object("location", "$.top").alias("name"), "schema"
+    )
+    return winners.join(schemas, [*ENDPOINT, "name"])
+
+
 def tool_inputs(nodes: DataFrame) -> DataFrame:
     """Input properties per tool. A later source of the same name wins (path, query, body).
 

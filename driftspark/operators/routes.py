@@ -164,20 +164,20 @@ def _comment(content: Column, start: str) -> Column:
 
 
 def _ints(codes: Column) -> Column:
+    """Distinct codes, 200 where there is no response call; a number that is no integer gives no code."""
     fallback = F.array(F.lit(200))
-    return F.when(F.size(codes) > 0, F.array_distinct(codes)).otherwise(fallback)
+    return F.when(F.size(codes) > 0, F.array_distinct(F.array_compact(codes))).otherwise(fallback)
 
 
 def app_status_codes(handler: Column) -> Column:
     """R10, App Router: ``{status: N}`` of each response call, 200 without one."""
-    calls = F.filter(
-        F.slice(F.split(handler, P.APP_RESPONSE), 2, 1_000_000), lambda call: ~call.rlike(r"\A\s*\)")
-    )
+    pieces = F.split(handler, P.APP_RESPONSE)
+    calls = F.filter(F.slice(pieces, F.lit(2), F.size(pieces)), lambda call: ~call.rlike(r"\A\s*\)"))
 
     def code(call: Column) -> Column:
         statement = F.element_at(F.split(call, r"\)\s*;", 2), 1)
         found = F.regexp_extract(F.concat(statement, F.lit(")")), P.APP_STATUS, 1)
-        return F.coalesce(F.try_to_number(F.nullif(found, F.lit("")), F.lit("999999")).cast("int"), F.lit(200))
+        return F.when(found == "", F.lit(200)).otherwise(found.try_cast("int"))
 
     return _ints(F.transform(calls, code))
 
@@ -186,7 +186,7 @@ def pages_status_codes(content: Column) -> Column:
     """R10, Pages Router: ``res.status(N).json(`` and ``res.json(``."""
     calls = F.regexp_extract_all(content, F.lit(P.PAGES_RESPONSE), F.lit(1))
     return _ints(
-        F.transform(calls, lambda arg: F.when(F.trim(arg).rlike(r"^\d{1,6}$"), F.trim(arg)).otherwise("200").cast("int"))
+        F.transform(calls, lambda arg: F.when(F.trim(arg).rlike(r"^\d+$"), F.trim(arg)).otherwise("200").try_cast("int"))
     )
 
 

@@ -215,8 +215,9 @@ lines AS (SELECT lang AS repo, 'src/' || source || '/' || doc_id || '.ts' AS fil
     unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
 tokens AS (SELECT DISTINCT repo, file, line, raw, unnest(regexp_extract_all(raw, '[A-Za-z0-9_]+')) AS field FROM lines),
 refs AS (SELECT t.repo, t.field, t.file, t.line, substr(regexp_replace(t.raw, '^{_SPACE}+|{_SPACE}+$', '', 'g'), 1, 120) AS text
-  FROM tokens t JOIN wanted w USING (repo, field)
-  QUALIFY row_number() OVER (PARTITION BY t.repo, t.field ORDER BY t.file, t.line) <= 12)"""
+  FROM tokens t JOIN wanted w USING (repo, field)),
+listed AS (SELECT *, count(*) OVER (PARTITION BY repo, field) AS total FROM refs
+  QUALIFY row_number() OVER (PARTITION BY repo, field ORDER BY file, line) <= 12)"""
 
 _PUBLISHED = """
 published AS (SELECT 'user' || (o_custkey % 97) AS owner, 'App-' || o_custkey AS app, o_orderkey AS version,
@@ -231,14 +232,18 @@ s AS (SELECT *, CASE WHEN us - (lag(us) OVER (PARTITION BY user_id ORDER BY us))
 i AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM s),
 sessions AS (SELECT user_id, min(us) AS first, max(us) AS last, count(*) AS events FROM i GROUP BY user_id, island)"""
 
+# The first batch adopts what it sees; the second drops what only the code knew of objects sampled before.
 _CONTINUOUS = f"""
-WITH {_EVENT_PAYLOADS}, ok AS (SELECT path, replace(path, '/api/events/', '') AS event, json_exists(body, '$.high') AS high FROM p
+WITH p AS (SELECT event_id % 3 AS batch, ts, {T.payload_sql(T.EVENT_PAYLOAD)} FROM events),
+ok AS (SELECT batch, path, replace(path, '/api/events/', '') AS event, json_exists(body, '$.high') AS high FROM p
     WHERE method <> 'POST' AND content_type LIKE '%application/json%' AND json_valid(body)),
-seen AS (SELECT path, event, bool_or(high) AS high FROM ok GROUP BY ALL)
-SELECT path, 'response' AS field, 'non-breaking' AS change_type, 'schema_added' AS kind, 'response schema added' AS message FROM seen WHERE event = 'error'
-UNION ALL SELECT path, 'response.k', 'non-breaking', 'field_added', 'Field "response.k" was added' FROM seen WHERE event = 'click'
-UNION ALL SELECT path, 'response.high', 'non-breaking', 'field_added', 'Field "response.high" was added' FROM seen WHERE high AND event IN ('click', 'view', 'purchase')
-UNION ALL SELECT path, 'response.gone', 'breaking', 'field_removed', 'Field "response.gone" was removed' FROM seen WHERE event = 'view'
+seen AS (SELECT batch, path, event, bool_or(high) AS high FROM ok GROUP BY ALL),
+drift AS (
+  SELECT batch, path, 'response' AS field, 'non-breaking' AS change_type, 'schema_added' AS kind, 'response schema added' AS message FROM seen WHERE batch = 0 AND event = 'error'
+  UNION ALL SELECT batch, path, 'response.k', 'non-breaking', 'field_added', 'Field "response.k" was added' FROM seen WHERE batch = 0 AND event = 'click'
+  UNION ALL SELECT batch, path, 'response.high', 'non-breaking', 'field_added', 'Field "response.high" was added' FROM seen WHERE batch = 0 AND high AND event IN ('click', 'view', 'purchase')
+  UNION ALL SELECT batch, path, 'response.gone', 'breaking', 'field_removed', 'Field "response.gone" was removed' FROM seen WHERE batch = 0 AND event = 'view'
+  UNION ALL SELECT batch, path, 'response.kept', 'breaking', 'field_removed', 'Field "response.kept" was removed' FROM seen WHERE batch = 1 AND event = 'purchase')
 """
 
 _MERGED = "owner, app, path, type, source, sampled_type, note, p AS node"
@@ -289,23 +294,59 @@ ORACLE: dict[str, str] = {
     "source_signals": f"WITH {_ROUTES} SELECT repo, path, method, inferability, description, note, query_names, status_codes FROM signals",
     "broken_fields": f"{_CONTRACTS}, {_FIELD_CHANGES} SELECT owner, replace(field, 'response.', '') AS field_name, count(*) AS changes FROM field_changes "
     "WHERE change_type = 'breaking' AND field LIKE 'response.%' GROUP BY ALL",
-    "consumer_refs": f"WITH {_REFS} SELECT repo, field, file, cast(line AS integer) AS line, text FROM refs",
-    "impact_table": f"WITH {_REFS} SELECT w.repo, w.field, count(r.file) AS \"references\", "
+    "consumer_refs": f"WITH {_REFS} SELECT repo, field, file, cast(line AS integer) AS line FROM refs",
+    "consumer_listing": f"WITH {_REFS} SELECT repo, field, file, cast(line AS integer) AS line, text, total FROM listed",
+    "impact_table": f"WITH {_REFS} SELECT w.repo, w.field, coalesce(max(r.total), 0) AS \"references\", "
     "coalesce(string_agg('  ' || r.file || ':' || r.line || '  ' || r.text, chr(10) ORDER BY r.file, r.line), 'none found') AS listing "
-    "FROM wanted w LEFT JOIN refs r USING (repo, field) GROUP BY w.repo, w.field",
+    "FROM wanted w LEFT JOIN listed r USING (repo, field) GROUP BY w.repo, w.field",
     "contract_as_of": f"WITH {_PUBLISHED} SELECT owner, app, coalesce(max(version) FILTER (version <= 3000), -1) AS found_version, "
     "CASE WHEN min(version) <= 3000 THEN 'found' ELSE 'missing' END AS status FROM published GROUP BY owner, app",
     "registry_current": f"WITH {_PUBLISHED} SELECT owner, app, version, stack, CASE WHEN stack = 'nextjs-hybrid' THEN lower(app) ELSE replace(lower(app), '-', '') END AS name FROM current",
     "registry_search": f"WITH {_PUBLISHED} SELECT owner || '/' || app AS slug, version, stack FROM current "
+    "WHERE contains(lower(owner || '/' || app), 'r1') AND stack = 'nextjs-app-router'",
+    "registry_search_top": f"WITH {_PUBLISHED} SELECT owner || '/' || app AS slug, version, stack, count(*) OVER () AS matches FROM current "
     "WHERE contains(lower(owner || '/' || app), 'r1') AND stack = 'nextjs-app-router' ORDER BY slug LIMIT 50",
     "registry_lookup": f"WITH {_PUBLISHED} SELECT owner, app, version, stack FROM current WHERE owner = 'user5' AND app = 'App-5'",
     "tool_catalog": f"WITH {_ROUTES}, t AS (SELECT repo AS app, method, path, {_TOOL.format(path='path')} AS tool, coalesce(description, method || ' ' || path) AS description FROM signals) "
     "SELECT *, count(*) OVER (PARTITION BY app, tool) AS name_count FROM t",
-    "tool_inputs": f"{_CONTRACTS}, f AS (SELECT *, CASE location WHEN 'path' THEN 1 WHEN 'query' THEN 2 ELSE 3 END AS priority FROM new_n WHERE name <> '' AND location <> 'response') "
+    "tool_inputs": f"{_CONTRACTS}, f AS (SELECT *, CASE location WHEN 'path' THEN 1 WHEN 'query' THEN 2 ELSE 3 END AS priority FROM all_n WHERE name <> '' AND location <> 'response') "
     f"SELECT {_ENDPOINT}, {_TOOL.format(path='path')} AS tool, name, arg_max(type, priority) AS type, arg_max(location, priority) AS location, "
     "bool_or(location = 'path' OR location = 'body' AND required) AS required FROM f GROUP BY owner, app, method, path, name",
-    "snapshot_documents": f"{_CONTRACTS} SELECT owner, location, name, type, required, count(*) AS nodes, count(DISTINCT path) AS endpoints FROM new_n GROUP BY owner, location, name, type, required",
+    "tool_schemas": f"{_CONTRACTS}, f AS (SELECT *, CASE location WHEN 'path' THEN 1 WHEN 'query' THEN 2 ELSE 3 END AS priority FROM all_n WHERE name <> '' AND location <> 'response'), "
+    f"w AS (SELECT {_ENDPOINT}, name, arg_max(type, priority) AS type, arg_max(location, priority) AS location, "
+    "bool_or(location = 'path' OR location = 'body' AND required) AS required FROM f GROUP BY owner, app, method, path, name) "
+    f"SELECT {_ENDPOINT}, name, location, required, '{{\"type\":\"' || type || '\"' || CASE WHEN location = 'body' AND name = 'customer' "
+    "THEN ',\"required\":[\"id\"],\"properties\":{\"id\":{\"type\":\"string\"}}' ELSE '' END || '}' AS schema FROM w",
+    "snapshot_documents": f"{_CONTRACTS} SELECT owner, app, location, name, type, required, CASE WHEN name = 'total' THEN 'sampled' END AS source, "
+    "CASE WHEN location = 'body' AND name = '' THEN 'nowhere' END AS required_names, count(*) AS nodes, count(DISTINCT path) AS endpoints "
+    "FROM all_n GROUP BY owner, app, location, name, type, required",
+    "payload_deep_arrays": f"WITH p AS (SELECT {T.payload_sql(T.DEEP_PAYLOAD)}, cast(o_custkey % 15 AS integer) AS n FROM orders) "
+    "SELECT path, depth, CASE WHEN depth <= n THEN repeat('i', depth) ELSE repeat('i', n) || 'p' END AS trail, "
+    "CASE WHEN depth < n THEN 'array' WHEN depth = n THEN 'object' ELSE 'integer' END AS type, count(*) AS samples "
+    "FROM (SELECT path, n, cast(unnest(range(0, CASE WHEN n > 6 THEN n + 1 ELSE n + 2 END)) AS integer) AS depth FROM p) GROUP BY ALL",
+    "sample_status": f"""WITH {_EVENT_PAYLOADS},
+      c AS (SELECT *, replace(path, '/api/events/', '') AS event, CASE WHEN method NOT IN ('GET', 'DELETE') THEN 'skipped'
+        WHEN coalesce(content_type, '') NOT LIKE '%application/json%' OR NOT json_valid(body) THEN 'failed' ELSE 'sampled' END AS outcome FROM p),
+      e AS (SELECT method, path, event, bool_or(outcome = 'sampled') AS ok, bool_or(outcome = 'sampled' AND json_exists(CASE WHEN json_valid(body) THEN body END, '$.high')) AS high FROM c GROUP BY ALL)
+      SELECT method, path, CASE WHEN ok THEN 'sampled' ELSE 'skipped' END AS outcome, CASE WHEN NOT ok THEN method || ' skipped (write methods are not sampled)' END AS reason,
+        CASE WHEN ok AND event = 'error' THEN 500 WHEN ok THEN 200 END AS status,
+        CASE WHEN NOT ok THEN '' ELSE CASE WHEN high THEN 'high' ELSE '' END || CASE WHEN high AND event IN ('click', 'error') THEN ',' ELSE '' END
+          || CASE WHEN event IN ('click', 'error') THEN 'k' ELSE '' END END AS new_fields, CASE WHEN ok AND event = 'view' THEN 'gone' ELSE '' END AS removed_fields FROM e
+      UNION ALL SELECT method, path || '/archive', 'skipped', 'No payload', NULL, '', '' FROM e""",
+    "corpus_duplicates": "SELECT 'org' AS owner, replace(p_brand, '#', '-') AS app, 'GET' AS method, '/api/p' || p_partkey AS path, "
+    "CASE WHEN p_size > 25 THEN 'app/api/p' || p_partkey || '/route.ts' ELSE 'pages/api/p' || p_partkey || '.ts' END AS source_file, "
+    "CASE WHEN p_size > 25 THEN 'app' ELSE 'pages' END AS router_type FROM part",
+    "corpus_read": "SELECT lang, cast(sum(length(text) + 1) AS bigint) AS characters, cast(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS bigint) AS lines, "
+    "cast(sum(len(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS bigint) AS words FROM documents GROUP BY lang",
+    "late_events": """WITH e AS (SELECT event_id % 3 AS batch, epoch_us(ts) AS us FROM events), n AS (SELECT batch, max(us) AS newest FROM e GROUP BY batch),
+      w AS (SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000000 AS watermark FROM n)
+      SELECT batch, count(*) AS rows, count(*) FILTER (us < watermark) AS late, watermark FROM e JOIN w USING (batch) GROUP BY batch, watermark""",
     "debounced_checks": f"WITH {_SESSIONS} SELECT * FROM sessions",
     "debounced_stream": f"WITH {_SESSIONS} SELECT * FROM sessions WHERE last + 1800000000 <= (SELECT max(us) FROM e) - 600000000",
-    "continuous_drift": _CONTINUOUS,
+    "continuous_drift": f"{_CONTINUOUS} SELECT * FROM drift",
+    "continuous_gate": f"{_CONTINUOUS}, files AS (SELECT count(*) AS n FROM documents), b AS (SELECT DISTINCT batch FROM seen) "
+    "SELECT b.batch, 'shop' AS owner, 'tracker' AS app, count(*) FILTER (change_type = 'breaking') AS breaking, count(*) FILTER (change_type = 'non-breaking') AS non_breaking, "
+    "0::bigint AS additive, count(*) FILTER (change_type = 'breaking') > 0 AS failed, "
+    "CASE WHEN b.batch = 0 THEN (SELECT n FROM files) ELSE 0 END AS \"references\", CASE WHEN b.batch = 2 THEN 12::bigint END AS nodes "
+    "FROM b LEFT JOIN drift d USING (batch) GROUP BY b.batch",
 }

@@ -15,8 +15,9 @@ from driftspark.plans import tables as T
 from driftspark.session import configure, settle, shared_folder
 from driftspark.sources import payloads as log
 from driftspark.sources import snapshots
-from driftspark.sources.corpus import outside
-from driftspark.streaming.debounce import debounce, debounce_stream
+from driftspark.plans.workflows import contract_of_corpus
+from driftspark.sources.corpus import outside, read_corpus
+from driftspark.streaming.debounce import LateRows, debounce, debounce_stream
 from driftspark.streaming.drift import DriftCheck
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +74,13 @@ def payload_nested_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.select("owner", "app", node_text(), "depth", "type", "samples")
 
 
+@query
+def payload_deep_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I3 on arrays nested deeper than one round of steps opens."""
+    types = infer.observed_types(T.deep_payloads(spark, sf_dir))
+    return types.select("path", "depth", "trail", "type", "samples")
+
+
 @query
 def payload_array_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every order as one array of mixed elements."""
@@ -114,6 +122,21 @@ def payload_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def sample_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sampling gave for every endpoint of the events, and for one nobody calls."""
+    payloads = T.event_payloads(spark, sf_dir)
+    called = settle(payloads.select(*ENDPOINT).distinct(), "endpoints")
+    endpoints = called.union(called.select("owner", "app", "method", F.concat("path", F.lit("/archive"))))
+    types = settle(infer.observed_types(log.sampled(payloads)), "types")
+    plan = merge.plan_merge(_event_baseline(called), infer.observed_nodes(types))
+    status = log.sample_status(endpoints, payloads, merge.field_summary(plan))
+    return status.select(
+        "method", "path", "outcome", "reason", "status", F.array_join("new_fields", ",").alias("new_fields"),
+        F.array_join("removed_fields", ",").alias("removed_fields"),
+    )
+
+
 @query
 def sampling_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Endpoints whose response was sampled before."""
@@ -227,6 +250,13 @@ def duplicate_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.endpoints.join(declared, ENDPOINT).select("path", "ordinal", "endpoint_ordinal", (F.col("nodes") > 0).alias("has_nodes"))
 
 
+@query
+def corpus_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D0 on a scanned corpus: App files before Pages files, files by path; the last declaration counts."""
+    contract = diff.last_wins(contract_of_corpus(T.duplicate_files(spark, sf_dir)))
+    return contract.endpoints.select("owner", "app", "method", "path", "source_file", "router_type")
+
+
 @query
 def drift_report_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per class and the verdict for every app."""
@@ -263,6 +293,21 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).alias("characters"))
 
 
+@query
+def corpus_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files, one folder per language, and read as a source corpus."""
+    root = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    texts = T.table(spark, sf_dir, "documents").selectExpr("lang", "text")
+    texts.write.partitionBy("lang").option("maxRecordsPerFile", 1000).text(root)
+    files = read_corpus(spark, root, ("txt",))
+    lines = F.split("content", "\n", -1)
+    return files.groupBy(F.replace("repo", F.lit("lang="), F.lit("")).alias("lang")).agg(
+        F.sum(F.length("content")).alias("characters"),
+        F.sum(F.size(lines) - 1).alias("lines"),
+        F.sum(F.size(F.regexp_extract_all("content", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("words"),
+    )
+
+
 @query
 def repo_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1."""
@@ -312,7 +357,14 @@ def broken_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def consumer_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark words as broken fields, documents as source files."""
+    """Benchmark words as broken fields, documents as source files; every reference."""
+    refs = impact.consumer_refs(T.document_files(spark, sf_dir), T.benchmark_fields(spark, sf_dir), limit=None)
+    return refs.select("repo", "field", "file", "line")
+
+
+@query
+def consumer_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first references of each field, with the number of all."""
     return impact.consumer_refs(T.document_files(spark, sf_dir), T.benchmark_fields(spark, sf_dir))
 
 
@@ -355,8 +407,16 @@ def registry_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def registry_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top 50 current apps of one stack whose slug matches."""
-    return registry.search(_published(spark, sf_dir), "R1", "nextjs-app-router", 200).select("slug", "version", "stack")
+    """All current apps of one stack whose slug matches."""
+    found = registry.search(_published(spark, sf_dir), "R1", "nextjs-app-router", None, None)
+    return found.select("slug", "version", "stack")
+
+
+@query
+def registry_search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 as the interactive search shows it: at most 50, with the number of all matches."""
+    found = registry.search(_published(spark, sf_dir), "R1", "nextjs-app-router", 200)
+    return found.select("slug", "version", "stack", "matches")
 
 
 @query
@@ -375,29 +435,42 @@ def tool_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tool_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G5 on the new contract of all orders."""
-    inputs = registry.tool_inputs(T.order_contract(spark, sf_dir, new=True).nodes)
+    """G5 on the contract of all orders."""
+    inputs = registry.tool_inputs(T.order_contract(spark, sf_dir, new=True, everything=True).nodes)
     return inputs.select("owner", "app", "method", "path", "tool", "name", "type", "location", "required")
 
 
+@query
+def tool_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5 with the whole schema of each input; customers of the body have a nested id."""
+    nodes = T.order_contract(spark, sf_dir, new=True, everything=True).nodes
+    customer = nodes.where("location = 'body' and name = 'customer'")
+    nested = customer.withColumn("node_path", F.array(F.lit("customer"), F.lit("id"))).withColumn("trail", F.lit("pp")).withColumn(
+        "name", F.lit("id")).withColumn("depth", F.lit(2)).withColumn("type", F.lit("string")).withColumn("required", F.lit(True))
+    schemas = registry.tool_schemas(nodes.unionByName(nested))
+    return schemas.select("owner", "app", "method", "path", "name", "location", "required", "schema")
+
+
 @query
 def snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contracts written as JSON documents, read back, and flattened again."""
-    contract = T.order_contract(spark, sf_dir, new=True)
-    # Documents per owner keep the number of files small: the app moves into the path.
-    path = F.concat(F.lit("/"), F.col("app"), F.col("path"))
-    endpoints = contract.endpoints.withColumn("path", path).withColumn("app", F.lit("all"))
-    endpoints = endpoints.withColumn("source_file", F.lit("a.ts")).withColumn("router_type", F.lit(None).cast("string"))
-    nodes = contract.nodes.withColumn("path", path).withColumn("app", F.lit("all"))
-    heads = T.table(spark, sf_dir, "orders").selectExpr("o_orderpriority AS owner").distinct().selectExpr(
-        "owner", "'all' AS app", "1L AS version", "timestamp '2024-01-01 00:00:00' AS generated_at", "'/r' AS project_root", "'nextjs-hybrid' AS stack"
+    """The contract of every app written as a JSON document, read back, and flattened again."""
+    contract = T.order_contract(spark, sf_dir, new=True, everything=True)
+    endpoints = contract.endpoints.withColumn("source_file", F.lit("a.ts")).withColumn("router_type", F.lit(None).cast("string"))
+    nodes = contract.nodes.withColumn("source", F.when(F.col("name") == "total", "sampled")).withColumn(
+        "required_names", F.when(F.expr("location = 'body' and size(node_path) = 0"), F.array(F.lit("nowhere")))
+    )
+    heads = endpoints.select("owner", "app").distinct().selectExpr(
+        "owner", "app", "1L AS version", "timestamp '2024-01-01 00:00:00' AS generated_at", "'/r' AS project_root", "'nextjs-hybrid' AS stack",
+        "'x-learned' AS annotations",
     )
     root = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
     snapshots.write_documents(snapshots.to_documents(heads, Contract(endpoints, nodes)), root)
-    again = snapshots.to_contract(snapshots.read_documents(spark, root), levels=3)
-    return again.nodes.groupBy("owner", "location", F.coalesce("name", F.lit("")).alias("name"), "type", "required").agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_distinct("path").alias("endpoints")
-    )
+    documents = snapshots.read_documents(spark, root)
+    again = snapshots.to_contract(documents, levels=3).nodes
+    return again.groupBy(
+        "owner", "app", "location", F.coalesce("name", F.lit("")).alias("name"), "type", "required", "source",
+        F.array_join("required_names", ",").alias("required_names"),
+    ).agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("path").alias("endpoints"))
 
 
 # --- streaming (T1-T3) ----------------------------------------------------------------------------
@@ -428,11 +501,24 @@ def debounced_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def continuous_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drift of a stream of event payloads against a baseline with one rule per event type."""
-    folder = f"{shared_folder(spark)}/drift-{uuid.uuid4().hex}"
-    kinds = T.event_payloads(spark, sf_dir).select(*ENDPOINT).distinct()
-    endpoints = settle(kinds, "endpoints")
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that come too late, for each of three batches of a stream."""
+    folder = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    late = LateRows(spark, folder, "ts", 10 * 60 * 1_000_000)
+    late.run(_three_batches(spark, sf_dir, folder), f"{folder}/checkpoint").awaitTermination()
+    return late.table().select("batch", "rows", "late", "watermark")
+
+
+def _three_batches(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """All events as a stream of three batches: a third of the ids each, in files written one after another."""
+    events = T.table(spark, sf_dir, "events")
+    for third in range(3):
+        part = events.where(F.col("event_id") % 3 == third)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/input")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/input")
+
+
+def _event_baseline(endpoints: DataFrame) -> DataFrame:
     event = F.element_at(F.split("path", "/"), -1)
 
     def node(name: str, kind: str, source: str | None = None) -> Column:
@@ -443,15 +529,44 @@ def continuous_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(event == "view", F.array(node("", "object"), node("k", "integer"), node("gone", "string", "sampled")))
         .when(event == "purchase", F.array(node("", "object"), node("k", "string"), node("kept", "string")))
     )
-    baseline = endpoints.select(*ENDPOINT, F.explode(known).alias("x")).select(
+    return as_nodes(endpoints.select(*ENDPOINT, F.explode(known).alias("x")).select(
         *ENDPOINT, "x.type", "x.source", F.lit("response").alias("location"),
         F.when(F.col("x.n") == "", F.array().cast("array<string>")).otherwise(F.array("x.n")).alias("node_path"),
         F.when(F.col("x.n") == "", "").otherwise("p").alias("trail"),
+    ))
+
+
+def _drift(spark: SparkSession, sf_dir: str) -> DriftCheck:
+    folder = f"{shared_folder(spark)}/drift-{uuid.uuid4().hex}"
+    endpoints = settle(T.event_payloads(spark, sf_dir).select(*ENDPOINT).distinct(), "endpoints")
+    files = T.table(spark, sf_dir, "documents").selectExpr(
+        "'shop/tracker' AS repo", "concat('src/', cast(doc_id as string), '.ts') AS rel_path", "concat(source, ' gone ', lang) AS content"
     )
-    check = DriftCheck(spark, folder, endpoints).start_from(as_nodes(baseline))
-    stream = _event_stream(spark, sf_dir).selectExpr("ts", *T.payload_sql_list(T.EVENT_PAYLOAD))
+    check = DriftCheck(spark, folder, endpoints, files=files, compact_every=2).start_from(_event_baseline(endpoints))
+    stream = _three_batches(spark, sf_dir, folder).selectExpr("ts", *T.payload_sql_list(T.EVENT_PAYLOAD))
     check.run(stream, f"{folder}/checkpoint").awaitTermination()
-    return check.changes().select("path", "field", "change_type", "kind", "message")
+    return check
+
+
+@query
+def continuous_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of a stream of event payloads, in three batches, against a baseline with one rule per event type."""
+    return _drift(spark, sf_dir).changes().select("batch", "path", "field", "change_type", "kind", "message")
+
+
+@query
+def continuous_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and gate of each batch, the references of the fields it broke, and the baseline it left."""
+    check = _drift(spark, sf_dir)
+    left = check.baseline(3).groupBy().agg(F.count(F.lit(1)).alias("nodes"))
+    reports = check.reports().join(
+        check.broken().groupBy("batch").agg(F.sum("references").alias("references")), "batch", "left"
+    )
+    last = F.broadcast(left.select("nodes", F.lit(2).cast("bigint").alias("last")))  # one row
+    return reports.join(last, F.col("batch") == F.col("last"), "left").select(
+        "batch", "owner", "app", "breaking", "non_breaking", "additive", "failed",
+        F.coalesce("references", F.lit(0)).cast("bigint").alias("references"), "nodes",
+    )
 
 
 def names() -> list[str]:

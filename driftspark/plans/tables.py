@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.model import Contract, as_nodes
-from driftspark.sources.spread import read_spread
+from driftspark.session import dealt
 
 Spec = list[dict[str, str]]
 
@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return read_spread(spark, f"{sf_dir}/{name}.parquet", columns)
+    found = table(spark, sf_dir, name)
+    return dealt(found.select(*columns) if columns else found)
 
 
 def inline(spec: Spec) -> str:
@@ -143,8 +144,12 @@ def _codes(by_status: dict[str, list[int]], array: str, close: str) -> str:
     return f"CASE o_orderstatus {cases} END"
 
 
-def order_contract(spark: SparkSession, sf_dir: str, new: bool) -> Contract:
-    orders = spread(spark, sf_dir, "orders").where(NEW_ORDERS if new else OLD_ORDERS)
+def order_contract(spark: SparkSession, sf_dir: str, new: bool, everything: bool = False) -> Contract:
+    """One of two versions, each without the orders of a period (so that endpoints come and go), or the fields
+    of one on all orders."""
+    orders = spread(spark, sf_dir, "orders")
+    if not everything:
+        orders = orders.where(NEW_ORDERS if new else OLD_ORDERS)
     endpoint = payload_sql_list(ENDPOINT_OF_ORDER)
     endpoints = orders.selectExpr(
         *endpoint, "0 AS ordinal", f"{_codes(CODES_NEW if new else CODES_OLD, 'array(', ')')} AS status_codes",
@@ -160,9 +165,9 @@ def _with_path(nodes: DataFrame) -> DataFrame:
 
 
 def contract_ctes() -> str:
-    """CTEs old_e, new_e, old_n, new_n of the same contracts for the checking engine."""
+    """CTEs old_e, new_e, old_n, new_n of the same contracts, and all_n on all orders, for the checking engine."""
     endpoint = payload_sql(ENDPOINT_OF_ORDER)
-    parts = []
+    parts = [f"all_n AS (SELECT * FROM (SELECT {endpoint}, {unnest(NEW_FIELDS)} FROM orders) WHERE there)"]
     for side, where, codes, text, fields in (
         ("old", OLD_ORDERS, CODES_OLD, DESCRIPTION_OLD, OLD_FIELDS), ("new", NEW_ORDERS, CODES_NEW, DESCRIPTION_NEW, NEW_FIELDS),
     ):
@@ -173,6 +178,17 @@ def contract_ctes() -> str:
     return ", ".join(parts)
 
 
+# Nested arrays: each order's key below o_custkey % 15 arrays.
+DEEP_PAYLOAD = {
+    "owner": "'shop'", "app": "'deep'", "method": "'GET'", "path": "concat('/deep/', cast(o_custkey % 15 as varchar(5)))",
+    "body": "concat(repeat('[', cast(o_custkey % 15 as int)), '{\"id\":', cast(o_orderkey as varchar(20)), '}', repeat(']', cast(o_custkey % 15 as int)))",
+}
+
+
+def deep_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, sf_dir, "orders").selectExpr("o_orderdate AS ts", *payload_sql_list(DEEP_PAYLOAD))
+
+
 # --- baseline and observed schemas, one endpoint per part -----------------------------------------
 
 ENDPOINT_OF_PART = {
@@ -269,6 +285,15 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark, sf_dir, "part").selectExpr(*payload_sql_list(FILE_OF_PART))
 
 
+def duplicate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two App files and one Pages file per part that declare the same endpoint."""
+    paths = "array('app/api/p{0}/route.js', 'app/api/p{0}/route.ts', 'pages/api/p{0}.ts')".replace("{0}", "', cast(p_partkey as string), '")
+    paths = paths.replace("'app", "concat('app").replace("'pages", "concat('pages").replace(".js'", ".js')").replace(".ts'", ".ts')")
+    made = spread(spark, sf_dir, "part").selectExpr("concat('org/', replace(p_brand, '#', '-')) AS repo", "p_size", f"explode({paths}) AS rel_path")
+    app = "CASE WHEN p_size > 25 AND rel_path LIKE 'pages/%' THEN 'export const unused = 1;' WHEN rel_path LIKE 'pages/%' THEN 'export default (req, res) => res.json({});' ELSE 'export function GET() { return Response.json({}); }' END AS content"
+    return made.selectExpr("repo", "rel_path", app)
+
+
 def files_cte() -> str:
     return f"f AS (SELECT {payload_sql(FILE_OF_PART)}, part.* FROM part)"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.model import ENDPOINT, Contract, as_nodes
@@ -16,6 +16,17 @@ from driftspark.sources import snapshots
 UNTYPED = "response is typed from payloads"
 
 
+def scan_order() -> Column:
+    """The place of an endpoint's declaration in the scan, as a number.
+
+    App routes come before Pages routes, files by path, methods of a file in order; of declarations of one
+    endpoint the last one wins, so only the order within (owner, app, method, path) has to be right. Few files
+    declare one endpoint, so the window never holds a large group.
+    """
+    same = Window.partitionBy("owner", "app", "method", "path")
+    return F.row_number().over(same.orderBy(F.col("router_type") == "pages", "source_file", "position")).cast("bigint") - 1
+
+
 def contract_of_corpus(files: DataFrame) -> Contract:
     """Contract found in a source corpus: owner and app are the two parts of ``repo`` (``owner/app``).
 
@@ -30,10 +41,7 @@ def contract_of_corpus(files: DataFrame) -> Contract:
         "method", "path", F.col("rel_path").alias("source_file"), "router_type", "status_codes", "description",
         "query_names", "note", "position",
     )
-    # Pages routes are listed after App routes, methods of a file in order; the last duplicate wins.
-    by_file = F.shiftleft(F.xxhash64("source_file").bitwiseAND(F.lit((1 << 57) - 1)), 3) + F.col("position")
-    after_app = F.when(F.col("router_type") == "pages", F.lit(1 << 61)).otherwise(F.lit(0))
-    found = found.withColumn("ordinal", by_file + after_app)
+    found = found.withColumn("ordinal", scan_order())
     endpoints = found.drop("query_names", "note", "position")
 
     key = ["owner", "app", "version", "method", "path", F.col("ordinal").alias("endpoint_ordinal")]
@@ -112,7 +120,7 @@ def check(
     broken = impact.broken_fields(everything).select(
         F.concat_ws("/", "owner", "app").alias("repo"), F.col("field_name").alias("field")
     )
-    refs = impact.consumer_refs(files, broken)
+    refs = impact.consumer_refs(files, broken)  # a bounded listing, with the full count in ``total``
     seen = observed.where("size(node_path) = 0").select(*ENDPOINT)
     accepted = merge.accept(current, runtime_nodes, seen, next_version)
     return Check(static_changes, runtime_changes, diff.report(everything, apps), impact.impact_table(broken, refs), accepted)

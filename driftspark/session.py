@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings the operators expect; safe to apply to a session somebody else built.
+DEAL = "driftspark.input.partitions"
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+# Runtime settings the operators expect.
 REQUIRED = {
     # JSON objects with a repeated key keep the last value instead of failing to parse.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Hot keys of joins are split at run time.
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
     # Bursts are merged inside each task before they are shuffled, which takes the load off hot keys,
     # and streaming state lives on disk instead of the heap.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
@@ -21,17 +26,27 @@ REQUIRED = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Apply :data:`REQUIRED` to a session.
+
+    This changes the session for everything else that runs in it: times are read and shown in UTC, repeated
+    JSON keys no longer fail, skewed joins are split, and streaming queries started later keep their state in
+    RocksDB. Give the operators a session of their own (``spark.newSession()``) where that is not wanted.
+    """
     for key, value in REQUIRED.items():
         spark.conf.set(key, value)
     return spark
 
 
-def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session for tests and benches; on a cluster, pass the existing one to :func:`configure`."""
+def build_session(
+    master: str | None = None, shuffle_partitions: int | None = None, deal: int | None = None, warehouse: str | None = None
+) -> SparkSession:
+    """A session for tests and benches; on a cluster, pass the existing one to :func:`configure`.
+
+    ``deal`` is the setting of :func:`dealt`; ``warehouse`` also takes intermediate tables where
+    ``spark.checkpoint.dir`` is unset.
+    """
     builder = (
         SparkSession.builder.appName("driftspark")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -40,30 +55,57 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if warehouse:
+        builder = builder.config("spark.sql.warehouse.dir", warehouse)
+    if deal:
+        builder = builder.config(DEAL, str(deal))
     return configure(builder.getOrCreate())
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """``table`` dealt out over the number of partitions in the setting ``driftspark.input.partitions``.
+
+    A Parquet file of one row group is one busy task whatever the number of cores; whoever has such files may
+    set it. Without the setting, as it should be where files have many row groups, nothing is moved.
+    """
+    partitions = table.sparkSession.conf.get(DEAL, None)
+    return table.repartition(int(partitions)) if partitions else table
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+    """This application's folder for intermediate tables, which every executor can reach.
 
-    Only where the setting is absent (a single machine, as in tests) a fresh temporary folder is
-    chosen and remembered in the session.
+    It lies below the cluster's ``spark.checkpoint.dir`` or, where that is unset, below the warehouse, which is
+    shared storage as well; never in a folder of one machine. :func:`clean_up` removes it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("driftspark.folder", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="driftspark-")
-        spark.conf.set("driftspark.folder", folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/driftspark-{spark.conf.get('spark.app.id')}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage of results that several later steps read: they start from files that outlive
-    any executor, their plans stay small, and joins see the true size of the table.
+    any executor, their plans stay small, and joins see the true size of the table. The shuffle files of
+    the write are not needed any more and are given back at once.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables. For the owner of a job, once no result that was built
+    on them is read any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

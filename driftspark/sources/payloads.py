@@ -70,3 +70,29 @@ def sampling_targets(endpoints: DataFrame, nodes: DataFrame, sampled_only: bool
 
 def targeted(payloads: DataFrame, targets: DataFrame) -> DataFrame:
     return payloads.join(targets, ENDPOINT, "left_semi")
+
+
+def sample_status(endpoints: DataFrame, payloads: DataFrame, summary: DataFrame, **options) -> DataFrame:
+    """What sampling gave, one row per endpoint: outcome, reason, status code, new and removed fields.
+
+    An endpoint counts as sampled if any payload of it was, else as failed or skipped; code and reason are those
+    of the newest payload of that outcome. ``summary`` is the field summary of the merge. Endpoints without a
+    payload are skipped.
+    """
+    rank = F.when(F.col("outcome") == "sampled", 2).when(F.col("outcome") == "failed", 1).otherwise(0)
+    newest = F.max(F.struct(rank.alias("rank"), "ts", "status", "outcome", "reason")).alias("last")
+    tried = classify(payloads, **options).groupBy(*ENDPOINT).agg(newest).select(
+        *ENDPOINT, "last.outcome", "last.reason", F.col("last.status").alias("status")
+    )
+    named = lambda change: F.array_sort(F.collect_list(F.when(F.col("change") == change, F.col("name"))))
+    fields = summary.groupBy(*ENDPOINT).agg(named("new").alias("new_fields"), named("removed").alias("removed_fields"))
+    none = F.array().cast("array<string>")
+    sampled_ = F.col("outcome") == "sampled"
+    return endpoints.select(*ENDPOINT).distinct().join(tried, ENDPOINT, "left").join(fields, ENDPOINT, "left").select(
+        *ENDPOINT,
+        F.coalesce("outcome", F.lit("skipped")).alias("outcome"),
+        F.when(F.col("outcome").isNull(), "No payload").otherwise(F.col("reason")).alias("reason"),
+        F.when(sampled_, F.col("status")).alias("status"),
+        F.when(sampled_, F.coalesce("new_fields", none)).otherwise(none).alias("new_fields"),
+        F.when(sampled_, F.coalesce("removed_fields", none)).otherwise(none).alias("removed_fields"),
+    )

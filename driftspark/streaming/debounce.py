@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 # Fixed value: quiet time after which a burst is over.
 QUIET = "150 milliseconds"
-# Buckets of one quiet time each that one task orders at a time.
+_LATE = "rows bigint, late bigint, watermark bigint, newest bigint"
+# Default of ``chunk_buckets``: buckets of one quiet time each that one task orders at a time. It bounds the work
+# of a task; results do not depend on it.
 CHUNK_BUCKETS = 100_000
 
 
@@ -59,7 +61,8 @@ def debounce_stream(
 ) -> DataFrame:
     """Sessions of a stream, each emitted once, when the watermark has passed its end.
 
-    Rows later than ``delay`` behind the newest one are dropped; :func:`late_rows` counts them.
+    Rows later than ``delay`` behind the newest one are dropped; :class:`LateRows` counts them. The open session
+    of one key is one state row, so a hot key is not split here (:func:`debounce` splits it).
     """
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     return (
@@ -69,10 +72,33 @@ def debounce_stream(
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark, over the progress reports the query still holds."""
-    return sum(
-        operator.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+class LateRows:
+    """Late rows of a stream as a table below ``folder``, one row per batch, so that no count is lost.
+
+    A row is late if it is older than the watermark of its batch: the newest time of all earlier batches less
+    ``delay``, as the engine's own watermark. Each batch overwrites its own sub-folders, so one that runs again
+    leaves the same rows, and reads one row of the batch before it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, ts: str, delay_micros: int):
+        self.spark, self.folder, self.ts, self.delay = spark, folder.rstrip("/"), ts, delay_micros
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        newest = None
+        if batch_id:
+            newest = self.spark.read.schema(_LATE).parquet(f"{self.folder}/late/batch={batch_id - 1}").first()["newest"]
+        at = micros(F.col(self.ts))
+        watermark = F.lit(None if newest is None else newest - self.delay).cast("bigint")
+        batch.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(F.coalesce(at < watermark, F.lit(False))).alias("late"),
+            F.first(watermark).alias("watermark"),
+            F.greatest(F.max(at), F.lit(newest).cast("bigint")).alias("newest"),
+        ).write.mode("overwrite").parquet(f"{self.folder}/late/batch={batch_id}")
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(f"{_LATE}, batch bigint").option("basePath", f"{self.folder}/late").parquet(f"{self.folder}/late")
+
+    def run(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()

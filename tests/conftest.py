@@ -11,8 +11,8 @@ from driftspark.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("local[4]", 4)
+def spark(tmp_path_factory):
+    session = build_session("local[4]", 4, warehouse=str(tmp_path_factory.mktemp("warehouse")))
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
     yield session
