@@ -111,3 +111,10 @@ def test_report_and_gate(spark):
     apps = spark.createDataFrame([("o", "bad"), ("o", "fine"), ("o", "quiet")], "owner string, app string")
     assert rows(diff.report(changes, apps)) == [
         ("o", "bad", 1, 1, 0, True), ("o", "fine", 0, 1, 2, False), ("o", "quiet", 0, 0, 0, False)]
+
+
+def test_required_names_without_a_property(spark):
+    old = contract_of(spark, [("POST", "/x", [200], None)], {("POST", "/x", "body"): obj({"a": typ("string"), "k": typ("string")}, ["b"])})
+    new = contract_of(spark, [("POST", "/x", [200], None)], {("POST", "/x", "body"): obj({"b": typ("string"), "k": typ("string")}, ["a"])})
+    found = rows(diff.field_changes(old, new), "kind", "field")
+    assert found == [("field_added", "body.b"), ("field_removed", "body.a"), ("now_optional", "body.b"), ("now_required", "body.a")]

@@ -170,3 +170,17 @@ def test_order_and_partitioning_do_not_matter(spark):
     a = infer.observed_nodes(infer.observed_types(payloads(spark, bodies)))
     b = infer.observed_nodes(infer.observed_types(payloads(spark, bodies).orderBy(F.rand(7)).repartition(7)))
     assert rows(a) == rows(b)
+
+
+def test_arrays_nested_beyond_the_unrolled_steps(spark):
+    from driftspark.operators import infer
+
+    bodies = [("[" * 14 + '{"a": [[1]]}' + "]" * 14,), ("[" * 14 + '{"a": [["x"]]}' + "]" * 14,), ("[1]",)]
+    df = spark.createDataFrame([("p", b[0], 0) for b in bodies], "path string, body string, ts int")
+    types = infer.observed_types(df, keys=["path"], levels=3)
+    deepest = types.orderBy("depth", ascending=False).first()
+    assert deepest["depth"] == 14 and types.where("depth = 13").first()["samples"] == 2
+    flat = infer.flatten_values(df, F.try_parse_json("body"), ["path"], levels=2)
+    assert flat.where("depth = 14").count() == 2
+    shallow = spark.createDataFrame([("p", '{"a": [[[[[[1.5, "x"]]]]]]}', 0)], "path string, body string, ts int")
+    assert infer.observed_types(shallow, keys=["path"], levels=2).where("trail like '%o'").count() == 2

@@ -27,6 +27,8 @@ def test_search(published, query, stack, expected):
 def test_search_limits(published):
     assert registry.search(published).count() == 10
     assert registry.search(published, limit=500).count() == 50
+    assert registry.search(published, limit=500).first()["matches"] == 63
+    assert registry.search(published, limit=None, most=None).count() == 63
 
 
 def test_names(spark):
@@ -57,3 +59,13 @@ def test_tool_inputs(spark):
     assert rows(registry.tool_inputs(nodes), "path", "name", "type", "required") == [
         ("/o", "q", "string", False), ("/u/[id]", "b", "object", True), ("/u/[id]", "c", "null", False),
         ("/u/[id]", "id", "string", True), ("/u/[id]", "q", "string", False), ("/u/[id]", "x", "boolean", True)]
+
+
+def test_tool_schemas(spark):
+    nodes = nodes_of(spark, {
+        ("PUT", "/u", "query"): obj({"x": typ("integer")}),
+        ("PUT", "/u", "body"): obj({"x": obj({"y": typ("array", items=typ("string"))}, ["y"]), "z": typ("string")}, ["z"]),
+    })
+    import json
+    found = {r["name"]: (json.loads(r["schema"]), r["required"]) for r in registry.tool_schemas(nodes).collect()}
+    assert found == {"x": (obj({"y": typ("array", items=typ("string"))}, ["y"]), False), "z": (typ("string"), True)}

@@ -137,3 +137,13 @@ def test_long_files_do_not_overflow(spark):
     df = spark.createDataFrame([("r", "app/api/x/route.ts", long)], SOURCE_FILES_DDL)
     row = routes.route_inventory(df).first()
     assert (row.description, row.status_codes) == ("Liveness.", [200])
+
+
+def test_status_numbers_are_never_replaced(spark):
+    import pyspark.sql.functions as F
+
+    app = "{ Response.json({}, { status: 12345678901 }); Response.json({}, { status: 404 }); Response.json({}); }"
+    pages = "res.status(12345678901).json({}); res.status(code).json({}); res.status(1234567).json({});"
+    df = spark.createDataFrame([(app, pages)], "a string, p string")
+    row = df.select(routes.app_status_codes(F.col("a")).alias("a"), routes.pages_status_codes(F.col("p")).alias("p")).first()
+    assert (row["a"], row["p"]) == ([404, 200], [200, 1234567])

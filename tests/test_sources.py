@@ -28,8 +28,9 @@ def test_snapshot_round_trip(spark, tmp_path):
     put(tmp_path / "in", "me", "app", 1, json.dumps(DOC, indent=2))
     put(tmp_path / "in", "me", "app", 2, json.dumps({**DOC, "endpoints": []}))
     put(tmp_path / "in", "me", "bad", 1, "{ not json")
-    documents = snapshots.read_documents(spark, str(tmp_path / "in"))
-    assert rows(snapshots.unreadable(documents).select("app")) == [("bad",)]
+    put(tmp_path / "in", "me", "none", 1, "{}")
+    documents = snapshots.read_document_files(spark, str(tmp_path / "in"))
+    assert rows(snapshots.unreadable(documents), "app", "reason") == [("bad", "not JSON"), ("none", "no endpoints")]
     contracts = snapshots.contracts_table(documents)
     assert rows(contracts, "app", "version", "endpoint_count") == [("app", 1, 2), ("app", 2, 0)]
     first = snapshots.contract_as_of(contracts, snapshots.to_contract(documents, levels=6), 1)
@@ -45,12 +46,24 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert rows(snapshots.contracts_table(copied), "owner", "app", "version", "endpoint_count") == [("me", "app", 1, 2)]
 
 
+def test_annotations_of_any_prefix_and_required_names_without_a_property(spark, tmp_path):
+    schema = obj({"a": typ("string", **{"x-learned-source": "sampled"})}, ["a", "b"])
+    doc = {"schemaSyncVersion": "1", "generatedAt": "2024-05-01T10:00:00.000Z", "projectRoot": "/r", "stack": "s",
+           "endpoints": [{"path": "/", "method": "GET", "responseSchema": schema, "statusCodes": [], "description": 'say "x-contract-'}]}
+    put(tmp_path / "in", "me", "app", 1, json.dumps(doc))
+    documents = snapshots.read_document_files(spark, str(tmp_path / "in"))
+    contract = snapshots.to_contract(documents, levels=3)
+    assert rows(contract.nodes, "name", "source", "required", "required_names") == sorted([(None, None, False, ["b"]), ("a", "sampled", True, None)], key=repr)
+    again = snapshots.to_documents(snapshots.contracts_table(documents).withColumn("schema_version", F.lit("1")), contract).first()["document"]
+    assert json.loads(again) == doc
+
+
 def test_schema_deeper_than_the_levels_stops_the_job(spark, tmp_path):
     deep = typ("string")
     for _ in range(5):
         deep = obj({"a": deep})
     put(tmp_path, "me", "deep", 1, json.dumps({"endpoints": [{"path": "/", "method": "GET", "responseSchema": deep, "statusCodes": []}]}))
-    documents = snapshots.read_documents(spark, str(tmp_path))
+    documents = snapshots.read_document_files(spark, str(tmp_path))
     assert snapshots.to_contract(documents, levels=5).nodes.count() == 6
     with pytest.raises(Exception, match="nested deeper than 4"):
         snapshots.to_contract(documents, levels=4).nodes.collect()

@@ -10,7 +10,7 @@ from driftspark.model import PAYLOADS_DDL
 from driftspark.operators import diff, infer, merge
 from driftspark.model import Contract
 from driftspark.session import settle
-from driftspark.streaming.debounce import debounce, debounce_stream, late_rows
+from driftspark.streaming.debounce import LateRows, debounce, debounce_stream
 from driftspark.streaming.drift import DriftCheck
 
 EPOCH = dt.datetime(2024, 1, 1)
@@ -48,7 +48,7 @@ def write_batch(spark, folder, data, ddl):
     spark.createDataFrame(data, ddl).coalesce(1).write.mode("append").parquet(folder)
 
 
-def test_stream_equals_batch_and_counts_late_rows(spark, tmp_path):
+def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
     ddl = "k string, ts timestamp_ntz"
     first = [("a", at(t)) for t in (0, 100, 220, 371, 5000)] + [("b", at(10)), ("a", at(2_000_000))]
@@ -62,14 +62,34 @@ def test_stream_equals_batch_and_counts_late_rows(spark, tmp_path):
 
     run()
     write_batch(spark, src, [("a", at(1)), ("a", at(2_000_010))], ddl)
-    query = run()
-    assert late_rows(query) == 1
+    run()
     found = rows(spark.read.parquet(out), "k", "first", "last", "due", "events")
     assert found == sorted([
         ("a", at(0), at(220), at(370), 3), ("a", at(371), at(371), at(521), 1), ("a", at(5000), at(5000), at(5150), 1), ("b", at(10), at(10), at(160), 1),
     ], key=repr)
 
 
+def test_late_rows_are_counted_in_a_table(spark, tmp_path):
+    ddl = "k string, ts timestamp"
+    batches = [[("a", at(600_000))], [("a", at(0)), ("a", at(500)), ("b", at(9_000_000)), ("a", None)], [("a", at(8_399_999)), ("a", at(8_400_000))], []]
+    late = LateRows(spark, str(tmp_path / "late"), "ts", 600_000_000)
+    for _ in range(2):
+        for i, batch in enumerate(batches):
+            late.process(spark.createDataFrame(batch, ddl), i)
+            late.process(spark.createDataFrame(batch, ddl), i)
+    base = int(EPOCH.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    assert rows(late.table(), "batch", "rows", "late", "watermark") == sorted(
+        [(0, 1, 0, None), (1, 4, 0, base), (2, 2, 1, base + 8_400_000_000), (3, 0, 0, base + 8_400_000_000)], key=repr)
+
+
+def test_reads_of_a_batch_are_bounded(spark, check):
+    check.compact_every = 2
+    for i in range(5):
+        check.process(spark.createDataFrame(BATCHES[i % 3], PAYLOADS_DDL), i)
+        assert len({r[0].rsplit("/", 2)[1] for r in check.baseline(i + 1).select(F.input_file_name()).collect()}) <= 2
+    assert rows(check.reports().where("batch = 1"), "breaking", "non_breaking", "failed") == [(2, 0, True)]
+
+
 def payload(minute, path, body, method="GET", kind="application/json"):
     return (EPOCH + dt.timedelta(minutes=minute), "o", "a", method, path, 200, kind, body if isinstance(body, str) else json.dumps(body))
 
@@ -100,7 +120,7 @@ def test_batches_follow_the_baseline_and_can_run_again(spark, check):
             (0, "/x", "non-breaking", 'Field "response.n" was added'), (0, "/y", "non-breaking", 'Field "response.p" was added'),
             (1, "/x", "breaking", 'Field "response.n" was removed'), (1, "/x", "breaking", 'Field "response.st" was removed'),
         ]
-        now = check.baseline().where("size(node_path) = 1")
+        now = check.baseline(3).where("size(node_path) = 1")
         assert rows(now, "path", "name", "type", "source") == [("/x", "a", "integer", None), ("/y", "p", "integer", "sampled")]
 
 
@@ -114,4 +134,4 @@ def test_stream_of_one_batch_equals_the_batch_operators(spark, check, tmp_path):
     expected = diff.field_changes(Contract(check.endpoints, before), Contract(check.endpoints, after))
     assert rows(check.changes().drop("batch")) == rows(expected)
     keep = ["path", "node_path", "type", "source"]
-    assert rows(check.baseline(), *keep) == rows(after, *keep)
+    assert rows(check.baseline(1), *keep) == rows(after, *keep)
