@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from driftspark.functions.json_types import json_type
 from driftspark.model import ENDPOINT, Contract, as_nodes
@@ -505,17 +506,16 @@ def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that come too late, for each of three batches of a stream."""
     folder = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
     late = LateRows(spark, folder, "ts", 10 * 60 * 1_000_000)
-    late.run(_three_batches(spark, sf_dir, folder), f"{folder}/checkpoint").awaitTermination()
+    _three_batches(spark, sf_dir, folder, lambda stream: late.run(stream, f"{folder}/checkpoint"))
     return late.table().select("batch", "rows", "late", "watermark")
 
 
-def _three_batches(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """All events as a stream of three batches: a third of the ids each, in files written one after another."""
+def _three_batches(spark: SparkSession, sf_dir: str, folder: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """All events as three batches of a stream: a third of the ids each, written and then taken up in one go."""
     events = T.table(spark, sf_dir, "events")
     for third in range(3):
-        part = events.where(F.col("event_id") % 3 == third)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/input")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/input")
+        events.where(F.col("event_id") % 3 == third).write.mode("append").parquet(f"{folder}/input")
+        run(spark.readStream.schema(events.schema).parquet(f"{folder}/input")).awaitTermination()
 
 
 def _event_baseline(endpoints: DataFrame) -> DataFrame:
@@ -543,8 +543,8 @@ def _drift(spark: SparkSession, sf_dir: str) -> DriftCheck:
         "'shop/tracker' AS repo", "concat('src/', cast(doc_id as string), '.ts') AS rel_path", "concat(source, ' gone ', lang) AS content"
     )
     check = DriftCheck(spark, folder, endpoints, files=files, compact_every=2).start_from(_event_baseline(endpoints))
-    stream = _three_batches(spark, sf_dir, folder).selectExpr("ts", *T.payload_sql_list(T.EVENT_PAYLOAD))
-    check.run(stream, f"{folder}/checkpoint").awaitTermination()
+    payload = T.payload_sql_list(T.EVENT_PAYLOAD)
+    _three_batches(spark, sf_dir, folder, lambda stream: check.run(stream.selectExpr("ts", *payload), f"{folder}/checkpoint"))
     return check
 
 

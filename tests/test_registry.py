@@ -1,5 +1,5 @@
 import pytest
-from conftest import Contract, contract_of, nodes_of, obj, rows, typ
+from conftest import contract_of, nodes_of, obj, rows, typ
 from pyspark.sql import functions as F
 
 from driftspark.operators import registry

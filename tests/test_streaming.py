@@ -1,6 +1,5 @@
 import datetime as dt
 import json
-import uuid
 
 import pytest
 from conftest import endpoints_of, nodes_of, obj, rows, typ
