@@ -92,9 +92,8 @@ class LateRows:
         batch.agg(
             F.count(F.lit(1)).alias("rows"),
             F.count_if(F.coalesce(at < watermark, F.lit(False))).alias("late"),
-            F.first(watermark).alias("watermark"),
             F.greatest(F.max(at), F.lit(newest).cast("bigint")).alias("newest"),
-        ).write.mode("overwrite").parquet(f"{self.folder}/late/batch={batch_id}")
+        ).select("rows", "late", watermark.alias("watermark"), "newest").write.mode("overwrite").parquet(f"{self.folder}/late/batch={batch_id}")
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(f"{_LATE}, batch bigint").option("basePath", f"{self.folder}/late").parquet(f"{self.folder}/late")
