@@ -159,8 +159,11 @@ def train(pages: DataFrame | None = None, key: str = "page_id", html: str = "htm
     labelled = [blocks(p) for p in PAGES]
     data = [(rows_of(p), [b.label for b in p]) for p in labelled] * 4
     if pages is not None and sample:
-        near = pages.filter(F.col(key).isNotNull() & F.col(html).isNotNull()).select(key, F.col(html).alias("html")).orderBy(key).limit(sample)
-        for row in near.collect():
+        known = pages.filter(F.col(key).isNotNull() & F.col(html).isNotNull()).select(key, F.col(html).alias("html"))
+        # Keys first: tasks send ``sample`` keys each, and only the pages of the smallest ones come to the driver.
+        smallest = [r[0] for r in known.select(key).orderBy(key).limit(sample).collect()]
+        rows = known.filter(F.col(key).isin(smallest)).limit(sample).collect() if smallest else []
+        for row in sorted(rows, key=lambda r: (r[key], r["html"])):
             page = blocks(row["html"])[:400]
             labels = by_tags(page)
             if any(labels):
