@@ -7,6 +7,8 @@ format, gets the same surrogate; a corpus-wide check makes sure that no two enti
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ ENDINGS = {
     "latin": {"m": "n", "f": "na", "n": "l"}, "cyrillic": {"m": "н", "f": "на", "n": "ль"}, "greek": {"m": "νος", "f": "νη", "n": "λι"},
 }
 KEPT_DOMAINS = ("com", "org", "net")
-# Rounds of the collision check; each one draws again for the few entities that still share a surrogate.
+# Rounds of the collision check that draw codes of the usual length; later rounds draw longer ones.
 ROUNDS = 8
 
 
@@ -155,14 +157,33 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     )
 
 
+def lengthened(key: str, kind: Column, norm: Column, attempt: Column, code: Column, extra: int) -> Column:
+    """``code`` made longer by ``4 * extra`` digits or, for names and addresses, ``2 * extra`` syllables.
+
+    Valid card numbers stay valid, names keep script and gender; an IP address becomes one of version 6."""
+    more = digest(key, F.lit("longer"), kind, norm, attempt.cast("string"))
+    tail = F.substring(F.translate(more, "abcdef", "284617"), 1, 4 * extra)
+    size = F.length(code)
+    valid = luhn_digit(F.substring(norm, F.lit(1), F.length(norm) - 1)) == F.substring(norm, F.length(norm), F.lit(1))
+    body = F.concat(F.substring(code, F.lit(1), size - 1), tail)
+    card = F.concat(body, F.when(valid, luhn_digit(body)).otherwise(F.substring(code, size, F.lit(1))))
+    ip = F.concat_ws(":", F.lit("2001:db8"), *(F.substring(more, i, 4) for i in range(1, 25, 4)))
+    syllables = lambda script: F.concat(*(pick(more, 1 + 4 * i % 124, SYLLABLES[script]) for i in range(2 * extra)))
+    out = F.when(kind == "email", F.concat(syllables("latin"), code)).when(kind == "ip", ip).when(kind == "card", card)
+    for script in SYLLABLES:
+        out = out.when(kind.rlike(f"^(family|given) {script}"), F.concat(syllables(script), code))
+    return out.otherwise(F.concat(code, tail))
+
+
 def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """``kind``, ``norm`` and ``code`` for each distinct entity; codes differ within a kind.
 
     An entity draws again while its code is shared with a smaller one or is the normal form of an entity of the
-    corpus. The table holds one row per entity; each round looks at all of them by joins on the code. What is
-    still shared after ``rounds`` gets a number behind it, so distinctness holds in any case."""
+    corpus. The table holds one row per entity; each round looks at all of them by joins on the code. Rounds go
+    on until no code is shared: after ``rounds`` of them, what is drawn gets longer with each round, so a kind
+    with more entities than codes of the usual length comes to an end too."""
     drawn = settle(entities.select("kind", "norm", F.lit(0).alias("attempt")).withColumn("code", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))), "surrogates")
-    for _ in range(rounds):
+    for number in itertools.count(1):
         taken = drawn.select(F.col("kind").alias("k"), F.col("norm").alias("c"), F.lit("").alias("owner")).union(
             drawn.select(F.col("kind"), F.col("code"), F.col("norm"))
         ).groupBy("k", "c").agg(F.min("owner").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -171,22 +192,26 @@ def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame
             return drawn
         again = drawn.join(clash.select(F.col("kind").alias("k2"), F.col("norm").alias("n2")), (F.col("kind") == F.col("k2")) & (F.col("norm") == F.col("n2")), "left")
         attempt = F.when(F.col("k2").isNull(), F.col("attempt")).otherwise(F.col("attempt") + 1)
-        drawn = settle(
-            again.select("kind", "norm", attempt.alias("attempt"), F.when(F.col("k2").isNull(), F.col("code")).otherwise(surrogate(key, F.col("kind"), F.col("norm"), attempt)).alias("code")),
-            "surrogates",
-        )
-    return drawn
+        code = F.when(F.col("k2").isNull(), F.col("code")).otherwise(surrogate(key, F.col("kind"), F.col("norm"), attempt))
+        fresh = again.select("kind", "norm", attempt.alias("attempt"), code.alias("code"), F.col("k2").isNotNull().alias("redrawn"))
+        if number > rounds:
+            fresh = settle(fresh, "surrogates")
+            longer = lengthened(key, F.col("kind"), F.col("norm"), F.col("attempt"), F.col("code"), number - rounds)
+            fresh = fresh.withColumn("code", F.when(F.col("redrawn"), longer).otherwise(F.col("code")))
+        drawn = settle(fresh.drop("redrawn"), "surrogates")
 
 
 def filled(value: Column, code: Column) -> Column:
-    """``value`` with its letters and digits replaced by those of ``code`` in turn, everything else kept."""
+    """``value`` with its letters and digits replaced by those of ``code`` in turn, everything else kept; what a
+    longer code has beyond them follows at the end."""
     chars = F.split(value, "")
     step = F.aggregate(
         chars, F.struct(F.lit("").alias("out"), F.lit(0).alias("i")),
         lambda a, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a["out"], F.substring(code, a["i"] + 1, F.lit(1))).alias("out"), (a["i"] + 1).alias("i")))
         .otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i"))),
     )
-    return step["out"]
+    whole = F.transform(F.array(step), lambda a: F.concat(a["out"], F.substring(code, a["i"] + 1, F.length(code))))
+    return F.element_at(whole, 1)
 
 
 def rendered(value: Column, kind: Column, codes: Column) -> Column:

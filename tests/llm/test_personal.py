@@ -70,6 +70,25 @@ def test_distinct_entities_stay_distinct(spark):
     assert len({r["code"] for r in few}) == 300 and not {r["code"] for r in few} & {r["norm"] for r in few}
 
 
+def test_full_code_spaces_stay_distinct(spark):
+    """As many entities as codes, all taken by the corpus itself, with the rounds of production."""
+    numbers = spark.range(1000).select(F.lit("ssn").alias("kind"), F.format_string("%03d", "id").alias("norm"))
+    few = spark.range(10).select(F.lit("phone").alias("kind"), F.format_string("1%d", "id").alias("norm"))
+    got = pii.surrogates(numbers.union(few), "k").collect()
+    codes = {(r["kind"], r["code"]) for r in got}
+    assert len(got) == len(codes) == 1010 and not codes & {(r["kind"], r["norm"]) for r in got}
+
+
+def test_longer_codes_keep_their_kind(spark):
+    cases = [("card", "4111111111111111", "5000000000000009"), ("ip", "1.2.3.4", "5.6.7.8"), ("given greek", "x", "βαβανη"), ("email", "a@b.com", "ba.1@bo.example.com")]
+    rows = spark.createDataFrame(cases, "kind string, norm string, code string")
+    got = {r["kind"]: r["c"] for r in rows.select("kind", pii.lengthened("k", F.col("kind"), F.col("norm"), F.lit(9), F.col("code"), 1).alias("c")).collect()}
+    assert luhn(got["card"]) and len(got["card"]) == 20 and got["ip"].startswith("2001:db8:")
+    assert re.fullmatch("[α-ω]{4}βαβανη", got["given greek"]) and re.fullmatch(r"\w{4}ba\.1@bo\.example\.com", got["email"])
+    shown = spark.range(1).select(pii.filled(F.lit("(1) 23 45"), F.lit("167899999"))).first()[0]
+    assert shown == "(1) 67 899999"
+
+
 def test_the_key_matters(spark):
     docs = spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string")
     a, b = (pii.pseudonymise(docs, k).first()["text"] for k in ("one", "two"))
