@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.llm.common import numbered, table
+from driftspark.session import shared_folder
 
 OLD_SHARDS, NEW_SHARDS = 16, 24
 # Bytes of a row besides its text.
@@ -106,29 +108,72 @@ def affected(placed: DataFrame, old: str) -> list[int]:
 def rewrite(placed: DataFrame, old: str, folder: str) -> list[int]:
     """Write the affected shards of ``placed`` to ``folder/shard=N`` and leave the files of the others alone.
 
-    ``folder`` must not be what ``placed`` is read from. Each shard is written by several tasks (rows are
-    dealt out by range of the shard and a hash), so a large shard is no single task.
+    The folders of affected shards that have no row any more are removed. ``placed`` may be read from
+    ``folder``: old files go when all new ones are written, but ``placed`` cannot be read again then. Each shard
+    is written by several tasks (rows are dealt out by range of the shard and a hash), so a large shard is no
+    single task.
     """
     todo = affected(placed, old)
     if todo:
-        rows = placed.filter(F.col("shard").isin(todo)).withColumn("__at", F.xxhash64(*placed.columns))
-        rows.repartitionByRange("shard", "__at").drop("__at").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("shard").parquet(folder)
+        rows = placed.filter(F.col("shard").isin(todo))
+        filled = {r[0] for r in rows.select(F.col("shard").cast("int")).distinct().collect()}
+        store(rows, folder)
+        context = placed.sparkSession.sparkContext
+        for shard in set(todo) - filled:
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={shard}")
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
     return todo
 
 
+def store(rows: DataFrame, folder: str) -> None:
+    """``rows`` as files below ``folder/shard=N``, in place of what the shards among them had."""
+    dealt = rows.withColumn("__at", F.xxhash64(*rows.columns)).repartitionByRange("shard", "__at").drop("__at")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+
+
+def reshard_files(
+    spark: SparkSession, folder: str, schema: str, size: Column, old_shards: int, capacities: Sequence[int] | int, order: list[Column], name: str = "shards"
+) -> list[int]:
+    """Reshard the rows of ``folder/shard=N`` in place and give the shards that were written.
+
+    ``schema`` (a DDL string) is that of the files with ``shard``; ``old_shard`` in it keeps the shard a row comes
+    from. Whole rows are read and written once: places are settled on sizes and ``order`` alone, with the file
+    and the row in it as the last keys, and whole rows find theirs by the first row of each block, of which
+    there are fewer than old and new shards together.
+    """
+    files = spark.read.schema(schema).parquet(folder).withColumn("old_shard", F.col("shard"))
+    keys = {f"__k{i}": c for i, c in enumerate([*order, F.col("_metadata.file_name"), F.col("_metadata.row_index")])}
+    keyed = files.withColumn("__size", size).withColumns(keys)
+    slim = keyed.select("old_shard", "__size", *keys)
+    placed = reshard(slim, "old_shard", "__size", old_shards, capacities, [F.col(k) for k in keys], name)
+    key = F.struct(*(F.col(k) for k in keys))
+    firsts = placed.groupBy("old_shard", "shard").agg(F.min(key).alias("first"))
+    blocks = firsts.orderBy("old_shard", "first").collect()
+    target: Column = F.lit(None).cast("int")
+    kinds = dict(slim.dtypes)
+    for block in blocks:  # the last block that begins at or before the row
+        first = F.struct(*(F.lit(block["first"][k]).cast(kinds[k]).alias(k) for k in keys))
+        target = F.when((F.col("old_shard") == block["old_shard"]) & (key >= first), block["shard"]).otherwise(target)
+    whole = keyed.withColumn("shard", target.cast("int")).drop("__size", *keys)
+    return rewrite(whole, "old_shard", folder)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 16 shards by hash of the text (equal texts together) to 24 shards of nearly equal bytes."""
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
-        F.pmod(F.xxhash64("text"), F.lit(OLD_SHARDS)).cast("int").alias("old_shard"),
-    )
-    ties = [F.col("doc_id"), F.col("text_crc32")]
-    placed = reshard(docs, "old_shard", "size", OLD_SHARDS, NEW_SHARDS, [F.col("size").desc(), *ties])
-    return numbered(placed, "shard", ties, "size", "slots").select(
+    """From 16 shards by hash of the text (equal texts together) to 24 shards of nearly equal bytes.
+
+    The old shards are written to the shared folder with whole texts, the affected ones are written again, and
+    the rows are those of the files then."""
+    folder, schema = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", "doc_id {}, text string, old_shard int, shard int"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    schema = schema.format(docs.schema["doc_id"].dataType.simpleString())
+    old = F.pmod(F.xxhash64("text"), F.lit(OLD_SHARDS)).cast("int")
+    store(docs.select("doc_id", "text", old.alias("old_shard"), old.alias("shard")), folder)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long")
+    reshard_files(spark, folder, schema, size, OLD_SHARDS, NEW_SHARDS, [-size, F.col("doc_id"), crc])
+    files = spark.read.schema(schema).parquet(folder)
+    rows = files.select("doc_id", size.alias("size"), crc.alias("text_crc32"), "old_shard", "shard")
+    return numbered(rows, "shard", [F.col("doc_id"), F.col("text_crc32")], "size", "slots").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "old_shard",
     )

@@ -1,5 +1,6 @@
 """Operators 5 and 6: packing and sharding."""
 
+import glob
 import itertools
 import os
 import random
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftspark.llm import packing, sharding
 from driftspark.llm.common import numbered
+from driftspark.session import shared_folder
 
 
 def least_padding(lengths, buckets):
@@ -128,3 +130,30 @@ def test_only_affected_shards_are_written(spark, tmp_path):
     assert set(os.listdir(f"{folder}/shard=2")) == before
     now = {(r["id"], r["shard"]) for r in spark.read.parquet(folder).collect()}
     assert now == {(i, s) for i, _, s in rows}
+
+
+def test_fewer_shards_leave_no_row_twice(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(None if i == 9 else i // 2, None if i % 50 == 0 else "t" * rng.randint(0, 40), i % 24) for i in range(600)] + [(1, "same", 3)] * 30
+    folder, schema = str(tmp_path / "shards"), "doc_id int, text string, old_shard int, shard int"
+    sharding.store(spark.createDataFrame([(*r[:2], r[2], r[2]) for r in rows], schema), folder)
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    sharding.reshard_files(spark, folder, schema, size, 24, 16, [-size, F.col("doc_id")])
+    assert sorted(d for d in os.listdir(folder) if d.startswith("shard=")) == sorted(f"shard={s}" for s in range(16))
+    got = spark.read.schema(schema).parquet(folder).collect()
+    assert sorted(((r["doc_id"], r["text"], r["old_shard"]) for r in got), key=repr) == sorted(rows, key=repr)
+    sizes = [sum(len(r["text"] or "") for r in got if r["shard"] == s) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 3 * 40
+
+
+def test_the_query_writes_its_shards(spark, tmp_path):
+    texts = ["w " * i for i in range(200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/shards-*/shard=*"))
+    got = sharding.op6_sharding(spark, str(tmp_path)).collect()
+    written = sorted(set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/shards-*/shard=*")) - before)
+    folder = os.path.dirname(written[0])
+    files = spark.read.parquet(folder).collect()
+    assert {os.path.dirname(w) for w in written} == {folder}
+    assert sorted((r["doc_id"], r["text"]) for r in files) == list(enumerate(texts))
+    assert {(r["doc_id"], r["shard"]) for r in files} == {(r["doc_id"], r["shard"]) for r in got}
