@@ -5,10 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from driftspark.llm import minhash, packing, quality, secret_scan, suffix
-from driftspark.session import shared_folder
+from driftspark.llm import bpe, minhash, packing, quality, secret_scan, suffix
+from driftspark.session import settle, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +31,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their places in batches of similar length."""
-    counted = docs.withColumn("n_tokens", packing.word_tokens(F.col("text")))
+    """Documents with their places in batches of similar length in tokens of the byte-level BPE."""
+    counted = settle(bpe.with_counts(docs), "counted")
     return packing.pack(counted, "n_tokens", packing.spread("doc_id"))
 
 

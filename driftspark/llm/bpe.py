@@ -12,7 +12,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, LongType, StringType
 
 from driftspark.llm.common import map_texts, ready, table
 
@@ -77,6 +77,21 @@ def encode(
     return map_texts(docs, [key], text, make, "ids array<int>")
 
 
+def with_counts(
+    docs: DataFrame, name: str = "n_tokens", text: str = "text", path: str | None = None, pattern: str | None = None
+) -> DataFrame:
+    """``docs`` with ``name`` (long), the number of ids that :func:`encode` gives for the whole text."""
+    ready(docs.sparkSession)
+    path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+
+    @F.pandas_udf(LongType())
+    def count(column: pd.Series) -> pd.Series:
+        coder = encoding(path, pattern)
+        return pd.Series([len(encode_text(t, coder)) for t in column], dtype="int64")
+
+    return docs.withColumn(name, count(text))
+
+
 def decode(tokens: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``tokens`` with ``decoded`` (binary): the raw bytes of the ids, valid UTF-8 or not.
 

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftspark.llm import bpe
 from driftspark.llm.common import WORD, numbered, table
+from driftspark.session import settle
 
 BUCKETS, BUDGET = 16, 16_384
 # Lengths above this share a bar of the histogram with those that differ by under one part in so many; it
@@ -94,5 +96,5 @@ def spread(key: str) -> list[Column]:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", word_tokens(F.col("text")).alias("n_tokens"))
-    return pack(docs, "n_tokens", spread("doc_id"))
+    docs = bpe.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+    return pack(settle(docs, "counted"), "n_tokens", spread("doc_id"))

@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftspark.llm import packing, sharding
+import corpus_pipeline
+from driftspark.llm import bpe, packing, sharding
 from driftspark.llm.common import numbered
 from driftspark.session import shared_folder
 
@@ -157,3 +158,13 @@ def test_the_query_writes_its_shards(spark, tmp_path):
     assert {os.path.dirname(w) for w in written} == {folder}
     assert sorted((r["doc_id"], r["text"]) for r in files) == list(enumerate(texts))
     assert {(r["doc_id"], r["shard"]) for r in files} == {(r["doc_id"], r["shard"]) for r in got}
+
+
+def test_packing_counts_tokens_of_the_tokenizer(spark, tmp_path):
+    texts = ["汉字文本没有空格" * 400, "some plain words here", None, "", "QUJDREVGRw" * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in packing.op5_packing(spark, str(tmp_path)).collect()}
+    want = {r["doc_id"]: len(r["ids"]) for r in bpe.encode(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert {k: r["n_tokens"] for k, r in got.items()} == want and want[0] > 400 and want[2] == want[3] == 0
+    staged = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["text"]) for r in staged} == {k: (n, texts[k]) for k, n in want.items()}
