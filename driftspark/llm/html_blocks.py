@@ -8,10 +8,22 @@ import re
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup svg math time tt u var wbr".split()
 )
-# Elements whose content is no markup, or no text of the page.
-RAW = frozenset("script style noscript template textarea title iframe object svg math select canvas audio video".split())
+# Elements whose content is no markup, and no text of the page.
+RAW = frozenset("script style textarea title".split())
+# Drawings and formulas: all tags in them are inline, up to a tag of BODY.
+FOREIGN = frozenset(("svg", "math"))
+BODY = frozenset(
+    "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split()
+)
+# What may stand in a head; any other tag, and text that stands in the head itself, ends it.
+HEAD = frozenset("html head title base basefont bgsound link meta style script noscript template noframes".split())
+# Content that is not shown, or only in place of the element; hinted as hidden if the element has an end.
+UNSHOWN = frozenset("template iframe select canvas audio video".split())
+# They stand in a paragraph without ending it.
+EMBEDDED = (*sorted(UNSHOWN), "noscript", "object", "svg", "math")
 # An opening tag of the first kind ends an open element of the second.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -53,8 +65,10 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str], int]] = [("#", frozenset(), 0)]
     text: list[str] = []
-    linked = links = 0
+    linked = links = foreign = 0
     in_head = False
+    lower = ""
+    ends: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -66,15 +80,24 @@ def blocks(page: str | None) -> list[Block]:
         linked = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal links
-        if links:
-            links -= sum(s[0] == "a" for s in stack[depth:])
+        nonlocal links, foreign, in_head
+        for name, _, _ in stack[depth:]:
+            links -= name == "a"
+            foreign -= name in FOREIGN
+            in_head &= name != "head"
         del stack[depth:]
 
+    def end_head() -> None:
+        nonlocal in_head
+        pop_to(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
+        in_head = False
+
     at, end = 0, len(page)
     while at < end:
         match = TAG.search(page, at)
         piece = page[at : match.start() if match else end]
+        if in_head and stack[-1][0] == "head" and piece.strip():
+            end_head()
         if piece and not in_head:
             piece = html.unescape(piece) if "&" in piece else piece
             text.append(piece)
@@ -86,35 +109,39 @@ def blocks(page: str | None) -> list[Block]:
         if match.group(2) is None:
             continue
         tag = match.group(2).lower()
+        inline = tag in INLINE or (foreign and tag not in BODY)
         if match.group(1):
-            if tag not in INLINE:
+            if not inline:
                 flush()
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
                     pop_to(depth)
-                    in_head &= tag != "head"
                     break
-                if tag in INLINE and stack[depth][0] not in INLINE:
+                if tag in INLINE and tag not in FOREIGN and stack[depth][0] not in INLINE:
                     break
             continue
+        closed = match.group(3).endswith("/")
+        if in_head and tag not in HEAD:
+            end_head()
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
-            at = close.end() if close else end
-            if tag not in INLINE:
+            if not closed:
+                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
+                # Without an end, a script or style goes to the end of the page; of the others only the tag is left out.
+                at = close.end() if close else end if tag in ("script", "style") else at
+            if not inline:
                 flush()
             continue
+        if foreign and tag in BODY:
+            pop_to(next(i for i, s in enumerate(stack) if s[0] in FOREIGN))
         if tag == "br":
             text.append(" ")
-        if tag not in INLINE:
+        if not inline:
             flush()
-            if tag == "body" and in_head:
-                pop_to(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
-                in_head = False
             if tag in CLOSES:
                 _close(stack, CLOSES[tag], ("ul", "ol", "dl", "table", "select"), pop_to)
-            else:
-                _close(stack, ("p",), ("body", "div", "article", "section", "td", "table", "button"), pop_to)
-        if tag in VOID or match.group(3).endswith("/"):
+            elif tag not in EMBEDDED:
+                _close(stack, ("p",), ("body", "div", "article", "section", "td", "table", "button", *EMBEDDED), pop_to)
+        if tag in VOID or closed:
             continue
         hints, label = stack[-1][1], stack[-1][2]
         if match.group(3):
@@ -129,9 +156,16 @@ def blocks(page: str | None) -> list[Block]:
                     label = int(value or 1)
             if more:
                 hints = hints.union(more)
+        if tag in UNSHOWN:
+            if tag not in ends:
+                lower = lower or page.lower()
+                ends[tag] = lower.rfind(f"</{tag}")
+            if ends[tag] >= match.end():
+                hints = hints.union(("hidden",))
         stack.append((tag, hints, label))
         in_head |= tag == "head"
         links += tag == "a"
+        foreign += tag in FOREIGN
     flush()
     return out
 

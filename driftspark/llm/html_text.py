@@ -12,6 +12,8 @@ from driftspark.llm.html_labels import PAGES
 
 # Pages of the table that join the labelled ones; their labels are their own semantic tags.
 SAMPLE = 200
+# Pages of the table with more blocks are not trained on: all are filled up to the longest in the driver's memory.
+LONGEST = 400
 ANCESTORS = ("nav", "header", "footer", "aside", "form", "button", "article", "main", "section", "table", "figure", "ul", "ol", "dl", "dialog", "menu", "address")
 HINTS = ("nav", "ad", "notice", "comment", "side", "foot", "head", "main", "hidden")
 NOT_MAIN = frozenset(("nav", "header", "footer", "aside", "form", "button", "dialog", "menu"))
@@ -152,10 +154,12 @@ def by_tags(page: list[Block]) -> list[int]:
     return [int(bool({"article", "main"} & set(b.tags)) and not (NOT_MAIN & set(b.tags)) and not (b.hints & AWAY)) for b in page]
 
 
-def train(pages: DataFrame | None = None, key: str = "page_id", html: str = "html", sample: int = SAMPLE) -> Model:
+def train(pages: DataFrame | None = None, key: str = "page_id", html: str = "html", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
     """A model of the labelled pages and of at most ``sample`` rows of ``pages`` that have a main element.
 
-    The rows are those of the smallest keys, so the same table gives the same model."""
+    The rows are those of the smallest keys, so the same table gives the same model. A page of more than ``longest``
+    blocks does not join, so every page that does is learned from as a whole. Both bound the training only:
+    every page is extracted, whole."""
     labelled = [blocks(p) for p in PAGES]
     data = [(rows_of(p), [b.label for b in p]) for p in labelled] * 4
     if pages is not None and sample:
@@ -164,9 +168,9 @@ def train(pages: DataFrame | None = None, key: str = "page_id", html: str = "htm
         smallest = [r[0] for r in known.select(key).orderBy(key).limit(sample).collect()]
         rows = known.filter(F.col(key).isin(smallest)).limit(sample).collect() if smallest else []
         for row in sorted(rows, key=lambda r: (r[key], r["html"])):
-            page = blocks(row["html"])[:400]
+            page = blocks(row["html"])
             labels = by_tags(page)
-            if any(labels):
+            if any(labels) and len(page) <= longest:
                 data.append((rows_of(page), labels))
     return fit(data)
 

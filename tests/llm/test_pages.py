@@ -64,6 +64,39 @@ def test_blocks():
         blocks(odd)
 
 
+@pytest.mark.parametrize(
+    "odd", ["<svg width='1'/>", "<canvas/>", "<video src=x />", "<iframe src='x'/>", "<object data='x'>", "<svg>", "<video src=x>", "<noscript>", "<math>", "<template/>", "<select>", "<textarea/>", "<title/>", "<script/>"]
+)
+def test_nothing_after_an_odd_tag_is_lost(odd):
+    page = f"<body><article><h1>Title</h1><p>one</p>{odd}<p>two <b>three</b></p></article><footer>end</footer></body>"
+    found = blocks(page)
+    assert [b.text for b in found] == ["Title", "one", "two three", "end"]
+    assert "article" in found[2].tags and "hidden" not in found[2].hints
+
+
+def test_embedded_content_is_walked():
+    page = (
+        "<article><p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be <svg><g><path d='m'/><text>so</text></g></svg> then</p>"
+        "<object><p>plan b</p></object><noscript><p>no script</p></noscript><video><p>old browser</p></video><p>last</p></article>"
+    )
+    found = blocks(page)
+    assert [b.text for b in found] == ["let x=2 be so then", "plan b", "no script", "old browser", "last"]
+    assert ["hidden" in b.hints for b in found] == [False, False, False, True, False]
+
+
+def test_head_without_end():
+    for rest in ("<div><p>one</p></div>", "<p>one", "one", "<b>one</b>", "<body>one", "</head>one"):
+        assert [b.text for b in blocks(f"<html><head><title>t</title><meta name=a><style>p{{}}</style>{rest}")] == ["one"]
+
+
+def test_no_page_is_cut_for_training(monkeypatch, spark):
+    long = "<article>" + "<p>one two.</p>" * 450 + "</article>"
+    pages = spark.createDataFrame([(1, long), (2, "<main><p>a b.</p></main>")], "page_id long, html string")
+    sizes = lambda **more: sorted(len(p[0]) for p in html_text.train(pages, **more)[4 * len(PAGES) :])
+    monkeypatch.setattr(html_text, "fit", lambda data: data)
+    assert sizes() == [1] and sizes(longest=1000) == [1, 450]
+
+
 def test_rows(spark, model):
     page, text = article(random.Random(8))
     data = spark.createDataFrame(
