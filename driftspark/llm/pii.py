@@ -90,14 +90,15 @@ def script_of(value: Column) -> Column:
 
 
 def entities_of(value: Column, kind: Column) -> Column:
-    """The entities of a mention as (kind, normal form): one, or one for each part of a name.
+    """The entities of a mention as (kind, normal form, gender): one, or one for each part of a name.
 
-    The last part is a family name, the same for every gender; the others are given names of the gender that
-    the title tells. The script is part of the kind."""
+    The last part is a family name, the others are given names. The script is part of the kind; the gender that
+    the title tells is not, as a name may follow titles of any."""
     parts = F.split(F.regexp_replace(value, r"^[^ ]* ", ""), "[ -]")
     family = F.concat(F.lit("family "), script_of(value))
-    given = F.concat(F.lit("given "), script_of(value), F.lit(" "), gender_of(title_of(value)))
-    entity = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"))
+    given = F.concat(F.lit("given "), script_of(value))
+    gender = F.when(kind == "name", gender_of(title_of(value))).otherwise("n")
+    entity = lambda k, n: F.struct(k.alias("kind"), n.alias("norm"), gender.alias("gender"))
     names = F.transform(parts, lambda p, i: entity(F.when(i == F.size(parts) - 1, family).otherwise(given), F.lower(p)))
     norm = (
         F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(value, "[^0-9]", ""))
@@ -116,7 +117,14 @@ def luhn_digit(digits: Column) -> Column:
     return ((F.lit(10) - total % 10) % 10).cast("string")
 
 
-def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
+def settled_gender(gender: Column) -> Column:
+    """One gender for all mentions of a name: that of most of its titles that tell one (f if there are as many of
+    both), else n."""
+    m, f = F.count_if(gender == "m"), F.count_if(gender == "f")
+    return F.when(m > f, "m").when(f > 0, "f").otherwise("n")
+
+
+def surrogate(key: str, kind: Column, norm: Column, attempt: Column, gender: Column) -> Column:
     """The keyed surrogate of an entity, in the normal form of its kind.
 
     Numbers keep their length (a card number that is valid stays valid, a telephone number keeps its first
@@ -149,8 +157,9 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     for script, syllables in SYLLABLES.items():
         stem = F.concat(*(pick(hex_, 1 + 4 * i, syllables) for i in range(4)))
         name = F.when(kind == f"family {script}", stem).otherwise(name)
-        for gender, end in ENDINGS[script].items():
-            name = F.when(kind == f"given {script} {gender}", F.concat(stem, F.lit(end))).otherwise(name)
+        ends = ENDINGS[script]
+        end = F.when(gender == "m", ends["m"]).when(gender == "f", ends["f"]).otherwise(ends["n"])
+        name = F.when(kind == f"given {script}", F.concat(stem, end)).otherwise(name)
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "iban", account).when(kind == "card", card)
         .when(kind == "phone", phone).when(kind == "ssn", F.substring(digits, F.lit(1), size)).otherwise(name)
@@ -176,13 +185,16 @@ def lengthened(key: str, kind: Column, norm: Column, attempt: Column, code: Colu
 
 
 def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
-    """``kind``, ``norm`` and ``code`` for each distinct entity; codes differ within a kind.
+    """``kind``, ``norm``, ``gender`` and ``code`` for each distinct entity; codes differ within a kind. ``gender``
+    (n where ``entities`` has none) chooses the ending of a given name.
 
     An entity draws again while its code is shared with a smaller one or is the normal form of an entity of the
     corpus. The table holds one row per entity; each round looks at all of them by joins on the code. Rounds go
     on until no code is shared: after ``rounds`` of them, what is drawn gets longer with each round, so a kind
     with more entities than codes of the usual length comes to an end too."""
-    drawn = settle(entities.select("kind", "norm", F.lit(0).alias("attempt")).withColumn("code", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))), "surrogates")
+    gender = F.col("gender") if "gender" in entities.columns else F.lit("n").alias("gender")
+    first = entities.select("kind", "norm", gender, F.lit(0).alias("attempt"))
+    drawn = settle(first.withColumn("code", surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"), F.col("gender"))), "surrogates")
     for number in itertools.count(1):
         taken = drawn.select(F.col("kind").alias("k"), F.col("norm").alias("c"), F.lit("").alias("owner")).union(
             drawn.select(F.col("kind"), F.col("code"), F.col("norm"))
@@ -192,8 +204,8 @@ def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame
             return drawn
         again = drawn.join(clash.select(F.col("kind").alias("k2"), F.col("norm").alias("n2")), (F.col("kind") == F.col("k2")) & (F.col("norm") == F.col("n2")), "left")
         attempt = F.when(F.col("k2").isNull(), F.col("attempt")).otherwise(F.col("attempt") + 1)
-        code = F.when(F.col("k2").isNull(), F.col("code")).otherwise(surrogate(key, F.col("kind"), F.col("norm"), attempt))
-        fresh = again.select("kind", "norm", attempt.alias("attempt"), code.alias("code"), F.col("k2").isNotNull().alias("redrawn"))
+        code = F.when(F.col("k2").isNull(), F.col("code")).otherwise(surrogate(key, F.col("kind"), F.col("norm"), attempt, F.col("gender")))
+        fresh = again.select("kind", "norm", "gender", attempt.alias("attempt"), code.alias("code"), F.col("k2").isNotNull().alias("redrawn"))
         if number > rounds:
             fresh = settle(fresh, "surrogates")
             longer = lengthened(key, F.col("kind"), F.col("norm"), F.col("attempt"), F.col("code"), number - rounds)
@@ -241,10 +253,10 @@ def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str =
     each = found.select("id", "th", F.posexplode("values").alias("pos", "value")).withColumn("kind", kind_of(F.col("value")))
     parts = settle(
         each.select("id", "th", "pos", "value", F.col("kind").alias("sort"), F.posexplode(entities_of(F.col("value"), F.col("kind"))).alias("part", "entity"))
-        .select("id", "th", "pos", "value", "sort", "part", "entity.kind", "entity.norm"),
+        .select("id", "th", "pos", "value", "sort", "part", "entity.kind", "entity.norm", "entity.gender"),
         "entities",
     )
-    codes = surrogates(parts.select("kind", "norm").distinct(), secret)
+    codes = surrogates(parts.groupBy("kind", "norm").agg(settled_gender(F.col("gender")).alias("gender")), secret)
     coded = parts.join(codes.select("kind", "norm", "code"), ["kind", "norm"]).groupBy("id", "th", "pos", "value", "sort").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("part", "code"))), lambda s: s["code"]).alias("codes")
     )
