@@ -24,7 +24,7 @@ def corpus():
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(entry_point.queries())
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality rules", "MinHash near-dedup", "suffix-array dedup", "secret scans", "packing",
