@@ -60,7 +60,7 @@ def weighted_terms(counted: DataFrame, wanted: DataFrame, documents: int) -> Dat
     return settle(weighed.select("term", F.monotonically_increasing_id().alias("term_id"), "w", _owner(F.col("w")).alias("owner")), "terms")
 
 
-def _visit(bundle: pa.Table, postings: pa.Table) -> pa.Table:
+def _visit(bundle: pa.Table, postings: pa.Table, block_rows: int, bundle_items: int) -> pa.Table:
     """A bundle of items at one owner: the owner's contributions over one block of documents are added.
 
     ``bundle`` is one row: the terms it asks for (item, term, repeats) and the accumulators it carries (item, row
@@ -76,15 +76,15 @@ def _visit(bundle: pa.Table, postings: pa.Table) -> pa.Table:
     asked, repeats, items = carried("ask_term"), carried("ask_repeats"), carried("ask_item")
     term, at, part = (postings.column(c).to_numpy() for c in ("term_id", "row", "part"))
     order = np.argsort(term, kind="stable")
-    term, at, part = term[order], at[order] % BLOCK, part[order]
-    sums = np.zeros(BUNDLE * BLOCK, np.int64)
-    sums[carried("acc_item").astype(np.int64) * BLOCK + carried("acc_row")] = carried("acc_score")
+    term, at, part = term[order], at[order] % block_rows, part[order]
+    sums = np.zeros(bundle_items * block_rows, np.int64)
+    sums[carried("acc_item").astype(np.int64) * block_rows + carried("acc_row")] = carried("acc_score")
     low, high = np.searchsorted(term, asked, "left"), np.searchsorted(term, asked, "right")
     for item, repeat, start, end in zip(items.tolist(), repeats.tolist(), low.tolist(), high.tolist()):
         # A document has one posting of a term, so no place stands twice in a slice.
-        sums[item * BLOCK + at[start:end]] += repeat * part[start:end]
+        sums[item * block_rows + at[start:end]] += repeat * part[start:end]
     some = np.flatnonzero(sums)
-    for name, values in (("acc_item", some // BLOCK), ("acc_row", some % BLOCK), ("acc_score", sums[some])):
+    for name, values in (("acc_item", some // block_rows), ("acc_row", some % block_rows), ("acc_score", sums[some])):
         place = row.schema.get_field_index(name)
         kind = row.schema.field(place).type
         lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values).cast(kind.value_type))
@@ -103,7 +103,8 @@ def _best(item: np.ndarray, row: np.ndarray, score: np.ndarray, ids: pa.Array, t
 
 
 def search(
-    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", top: int = TOP
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", top: int = TOP,
+    block: int = BLOCK, bundle: int = BUNDLE,
 ) -> DataFrame:
     """The ``top`` rows of ``docs`` for each row of ``items``: ``item_key``, ``rank``, ``key`` and ``score``.
 
@@ -112,7 +113,7 @@ def search(
     document) it has met; the owner adds its whole integer contributions. After the last owner the best of
     each block are taken, then the best of all; ties go to the smaller key (a null one last).
 
-    A block holds at most ``BLOCK`` documents and a bundle at most ``BUNDLE`` items, so no group grows with the
+    A block holds at most ``block`` documents and a bundle at most ``bundle`` items (both must divide 2 ** 33), so no group grows with the
     corpus, with the documents of a term or with the items of one. Texts are read once, their term counts are
     written; only terms of items go on. Rows with null, empty or termless texts are found by nothing and find
     nothing. Rows that repeat a key stand for themselves, on both sides. An empty table gives an empty result.
@@ -120,7 +121,7 @@ def search(
     """
     ready(docs.sparkSession)
     source = term_counts(docs, key, text).select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), "n", "terms")
-    counted = settle(source.filter("n > 0"), "term_counts").withColumn("block", _div("row", BLOCK))
+    counted = settle(source.filter("n > 0"), "term_counts").withColumn("block", _div("row", block))
     queries = term_counts(items, item_key, item_text)
     asked = settle(queries.select(F.monotonically_increasing_id().alias("item"), F.col(item_key).alias("of"), "terms"), "items")
     documents, length = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -129,7 +130,7 @@ def search(
     wanted = asked.select("item", F.explode("terms").alias("t")).join(terms, F.col("t.term") == F.col("term"))
     ask = settle(
         wanted.select(
-            _div("item", BUNDLE).alias("bundle"), F.pmod("item", F.lit(BUNDLE)).cast("int").alias("item"), "term_id", F.col("t.tf").alias("repeats")
+            _div("item", bundle).alias("bundle"), F.pmod("item", F.lit(bundle)).cast("int").alias("item"), "term_id", F.col("t.tf").alias("repeats")
         ),
         "asked",
     )
@@ -143,25 +144,27 @@ def search(
     part = F.col("w") * _div(F.lit(1_000_000_000).cast("long") * tf, F.lit(1000).cast("long") * tf + F.lit(K1).cast("long") * m)
     goes = ask.select("bundle", F.col("term_id").alias("asked_id")).distinct()
     postings = found.select("row", "term_id", "owner", part.alias("part")).filter("part > 0").join(goes, F.col("term_id") == F.col("asked_id"))
-    postings = settle(postings.select("bundle", "row", "term_id", "owner", "part"), "postings").withColumn("block", _div("row", BLOCK))
+    postings = settle(postings.select("bundle", "row", "term_id", "owner", "part"), "postings").withColumn("block", _div("row", block))
 
     ids = counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("row", "id"))).alias("ids"))
     held = ids.select("block", F.col("ids.row").alias("rows"), F.col("ids.id").alias("ids"))
     state = postings.select("bundle", "block").distinct().join(bundles, "bundle").join(held, "block")
     for owner in range(len(OWNERS) + 1):
         owned = postings.filter(F.col("owner") == owner).select(F.col("bundle").alias("to"), F.col("block").alias("over"), "term_id", "row", "part")
-        state = state.groupBy("bundle", "block").cogroup(owned.groupBy("to", "over")).applyInArrow(_visit, state.schema)
+        state = state.groupBy("bundle", "block").cogroup(owned.groupBy("to", "over")).applyInArrow(
+            lambda carried, postings: _visit(carried, postings, block, bundle), state.schema
+        )
 
     def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                bundle, item, row, score, rows, held_ids = (batch.column(j).slice(i, 1) for j in range(6))
+                of, item, row, score, rows, held_ids = (batch.column(j).slice(i, 1) for j in range(6))
                 item, row, score, rows = (x.flatten().to_numpy(zero_copy_only=False) for x in (item, row, score, rows))
                 names = held_ids.flatten()
                 # Rows of a block that hold no term are not among its ids.
-                place = np.searchsorted(rows % BLOCK, row)
+                place = np.searchsorted(rows % block, row)
                 best = _best(item.astype(np.int64), place, score, names, top)
-                whole = bundle[0].as_py() * BUNDLE + item[best].astype(np.int64)
+                whole = of[0].as_py() * bundle + item[best].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(whole), names.take(pa.array(place[best])), pa.array(score[best])], ["item", "id", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
