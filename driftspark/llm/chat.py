@@ -36,7 +36,7 @@ def tree_nodes(messages: DataFrame) -> DataFrame:
     """One row for each (tree, id) of ``messages``: ``tree``, ``id``, ``parent``, ``role``, ``text``, ``score``.
 
     Of messages that repeat an id, the first one by parent, score (highest), role and text counts; rows without
-    an id are a message each. A parent that does not exist, or that is the message itself, is no parent.
+    an id are a message each, kept as they are.
     """
     first = Window.partitionBy("tree", "id").orderBy(F.col("parent").asc_nulls_first(), F.col("score").desc_nulls_last(), "role", "text")
     named = messages.filter("id IS NOT NULL")
@@ -49,35 +49,34 @@ def root_paths(nodes: DataFrame, name: str = "paths") -> tuple[DataFrame, list[D
     """``tree``, ``id``, ``depth`` (0 for a root) and ``score`` (sum from the root down) of every node that hangs
     on a root, and the tables of jumps: the k-th holds the 2^k-th ancestor ``up`` of the nodes that have one.
 
-    Pointer doubling: each round joins the jumps with themselves, so the number of rounds grows with the
-    logarithm of the longest path and every round is a join on (tree, id), which may be split whatever the
-    size of a tree. Rows hold ids and numbers alone. Nodes whose parents run in a circle hang on no root.
+    Pointer doubling: each round joins the jumps that have not come to a root yet with all jumps, so the number
+    of rounds grows with the logarithm of the longest path, a node takes part in as many as its own depth needs,
+    and every round is a join on (tree, id), which may be split whatever the size of a tree. Rows hold ids and
+    numbers alone. Nodes whose parents run in a circle hang on no root.
     """
     own = nodes.select("tree", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = own.select(F.col("tree").alias("t"), F.col("id").alias("i"))
     linked = own.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("i")) & (F.col("id") != F.col("parent")), "left")
     state = settle(linked.select("tree", "id", F.col("i").alias("up"), F.col("i").isNotNull().cast("long").alias("depth"), "score"), name)
-    total = state.count()
-    jumps, step = [], 1
-    while state.filter("up IS NOT NULL").count():
-        if step > total:  # only circles are left
-            state = state.filter("up IS NULL")
-            break
-        jumps.append(state.filter("up IS NOT NULL").select("tree", "id", "up"))
-        above = state.select(
+    total, step = state.count(), 1
+    at_root, open_ = state.filter("up IS NULL"), state.filter("up IS NOT NULL")
+    jumps = []
+    while step <= total and open_.count():  # longer jumps than there are nodes: only circles are left
+        jumps.append(open_.select("tree", "id", "up"))
+        above = at_root.unionByName(open_).select(
             F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("score").alias("plus")
         )
-        # ``score`` sums the nodes from the node itself up to, but without, ``up``.
-        joined = state.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")), "left")
+        # ``score`` sums the nodes from the node itself up to, but without, ``up``; every ``up`` is a node.
+        joined = open_.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("i")))
         state = settle(
             joined.select(
-                "tree", "id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.col("score") + F.coalesce("plus", F.lit(0.0))).alias("score"),
+                "tree", "id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("score") + F.col("plus")).alias("score")
             ),
             name,
         )
+        at_root, open_ = at_root.unionByName(state.filter("up IS NULL")), state.filter("up IS NOT NULL")
         step *= 2
-    return state.select("tree", "id", "depth", "score"), jumps
+    return at_root.select("tree", "id", "depth", "score"), jumps
 
 
 def chosen_paths(nodes: DataFrame, best: int | None = 1, name: str = "paths") -> DataFrame:
@@ -88,14 +87,13 @@ def chosen_paths(nodes: DataFrame, best: int | None = 1, name: str = "paths") ->
     highest first, then by the id of the leaf; rank is ``row_number``, which Spark cuts off in each task.
     """
     at, jumps = root_paths(nodes, name)
-    parents = nodes.select(F.col("tree").alias("t"), F.col("parent").alias("p")).filter("p IS NOT NULL").distinct()
+    parents = nodes.filter("id != parent").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     replied = F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("p"))
     leaves = at.join(parents, replied, "left_anti")
-    order = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
+    order = Window.partitionBy("tree").orderBy(F.col("score").desc(), "id")
     ranked = leaves.withColumn("rank", F.row_number().over(order))
     if best is not None:
         ranked = ranked.filter(F.col("rank") <= best)
-    # A row without an id is a path of its own; it is told by its rank.
     path = ranked.select("tree", F.col("id").alias("leaf"), "rank", F.col("score").alias("path_score"), "id", "depth")
     # Every node reached so far also gives its 2^k-th ancestor, from the longest jumps down to single steps.
     for k in reversed(range(len(jumps))):
@@ -115,28 +113,27 @@ def format_paths(messages: DataFrame, best: int | None = 1, learnt: list[str] =
     none can clash. A turn is ``### role: text</turn>`` and a line feed, with control strings escaped
     (:func:`escape`); null roles and texts are empty, a null tree is one like others. ``loss`` lists the spans to
     learn, in order: the texts of the roles ``learnt``, as code points (``start``, ``end``; end exclusive) and UTF-8
-    bytes (``start_byte``, ``end_byte``) of ``formatted``. An empty table gives an empty one.
+    bytes (``start_byte``, ``end_byte``) of ``formatted``. A parent that does not exist, or that is the message
+    itself, is no parent; messages in a circle are in no path; one without an id is a branch of its own behind
+    all others of its tree. An empty table gives an empty one.
 
     Offsets are running sums in path order, so a path of any length is one pass; the conversation itself is one
     text and so one row.
     """
     nodes = settle(tree_nodes(messages), f"{name}_messages")
-    path = chosen_paths(nodes, best, name)
-    texts = nodes.filter("id IS NOT NULL").select(F.col("tree").alias("t"), F.col("id").alias("i"), "role", "text")
-    lone = nodes.filter("id IS NULL").select("tree", F.lit(None).cast(path.schema["leaf"].dataType).alias("leaf"), "role", "text")
-    of_tree = Window.partitionBy("tree").orderBy("role", "text")
-    turns = (
-        path.filter("id IS NOT NULL").join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i")))
-        .select("tree", "leaf", "rank", "path_score", "depth", "role", "text")
+    named, lone = nodes.filter("id IS NOT NULL"), nodes.filter("id IS NULL")
+    path = chosen_paths(named, best, name)
+    texts = named.select(F.col("tree").alias("t"), F.col("id").alias("i"), "role", "text")
+    turns = path.join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i"))).select(
+        "tree", "leaf", "rank", "path_score", "depth", "role", "text"
     )
-    if best is None:  # messages without an id rank behind the others
-        paths = path.groupBy(F.col("tree").alias("t")).agg(F.max(F.when(F.col("leaf").isNotNull(), F.col("rank"))).alias("last"))
-        turns = turns.unionByName(
-            lone.withColumn("n", F.row_number().over(of_tree)).join(paths, F.col("tree").eqNullSafe(F.col("t")), "left").select(
-                "tree", "leaf", (F.coalesce("last", F.lit(0)) + F.col("n")).cast("int").alias("rank"), F.lit(0.0).alias("path_score"),
-                F.lit(0).cast("long").alias("depth"), "role", "text",
-            )
-        )
+    taken = path.groupBy(F.col("tree").alias("t")).agg(F.max("rank").alias("taken"))
+    behind = F.row_number().over(Window.partitionBy("tree").orderBy("role", "text"))
+    further = lone.withColumn("n", behind).join(taken, F.col("tree").eqNullSafe(F.col("t")), "left").select(
+        "tree", F.lit(None).cast(path.schema["leaf"].dataType).alias("leaf"), (F.coalesce("taken", F.lit(0)) + F.col("n")).alias("rank"),
+        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("path_score"), F.lit(0).cast("long").alias("depth"), "role", "text",
+    )
+    turns = turns.unionByName(further if best is None else further.filter(F.col("rank") <= best))
     return _conversations(turns, learnt)
 
 
