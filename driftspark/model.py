@@ -56,10 +56,14 @@ NODE_ATTRIBUTES = [
 
 @dataclass(frozen=True)
 class Contract:
-    """A set of contract snapshots, at most one version per (owner, app)."""
+    """A set of contract snapshots, at most one version per (owner, app).
+
+    ``hashes`` are those of :func:`driftspark.operators.shapes.subtree_hashes`, where they are kept beside the nodes.
+    """
 
     endpoints: DataFrame
     nodes: DataFrame
+    hashes: DataFrame | None = None
 
 
 def as_nodes(df: DataFrame) -> DataFrame:

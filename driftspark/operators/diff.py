@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.model import ENDPOINT, Contract, node_hash, parent_path
+from driftspark.model import ENDPOINT, NODE, Contract, node_hash, parent_path, prefixes
+from driftspark.operators import shapes
 from driftspark.session import settle
 
 BREAKING, NON_BREAKING, ADDITIVE = "breaking", "non-breaking", "additive"
@@ -32,66 +33,120 @@ def _message(template: str, *args: Column) -> Column:
     return F.concat(*pieces)
 
 
-def endpoint_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Endpoints on one side only."""
+def paired(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Endpoints of both sides in one full outer join: the endpoint, and the other columns as structs ``o`` and ``n``."""
 
-    def one_sided(df: DataFrame, other: DataFrame, change_type: str, verb: str) -> DataFrame:
-        return df.select(*ENDPOINT).join(other.select(*ENDPOINT), ENDPOINT, "left_anti").select(
-            *ENDPOINT,
-            F.lit(None).cast("string").alias("field"),
-            F.lit(change_type).alias("change_type"),
-            F.lit(f"endpoint_{verb}").alias("kind"),
-            _message(f"Endpoint %s %s was {verb}", F.col("method"), F.col("path")).alias("message"),
-        )
+    key = ["endpoint_hash", *ENDPOINT]
 
-    return one_sided(old, new, BREAKING, "removed").unionByName(one_sided(new, old, NON_BREAKING, "added"))
+    def side(df: DataFrame, name: str) -> DataFrame:
+        keyed = df if "endpoint_hash" in df.columns else df.withColumn("endpoint_hash", shapes.endpoint_hash())
+        return keyed.select(*key, F.struct(*[c for c in df.columns if c not in key]).alias(name))
 
+    return side(old, "o").join(side(new, "n"), key, "full_outer").drop("endpoint_hash")
+
+
+def compared_endpoints(old: Contract, new: Contract, deepest: int | None = None) -> DataFrame:
+    """:func:`paired` with what D1, D2, D12 and D13 look at, and the ``schemas`` and ``shape`` of the compared
+    locations (see :func:`shapes.endpoint_shapes`), written once.
+
+    Hashes are taken from the contracts if both have them, so nodes need not be read; else they are made of the
+    nodes down to the depth ``deepest``.
+    """
+    kept = old.hashes is not None and new.hashes is not None
+
+    def side(contract: Contract) -> DataFrame:
+        found = shapes.endpoint_shapes(contract.nodes, COMPARED, contract.hashes if kept else None, deepest)
+        told = [
+            F.col(name) if name in contract.endpoints.columns else F.lit(None).cast(kind).alias(name)
+            for name, kind in (("status_codes", "array<int>"), ("description", "string"))
+        ]
+        keyed = contract.endpoints.select(shapes.endpoint_hash(), *ENDPOINT, *told)
+        return keyed.join(found, ["endpoint_hash", *ENDPOINT], "left")
+
+    return settle(paired(side(old), side(new)), "pairs")
+
+
+def _change(field: Column, change_type: str, kind: str, message: Column) -> Column:
+    return F.struct(
+        field.cast("string").alias("field"), F.lit(change_type).alias("change_type"), F.lit(kind).alias("kind"), message.alias("message")
+    )
+
+
+def _listed(pairs: DataFrame, changes: Column) -> DataFrame:
+    return pairs.select(*ENDPOINT, F.explode(changes).alias("c")).select(*ENDPOINT, "c.*")
+
+
+def _one_sided() -> Column:
+    """D1 and D2 of a pair."""
+
+    def told(change_type: str, verb: str) -> Column:
+        message = _message(f"Endpoint %s %s was {verb}", F.col("method"), F.col("path"))
+        return _change(F.lit(None), change_type, f"endpoint_{verb}", message)
+
+    return F.array_compact(F.array(
+        F.when(F.col("n").isNull(), told(BREAKING, "removed")).when(F.col("o").isNull(), told(NON_BREAKING, "added"))
+    ))
 
-def status_and_description_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """D12 and D13 for endpoints on both sides, in one join."""
-    both = old.select(
-        *ENDPOINT, F.col("status_codes").alias("old_codes"), F.col("description").alias("old_text")
-    ).join(new.select(*ENDPOINT, F.col("status_codes").alias("codes"), F.col("description").alias("text")), ENDPOINT)
+
+def _codes_and_text() -> Column:
+    """D12 and D13 of a pair with both sides."""
 
     def code_changes(gone: Column, change_type: str, verb: str) -> Column:
-        return F.transform(
-            gone,
-            lambda code: F.struct(
-                F.concat(F.lit("statusCode."), code.cast("string")).alias("field"),
-                F.lit(change_type).alias("change_type"),
-                F.lit(f"status_{verb}").alias("kind"),
-                F.concat(F.lit("Status code "), code.cast("string"), F.lit(f" was {verb}")).alias("message"),
-            ),
-        )
+        return F.transform(gone, lambda code: _change(
+            F.concat(F.lit("statusCode."), code.cast("string")), change_type, f"status_{verb}",
+            F.concat(F.lit("Status code "), code.cast("string"), F.lit(f" was {verb}")),
+        ))
 
     none = F.array().cast("array<int>")
-    before, after = F.coalesce("old_codes", none), F.coalesce("codes", none)
-    updated = F.struct(
-        F.lit("description").alias("field"), F.lit(ADDITIVE).alias("change_type"),
-        F.lit("description_updated").alias("kind"), F.lit("Description updated").alias("message"),
-    )
-    rewritten = ~F.col("old_text").eqNullSafe(F.col("text")) & (F.coalesce("text", F.lit("")) != "")
+    before, after = F.coalesce("o.status_codes", none), F.coalesce("n.status_codes", none)
+    updated = _change(F.lit("description"), ADDITIVE, "description_updated", F.lit("Description updated"))
+    rewritten = ~F.col("o.description").eqNullSafe(F.col("n.description")) & (F.coalesce("n.description", F.lit("")) != "")
     changes = F.concat(
         code_changes(F.array_except(before, after), BREAKING, "removed"),
         code_changes(F.array_except(after, before), NON_BREAKING, "added"),
-        F.when(rewritten, F.array(updated)).otherwise(F.filter(F.array(updated), lambda _: F.lit(False))),
+        F.array_compact(F.array(F.when(rewritten, updated))),
     )
-    return both.select(*ENDPOINT, F.explode(changes).alias("c")).select(*ENDPOINT, "c.*")
+    return F.when(F.col("o").isNotNull() & F.col("n").isNotNull(), changes)
+
+
+def endpoint_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Endpoints on one side only."""
+    there = [df.select(*ENDPOINT, F.lit(True).alias("there")) for df in (old, new)]
+    return _listed(paired(*there), _one_sided())
+
+
+def status_and_description_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """D12 and D13 for endpoints on both sides, in one join."""
+    sides = [df.select(*ENDPOINT, "status_codes", "description") for df in (old, new)]
+    return _listed(paired(*sides), _codes_and_text())
 
 
-def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_numbers: bool = False) -> DataFrame:
+def field_changes(
+    old: Contract, new: Contract, max_depth: int = 1, widen_numbers: bool = False, alternatives: bool = False, pairs: DataFrame | None = None
+) -> DataFrame:
     """Schemas and fields of endpoints present on both sides.
 
-    One full outer join on the node key finds every difference; it is keyed down to the field, so no
-    endpoint forms a hot key.
+    Endpoints of one shape on both sides (equal structural hashes; two different schemas share one with
+    a probability of 2 ** -64) have no change. Where that leaves less than half of the endpoints, only the nodes of
+    those are read further; otherwise taking nodes out first would cost more than it saves. One full outer join
+    on the node key finds every difference; it is keyed down to the field, so no endpoint forms a hot key.
     ``max_depth=1`` compares top-level properties, more also looks into nested ones and array items.
+    ``alternatives=True`` compares what is a ``oneOf`` on either side by :func:`alternative_changes` instead of field
+    by field. ``pairs`` is :func:`compared_endpoints`, if it is there already.
     """
+    if pairs is None:
+        pairs = compared_endpoints(old, new, None if alternatives else max_depth)
+    both_sides = pairs.where("o IS NOT NULL AND n IS NOT NULL")
+    differing = both_sides.where("NOT (o.shape <=> n.shape)")
+    matched, changed = both_sides.count(), differing.count()
     compared = F.col("location").isin(*COMPARED)
     in_reach = (F.size("node_path") <= max_depth) & F.col("trail").rlike("^(p[pi]*)?$" if max_depth > 1 else "^p?$")
 
     def side(contract: Contract, name: str) -> DataFrame:
         """Nodes, and a row with ``ghost`` for each name that is required but no property."""
         rows = contract.nodes.where(compared & in_reach)
+        if 2 * changed < matched:
+            rows = rows.join(differing.select(*ENDPOINT), ENDPOINT, "left_semi")
         real = rows.select(*_WHERE, "node_path", F.struct("type", "required", F.lit(False).alias("ghost")).alias(name))
         ghosts = rows.where((F.size("required_names") > 0) & (F.size("node_path") < max_depth)).select(
             *_WHERE, F.explode("required_names").alias("ghost"), "node_path"
@@ -105,14 +160,6 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
     o, n = F.col("o"), F.col("n")
     at_root = F.size("node_path") == 0
 
-    # A field counts below a parent both sides have, a schema on an endpoint both sides have.
-    # Endpoints stand in as the parent of their roots, under a path no real node has.
-    above_root = F.array(F.lit(None).cast("string"))
-    inner = F.size("node_path") < max_depth
-    matched = old.endpoints.select(*ENDPOINT).join(new.endpoints.select(*ENDPOINT), ENDPOINT).select(
-        *ENDPOINT, F.explode(F.array(*[F.lit(x) for x in COMPARED])).alias("location"), above_root.alias("parent")
-    )
-
     request = F.col("location") != "response"
     field = F.concat_ws(".", F.col("location"), F.array_join("node_path", "."))
     both = both.withColumn("field", F.when(at_root, F.col("location")).otherwise(field))
@@ -172,38 +219,93 @@ def field_changes(old: Contract, new: Contract, max_depth: int = 1, widen_number
         .when(at_root & gone, schema_removed).when(at_root & fresh, schema_added).when(gone, removed).when(fresh, added)
     )
     by_field = F.array(F.when(~at_root, by_type), F.when(~at_root, by_required), one_sided)
-    # What the outer join has to tell is written once: the changes, and the nodes that both sides have, which
-    # are the parents that changes count under. Other unchanged nodes give nothing.
-    told = settle(
-        both.select(
-            *_WHERE, "node_path", "field",
-            F.when(at_root, above_root).otherwise(parent_path(F.col("node_path"))).alias("parent"),
-            F.array_compact(by_field).alias("changes"),
-            F.coalesce(real_old & real_new & inner, F.lit(False)).alias("in_both"),
-        ).where("in_both or size(changes) > 0"),
-        "told",
+    told = both.select(
+        shapes.endpoint_hash(), *_WHERE, "node_path", "field", F.array_compact(by_field).alias("changes"),
+        (gone | fresh).alias("one_sided"), F.coalesce(real_old & real_new, F.lit(False)).alias("in_both"),
+    )
+    if max_depth > 1:
+        told = settle(told.where((F.col("in_both") & (F.size("node_path") < max_depth)) | (F.size("changes") > 0)), "told")
+    # A schema counts on an endpoint both sides have, a top-level field in a schema both sides have; the few
+    # columns of the pairs tell.
+    known = differing.select(shapes.endpoint_hash(), *ENDPOINT, F.col("o.schemas").bitwiseAND(F.col("n.schemas")).alias("schemas"))
+    depth = F.size("node_path")
+    kept = told.where("size(changes) > 0").join(known, ["endpoint_hash", *ENDPOINT]).where(
+        (depth == 0) | shapes.has_schema(F.col("schemas"), F.col("location"))
+    )
+    if max_depth > 1:  # what lies deeper counts below a parent both sides have
+        # The hash leads the join key for a cheap sort, as in node_hash().
+        key = F.xxhash64(*_WHERE, "parent").alias("key")
+        parents = told.where("in_both").select(*_WHERE, F.col("node_path").alias("parent")).select(key, "*")
+        deep = kept.where((depth > 1) & F.col("one_sided")).withColumn("parent", parent_path(F.col("node_path")))
+        deep = deep.select(key, "*").join(parents, ["key", *_WHERE, "parent"], "left_semi").drop("key", "parent")
+        kept = kept.where(~((depth > 1) & F.col("one_sided"))).unionByName(deep.select(*kept.columns))
+    out = [*ENDPOINT, "field", "c.change_type", "c.kind", "c.message"]
+    if not alternatives:
+        return kept.select(*ENDPOINT, "field", F.explode("changes").alias("c")).select(*out)
+    choices, switched = _choices(old, new, differing, compared & in_reach)
+    above = F.explode(F.array_append(prefixes(F.col("node_path")), F.col("node_path"))).alias("prefix")
+    rows = kept.select(*_WHERE, "node_path", "field", "changes", F.monotonically_increasing_id().alias("row"))
+    rows = settle(rows, "rows")
+    replaced = rows.select("row", *_WHERE, above).join(switched.withColumnRenamed("node_path", "prefix"), [*_WHERE, "prefix"], "left_semi")
+    rest = rows.join(replaced.select("row").distinct(), "row", "left_anti")
+    return rest.select(*ENDPOINT, "field", F.explode("changes").alias("c")).select(*out).unionByName(_alternative_changes(choices))
+
+
+def _choices(old: Contract, new: Contract, differing: DataFrame, reached: Column) -> tuple[DataFrame, DataFrame]:
+    """The alternatives of every node in reach that is a ``oneOf`` on either side and there on both, by structural
+    hash, with the sides they are on; and those nodes. A node that is no ``oneOf`` has one alternative, itself."""
+    keys = differing.select(*ENDPOINT)
+
+    def side(contract: Contract) -> tuple[DataFrame, DataFrame]:
+        hashes = contract.hashes if contract.hashes is not None else shapes.subtree_hashes(contract.nodes)
+        nodes = contract.nodes.where(F.col("location").isin(*COMPARED)).select(*NODE, "trail", "type").join(keys, ENDPOINT, "left_semi")
+        hashed = nodes.join(hashes.select(*NODE, "subtree_hash"), NODE)
+        own = hashed.where(reached).select(*NODE, "type", "subtree_hash")
+        options = hashed.where("trail LIKE '%o'").withColumn("node_path", parent_path(F.col("node_path")))
+        return own, options.select(*NODE, "type", "subtree_hash")
+
+    (old_own, old_options), (new_own, new_options) = side(old), side(new)
+    switched = old_options.select(*NODE).union(new_options.select(*NODE)).distinct()
+    switched = settle(switched.join(old_own, NODE, "left_semi").join(new_own, NODE, "left_semi"), "switched")
+
+    def offered(own: DataFrame, options: DataFrame, name: str) -> DataFrame:
+        of = options.join(switched, NODE, "left_semi")
+        alone = own.join(switched, NODE, "left_semi").join(options.select(*NODE).distinct(), NODE, "left_anti")
+        return of.unionByName(alone).distinct().withColumn(name, F.lit(True))
+
+    shape = [*NODE, "type", "subtree_hash"]
+    # Types may be null: they are joined as text.
+    sides = [
+        df.withColumn("type", F.coalesce("type", F.lit("untyped"))) for df in (offered(old_own, old_options, "o"), offered(new_own, new_options, "n"))
+    ]
+    return sides[0].join(sides[1], shape, "full_outer"), switched
+
+
+def _alternative_changes(choices: DataFrame) -> DataFrame:
+    """Alternatives that came or went. A request that takes more, or a response that gives less, breaks no one."""
+    request = F.col("location") != "response"
+    field = F.when(F.size("node_path") == 0, F.col("location")).otherwise(F.concat_ws(".", "location", F.array_join("node_path", ".")))
+    gone = F.col("n").isNull()
+    verb = F.when(gone, "removed").otherwise("added")
+    return choices.where("o IS NULL OR n IS NULL").select(
+        *ENDPOINT, field.alias("field"), F.when(request == gone, BREAKING).otherwise(NON_BREAKING).alias("change_type"),
+        F.concat(F.lit("alternative_"), verb).alias("kind"), _message('Alternative %s of "%s" was %s', F.col("type"), field, verb).alias("message"),
     )
-    # The hash leads the join key for a cheap sort, as in node_hash().
-    key = F.xxhash64(*_WHERE, "parent")
-    parents = told.where("in_both").select(*_WHERE, F.col("node_path").alias("parent"))
-    allowed = parents.unionByName(matched).withColumn("key", key)
-    found = told.select(*_WHERE, "parent", "field", F.explode("changes").alias("c"))
-    kept = found.withColumn("key", key).join(allowed, ["key", *_WHERE, "parent"], "left_semi")
-    return kept.select(*ENDPOINT, "field", "c.change_type", "c.kind", "c.message")
 
 
 def diff_contracts(
-    old: Contract, new: Contract, max_depth: int = 1, widen_numbers: bool = False, unique: bool = False
+    old: Contract, new: Contract, max_depth: int = 1, widen_numbers: bool = False, unique: bool = False, alternatives: bool = False
 ) -> DataFrame:
-    """Every change between two contracts. ``unique=True`` skips D0 for inputs known to have no duplicates."""
+    """Every change between two contracts. ``unique=True`` skips D0 for inputs known to have no duplicates.
+
+    Endpoints are joined once; what they alone tell, and which of them are compared further, comes from that.
+    """
     if not unique:
         old, new = last_wins(old), last_wins(new)
-    return (
-        endpoint_changes(old.endpoints, new.endpoints)
-        .unionByName(field_changes(old, new, max_depth, widen_numbers))
-        .unionByName(status_and_description_changes(old.endpoints, new.endpoints))
-        .select(*CHANGE)
-    )
+    pairs = compared_endpoints(old, new, None if alternatives else max_depth)
+    none = F.array().cast("array<struct<field:string,change_type:string,kind:string,message:string>>")
+    by_endpoint = _listed(pairs, F.concat(_one_sided(), F.coalesce(_codes_and_text(), none)))
+    return by_endpoint.unionByName(field_changes(old, new, max_depth, widen_numbers, alternatives, pairs)).select(*CHANGE)
 
 
 def report(changes: DataFrame, apps: DataFrame | None = None) -> DataFrame:

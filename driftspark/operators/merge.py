@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.model import ENDPOINT, NODE, NODE_ATTRIBUTES, Contract, as_nodes, is_property, node_hash, parent_path
+from driftspark.model import ENDPOINT, NODE, NODE_ATTRIBUTES, Contract, as_nodes, is_property, node_hash, parent_path, prefixes
 from driftspark.session import settle
 
 SAMPLED = "sampled"
@@ -43,9 +43,11 @@ def plan_merge(
 
     A node that is an object, or an array, on both sides is merged child by child. Any other node
     *stops* the descent, and its whole subtree follows the decision made there. Only stops that can
-    have children, and objects that were sampled before, matter to other nodes: those of one schema are
-    gathered (they are a part of one document) and each node of it looks its ancestors up in its own row.
-    The outer join is written once, as it is read for both sides of that lookup.
+    have children, and objects that were sampled before, matter to other nodes. They are a table of marks, which
+    the proper prefixes of every path meet in an equi-join on (endpoint, location, prefix): a mark with very many
+    nodes below it is one row on one side, so the join can be split, and nothing is gathered per schema. What
+    a node finds is folded per node, at most one value for each of its levels.
+    The outer join is written once, as it is read for both sides of that join.
     """
     if learn_empty_items:
         options = (
@@ -56,7 +58,7 @@ def plan_merge(
         b_side = _side(baseline, "b").join(options, NODE, "left").fillna(0, ["b_alternatives"])
     else:
         b_side = _side(baseline, "b")
-    both = b_side.join(_side(observed, "o"), ["node_hash", *NODE], "full_outer").drop("node_hash")
+    both = b_side.join(_side(observed, "o"), ["node_hash", *NODE], "full_outer")
     both = settle(both.withColumn("rule", _rule(learn_empty_items, widen_numbers)).drop("b_alternatives"), "both")
 
     def holds_children(side: str) -> Column:
@@ -65,27 +67,19 @@ def plan_merge(
 
     stops = ~F.col("rule").isin("object", "array")
     sampled_object = (F.col("rule") == "object") & F.coalesce(F.col("b.source") == SAMPLED, F.lit(False))
-    marks = F.struct(
-        F.size("node_path").alias("level"),
-        F.col("node_path").alias("prefix"),
-        stops.alias("stops"),
-        "rule",
-        F.coalesce("b.trail", "o.trail").alias("trail"),
-        F.coalesce(F.col("b.source") == SAMPLED, F.lit(False)).alias("sampled"),
+    marks = both.where((stops & (holds_children("b") | holds_children("o"))) | sampled_object).select(
+        *_WHERE, F.col("node_path").alias("prefix"), stops.alias("stops"), F.size("node_path").alias("level"), "rule",
+        F.coalesce("b.trail", "o.trail").alias("trail"), F.coalesce(F.col("b.source") == SAMPLED, F.lit(False)).alias("sampled"),
     )
-    above = (
-        both.where((stops & (holds_children("b") | holds_children("o"))) | sampled_object)
-        .groupBy(*_WHERE).agg(F.array_sort(F.collect_list(marks)).alias("above"))
-    )
-    own_path = F.col("node_path")
-    ancestors = F.filter(
-        "above", lambda a: (a["level"] < F.size(own_path)) & (F.slice(own_path, 1, F.greatest(a["level"], F.lit(0))) == a["prefix"])
-    )
-    planned = both.join(above, _WHERE, "left").withColumn("above", ancestors).select(
-        *NODE, "b", "o", "rule",
-        F.get(F.filter("above", lambda a: a["stops"]), F.lit(0)).alias("stop"),
-        F.transform(F.filter("above", lambda a: ~a["stops"]), lambda a: a["level"]).alias("sampled_levels"),
+    # The hash leads the join key for a cheap sort, as in node_hash().
+    key = F.xxhash64(*_WHERE, "prefix").alias("key")
+    steps = both.select("node_hash", *NODE, F.explode(prefixes(F.col("node_path"))).alias("prefix")).select(key, "*")
+    met = steps.join(marks.select(key, "*"), ["key", *_WHERE, "prefix"])
+    above = met.groupBy("node_hash", *NODE).agg(
+        F.min(F.when(F.col("stops"), F.struct("level", "rule", "trail", "sampled"))).alias("stop"),
+        F.collect_list(F.when(~F.col("stops"), F.col("level"))).alias("sampled_levels"),
     )
+    planned = both.join(above, ["node_hash", *NODE], "left").select(*NODE, "b", "o", "rule", "stop", "sampled_levels")
 
     no_levels = F.array().cast("array<int>")
     sampled_levels = F.coalesce("sampled_levels", no_levels)

@@ -248,7 +248,20 @@ drift AS (
 
 _MERGED = "owner, app, path, type, source, sampled_type, note, p AS node"
 
+_ALTERNATIVES = f"""
+WITH a AS (SELECT {T.payload_sql(T.ENDPOINT_OF_ORDER)}, o_totalprice > 400000 AS big,
+    {T.alternatives_sql(T.ALTERNATIVES_OLD, '[', ']')} AS was, {T.alternatives_sql(T.ALTERNATIVES_NEW, '[', ']')} AS given FROM orders),
+m AS (SELECT * EXCLUDE given, list_transform(given, lambda x: CASE WHEN x = 'error' AND big THEN 'error of numbers' ELSE x END) AS now FROM a),
+c AS (SELECT *, unnest(list_filter(was, lambda x: NOT list_contains(now, x))) AS label, 'removed' AS verb, 'non-breaking' AS change_type FROM m
+    UNION ALL SELECT *, unnest(list_filter(now, lambda x: NOT list_contains(was, x))), 'added', 'breaking' FROM m)
+SELECT owner, app, method, path, 'response' AS field, change_type, 'alternative_' || verb AS kind,
+    'Alternative ' || CASE label WHEN 'list' THEN 'array' ELSE 'object' END || ' of "response" was ' || verb AS message FROM c
+"""
+
 ORACLE: dict[str, str] = {
+    "contract_diff_alternatives": _ALTERNATIVES,
+    "contract_diff_stored_hashes": f"""SELECT {T.payload_sql(T.ENDPOINT_OF_ORDER)}, 'response.status' AS field, 'breaking' AS change_type,
+      'Field "response.status" type changed from integer to boolean' AS message FROM orders WHERE o_totalprice <= 480000 AND o_custkey % 10 = 7""",
     "payload_type_tags": _TYPE_TAGS,
     "payload_field_types": f"WITH {_EVENT_PAYLOADS}, {_nodes('p', 'ts, path')} SELECT path, node, type, count(*) AS samples, "
     f"strftime(min(ts), {_STAMP}) AS first_seen, strftime(max(ts), {_STAMP}) AS last_seen FROM n GROUP BY path, node, type",

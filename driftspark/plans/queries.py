@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from driftspark.functions.json_types import json_type
 from driftspark.model import ENDPOINT, Contract, as_nodes
-from driftspark.operators import diff, impact, infer, merge, registry, routes
+from driftspark.operators import diff, impact, infer, merge, registry, routes, shapes
 from driftspark.plans import tables as T
 from driftspark.session import configure, settle, shared_folder
 from driftspark.sources import payloads as log
@@ -212,27 +212,40 @@ def carry_forward_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- diff (D0-D15) --------------------------------------------------------------------------------
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> tuple[Contract, Contract]:
-    return T.order_contract(spark, sf_dir, new=False), T.order_contract(spark, sf_dir, new=True)
-
-
 @query
 def contract_diff_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1, D2."""
-    old, new = _versions(spark, sf_dir)
+    old, new = T.order_versions(spark, sf_dir)
     return diff.endpoint_changes(old.endpoints, new.endpoints).select(*ENDPOINT, "change_type", "kind", "message")
 
 
 @query
 def contract_diff_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3-D11."""
-    return diff.field_changes(*_versions(spark, sf_dir))
+    return diff.field_changes(*T.order_versions(spark, sf_dir))
+
+
+@query
+def contract_diff_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3-D11 with alternatives told apart by structural hashes: reordered, widened and narrowed ones."""
+    old, new = (T.alternative_contract(spark, sf_dir, new) for new in (False, True))
+    return diff.field_changes(old, new, alternatives=True)
+
+
+@query
+def contract_diff_stored_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D14 between versions whose structural hashes are kept beside their nodes, where few endpoints changed."""
+    old = T.order_contract(spark, sf_dir, new=True, everything=True)
+    few = F.expr("location = 'response' AND name = 'status' AND substring(app, -1, 1) = '7'")
+    new = Contract(old.endpoints, old.nodes.withColumn("type", F.when(few, "boolean").otherwise(F.col("type"))))
+    kept = [Contract(c.endpoints, c.nodes, settle(shapes.subtree_hashes(c.nodes), "hashes")) for c in (old, new)]
+    return diff.diff_contracts(*kept, unique=True).select(*ENDPOINT, "field", "change_type", "message")
 
 
 @query
 def contract_diff_status_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D12, D13."""
-    old, new = _versions(spark, sf_dir)
+    old, new = T.order_versions(spark, sf_dir)
     return diff.status_and_description_changes(old.endpoints, new.endpoints)
 
 
@@ -261,7 +274,7 @@ def corpus_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def drift_report_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per class and the verdict for every app."""
-    old, new = _versions(spark, sf_dir)
+    old, new = T.order_versions(spark, sf_dir)
     return diff.report(diff.diff_contracts(old, new, unique=True), old.endpoints)
 
 
@@ -352,7 +365,7 @@ def source_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def broken_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1 on the field changes of all orders."""
-    changes = diff.field_changes(*_versions(spark, sf_dir))
+    changes = diff.field_changes(*T.order_versions(spark, sf_dir))
     return impact.broken_fields(changes).groupBy("owner", "field_name").agg(F.count(F.lit(1)).alias("changes"))
 
 

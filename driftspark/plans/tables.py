@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.model import Contract, as_nodes
-from driftspark.session import dealt
+from driftspark.model import ENDPOINT, Contract, as_nodes
+from driftspark.session import dealt, settle
 
 Spec = list[dict[str, str]]
 
@@ -144,10 +144,17 @@ def _codes(by_status: dict[str, list[int]], array: str, close: str) -> str:
     return f"CASE o_orderstatus {cases} END"
 
 
-def order_contract(spark: SparkSession, sf_dir: str, new: bool, everything: bool = False) -> Contract:
+def order_versions(spark: SparkSession, sf_dir: str) -> tuple[Contract, Contract]:
+    """Both versions, from one copy of the columns they are made of: each is read several times."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    orders = settle(spread(spark, sf_dir, "orders", *columns), "orders")
+    return order_contract(spark, sf_dir, new=False, orders=orders), order_contract(spark, sf_dir, new=True, orders=orders)
+
+
+def order_contract(spark: SparkSession, sf_dir: str, new: bool, everything: bool = False, orders: DataFrame | None = None) -> Contract:
     """One of two versions, each without the orders of a period (so that endpoints come and go), or the fields
     of one on all orders."""
-    orders = spread(spark, sf_dir, "orders")
+    orders = spread(spark, sf_dir, "orders") if orders is None else orders
     if not everything:
         orders = orders.where(NEW_ORDERS if new else OLD_ORDERS)
     endpoint = payload_sql_list(ENDPOINT_OF_ORDER)
@@ -164,6 +171,41 @@ def _with_path(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("node_path", path).withColumn("trail", F.when(F.col("name") == "", "").otherwise("p"))
 
 
+# Responses with alternatives: their labels in order, by order status. A single one is a response without a choice.
+ALTERNATIVES_OLD = {"F": ["id", "error"], "O": ["id", "error", "list"], "P": ["id"]}
+ALTERNATIVES_NEW = {"F": ["error", "id"], "O": ["list", "id"], "P": ["error", "id"]}
+
+
+def alternatives_sql(by_status: dict[str, list[str]], array: str, close: str) -> str:
+    """Labels of the alternatives of an order."""
+    cases = " ".join(f"WHEN '{k}' THEN {array}{', '.join(repr(x) for x in v)}{close}" for k, v in by_status.items())
+    return f"CASE o_orderstatus {cases} END"
+
+
+def alternative_contract(spark: SparkSession, sf_dir: str, new: bool) -> Contract:
+    """One endpoint per order whose response is one of several schemas; a single one is no ``oneOf``."""
+    labels = alternatives_sql(ALTERNATIVES_NEW if new else ALTERNATIVES_OLD, "array(", ")")
+    orders = spread(spark, sf_dir, "orders").selectExpr(
+        *payload_sql_list(ENDPOINT_OF_ORDER), f"{labels} AS labels", "o_orderpriority < '3' AS low", f"{str(new).lower()} AND o_totalprice > 400000 AS big"
+    )
+    endpoints = orders.selectExpr(*ENDPOINT, "0 AS ordinal", "array(200) AS status_codes", "cast(null as string) AS description")
+    choice = "size(labels) > 1"
+    nodes = orders.selectExpr(*ENDPOINT, "low", "big", "size(labels) > 1 AS choice", "posexplode(labels) AS (pos, label)")
+    at = "CASE WHEN choice THEN array(concat('oneOf#', cast(pos as string))) ELSE cast(array() as array<string>) END"
+    root = orders.where(choice).selectExpr(*ENDPOINT, "cast(array() as array<string>) AS node_path", "'' AS trail", "cast(null as string) AS type")
+    own = nodes.selectExpr(
+        *ENDPOINT, f"{at} AS node_path", "CASE WHEN choice THEN 'o' ELSE '' END AS trail", "CASE label WHEN 'list' THEN 'array' ELSE 'object' END AS type"
+    )
+    # Alternatives differ by their fields; error fields of big orders change their type in the new version.
+    below = nodes.selectExpr(
+        *ENDPOINT, f"concat({at}, array(CASE label WHEN 'list' THEN '[]' ELSE concat(label, CASE WHEN low THEN '_low' ELSE '' END) END)) AS node_path",
+        "concat(CASE WHEN choice THEN 'o' ELSE '' END, CASE label WHEN 'list' THEN 'i' ELSE 'p' END) AS trail",
+        "CASE WHEN label = 'error' AND big THEN 'integer' ELSE 'string' END AS type",
+    )
+    whole = root.unionByName(own).unionByName(below).withColumn("location", F.lit("response"))
+    return Contract(endpoints, as_nodes(whole))
+
+
 def contract_ctes() -> str:
     """CTEs old_e, new_e, old_n, new_n of the same contracts, and all_n on all orders, for the checking engine."""
     endpoint = payload_sql(ENDPOINT_OF_ORDER)

@@ -1,7 +1,7 @@
 import pytest
 from conftest import Contract, contract_of, endpoints_of, nodes_of, obj, rows, typ
 
-from driftspark.operators import diff
+from driftspark.operators import diff, shapes
 
 B, N, A = "breaking", "non-breaking", "additive"
 ONE = typ("string")
@@ -118,3 +118,63 @@ def test_required_names_without_a_property(spark):
     new = contract_of(spark, [("POST", "/x", [200], None)], {("POST", "/x", "body"): obj({"b": typ("string"), "k": typ("string")}, ["a"])})
     found = rows(diff.field_changes(old, new), "kind", "field")
     assert found == [("field_added", "body.b"), ("field_removed", "body.a"), ("now_optional", "body.b"), ("now_required", "body.a")]
+
+
+# --- structural hashes and alternatives ---------------------------------------------------------------
+
+
+def response(spark, *schemas):
+    return nodes_of(spark, {("GET", f"/{i}", "response"): s for i, s in enumerate(schemas)})
+
+
+def test_hashes_ignore_order_and_notes_but_nothing_else(spark):
+    a, b = obj({"x": ONE, "y": typ("array", items=obj({"z": ONE}, ["z"]))}, ["x"]), typ("integer")
+    same = [{"oneOf": [a, b]}, {"oneOf": [b, {**a, "x-contract-source": "sampled", "x-contract-note": "n"}]}]
+    other = [
+        {"oneOf": [a]}, {"oneOf": [a, b, b]}, obj({"oneOf#0": a, "oneOf#1": b}), {"oneOf": [a, typ("string")]},
+        {"oneOf": [obj({"x": ONE, "y": typ("array", items=obj({"z": ONE}))}, ["x"]), b]}, {"oneOf": [{**a, "required": ["x", "none"]}, b]}, {},
+    ]
+    roots = shapes.subtree_hashes(response(spark, *same, *other)).where("size(node_path) = 0").collect()
+    by_path = {int(r.path[1:]): r.subtree_hash for r in roots}
+    assert by_path[0] == by_path[1] and len({by_path[i] for i in by_path if i != 1}) == len(other) + 1
+    every = shapes.endpoint_shapes(response(spark, *same, *other), diff.COMPARED)
+    kept = shapes.endpoint_shapes(None, diff.COMPARED, shapes.subtree_hashes(response(spark, *same, *other)))
+    assert rows(every) == rows(kept)
+    assert shapes.subtree_hashes(response(spark, a).limit(0)).count() == 0
+
+
+def alternatives(spark, old, new, **options):
+    endpoints = [("GET", f"/{i}", [200], None) for i in range(len(old))]
+    side = lambda docs: contract_of(spark, endpoints, {("GET", f"/{i}", "response"): d for i, d in enumerate(docs)})
+    found = diff.diff_contracts(side(old), side(new), alternatives=True, **options)
+    return rows(found, "path", "change_type", "message")
+
+
+def test_alternatives(spark):
+    a, b, c = obj({"a": ONE}), obj({"e": ONE}), typ("array", items=ONE)
+    old = [{"oneOf": [a, b]}, {"oneOf": [a, b]}, a, {"oneOf": [a, c]}, a, {"oneOf": [a, b]}]
+    new = [{"oneOf": [b, a]}, {"oneOf": [c, a, b]}, {"oneOf": [a, b]}, a, obj({"a": typ("integer")}), {"oneOf": [a, obj({"e": typ("integer")})]}]
+    assert alternatives(spark, old, new) == sorted([
+        ("/1", B, 'Alternative array of "response" was added'), ("/2", B, 'Alternative object of "response" was added'),
+        ("/3", N, 'Alternative array of "response" was removed'), ("/4", B, 'Field "response.a" type changed from string to integer'),
+        ("/5", B, 'Alternative object of "response" was added'), ("/5", N, 'Alternative object of "response" was removed'),
+    ])
+
+
+def test_alternatives_below_the_root(spark):
+    a, b = obj({"a": ONE}), typ("string")
+    old, new = obj({"f": {"oneOf": [a, b]}, "g": ONE}), obj({"f": {"oneOf": [b, typ("integer"), a]}, "h": ONE})
+    assert alternatives(spark, [old], [new], max_depth=3) == sorted([
+        ("/0", B, 'Alternative integer of "response.f" was added'), ("/0", B, 'Field "response.g" was removed'), ("/0", N, 'Field "response.h" was added'),
+    ])
+
+
+def test_few_changed_endpoints_and_stored_hashes_give_the_same(spark):
+    old = contract_of(spark, [("GET", f"/{i}", [200], None) for i in range(9)], {("GET", f"/{i}", "response"): obj({"a": ONE, "b": obj({"c": ONE})}) for i in range(9)})
+    docs = {("GET", f"/{i}", "response"): obj({"a": ONE, "b": obj({"c": ONE})}) for i in range(8)}
+    new = contract_of(spark, [("GET", f"/{i}", [200], None) for i in range(9)], {**docs, ("GET", "/8", "response"): obj({"b": obj()})})
+    want = [("/8", 'Field "response.a" was removed'), ("/8", 'Field "response.b.c" was removed')]
+    kept = [Contract(c.endpoints, c.nodes, shapes.subtree_hashes(c.nodes)) for c in (old, new)]
+    for sides in ((old, new), kept):
+        assert rows(diff.diff_contracts(*sides, max_depth=2), "path", "message") == want
+        assert rows(diff.diff_contracts(*sides), "path", "message") == want[:1]
