@@ -356,6 +356,11 @@ ORACLE: dict[str, str] = {
       SELECT batch, count(*) AS rows, count(*) FILTER (us < watermark) AS late, watermark FROM e JOIN w USING (batch) GROUP BY batch, watermark""",
     "debounced_checks": f"WITH {_SESSIONS} SELECT * FROM sessions",
     "debounced_stream": f"WITH {_SESSIONS} SELECT * FROM sessions WHERE last + 1800000000 <= (SELECT max(us) FROM e) - 600000000",
+    "debounced_hot_stream": """WITH e AS (SELECT event_type, epoch_us(ts) AS us FROM events),
+      s AS (SELECT *, CASE WHEN us - (lag(us) OVER (PARTITION BY event_type ORDER BY us)) < 300000000 THEN 0 ELSE 1 END AS starts FROM e),
+      i AS (SELECT *, sum(starts) OVER (PARTITION BY event_type ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM s),
+      b AS (SELECT event_type, min(us) AS first, max(us) AS last, count(*) AS events FROM i GROUP BY event_type, island)
+      SELECT * FROM b WHERE last + 600000000 <= (SELECT max(us) FROM e) - 600000000""",
     "continuous_drift": f"{_CONTINUOUS} SELECT * FROM drift",
     "continuous_gate": f"{_CONTINUOUS}, files AS (SELECT count(*) AS n FROM documents), b AS (SELECT DISTINCT batch FROM seen) "
     "SELECT b.batch, 'shop' AS owner, 'tracker' AS app, count(*) FILTER (change_type = 'breaking') AS breaking, count(*) FILTER (change_type = 'non-breaking') AS non_breaking, "

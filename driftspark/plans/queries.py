@@ -18,7 +18,7 @@ from driftspark.sources import payloads as log
 from driftspark.sources import snapshots
 from driftspark.plans.workflows import contract_of_corpus
 from driftspark.sources.corpus import outside, read_corpus
-from driftspark.streaming.debounce import LateRows, debounce, debounce_stream
+from driftspark.streaming.debounce import LateRows, debounce, debounce_hot_stream, debounce_stream
 from driftspark.streaming.drift import DriftCheck
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -490,6 +490,7 @@ def snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming (T1-T3) ----------------------------------------------------------------------------
 
 QUIET_MICROS = 30 * 60 * 1_000_000
+HOT_QUIET_MICROS = 5 * 60 * 1_000_000
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,6 +515,16 @@ def debounced_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "events")
 
 
+@query
+def debounced_hot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 on a stream with five hot keys: bursts per event type, five minutes of quiet between them."""
+    folder = f"{shared_folder(spark)}/hot-{uuid.uuid4().hex}"
+    bursts = debounce_hot_stream(_event_stream(spark, sf_dir), ["event_type"], "ts", HOT_QUIET_MICROS)
+    writer = bursts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(bursts.schema).parquet(f"{folder}/out")
+
+
 @query
 def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that come too late, for each of three batches of a stream."""

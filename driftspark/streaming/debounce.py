@@ -62,7 +62,7 @@ def debounce_stream(
     """Sessions of a stream, each emitted once, when the watermark has passed its end.
 
     Rows later than ``delay`` behind the newest one are dropped; :class:`LateRows` counts them. The open session
-    of one key is one state row, so a hot key is not split here (:func:`debounce` splits it).
+    of one key is one state row, which every row of it goes to; :func:`debounce_hot_stream` spreads a hot key.
     """
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     return (
@@ -72,6 +72,36 @@ def debounce_stream(
     )
 
 
+def debounce_hot_stream(
+    stream: DataFrame, keys: Sequence[str], ts: str, quiet_micros: int, delay: str = "10 minutes"
+) -> DataFrame:
+    """As :func:`debounce_stream`, for streams with hot keys: two stateful operators, one behind the other.
+
+    The first folds a key's rows into buckets as wide as the quiet time, which cannot span two bursts; each is a state
+    row of its own, so the rows of one key lie on all partitions. When the watermark has passed a bucket, its one row
+    goes on to the second operator, session windows with a gap of their own length and the quiet time: the
+    open burst of a key is one state row there and takes one row for each bucket, whatever the traffic.
+
+    The second operator must not find rows late that the first one has kept back until their bucket was over,
+    so its clock is one quiet time ahead: it takes a burst from ``first`` plus the quiet time on, and a burst comes
+    out when the watermark has passed its last row by twice the quiet time. Rows are those of :func:`debounce`.
+    """
+    keys, quiet = list(keys), F.lit(quiet_micros).cast("bigint")
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    buckets = timed.groupBy(*keys, F.window(ts, f"{quiet_micros} microseconds").alias("bucket")).agg(
+        F.min(micros(F.col(ts))).alias("first"), F.max(micros(F.col(ts))).alias("last"), F.count(F.lit(1)).alias("events")
+    )
+    # The shifted time is an event time as that of the buckets is: it carries the same watermark on.
+    event_time = buckets.select(F.window_time("bucket").alias("time")).schema["time"].metadata
+    ahead = buckets.select(*keys, "first", "last", "events", F.timestamp_micros(F.col("first") + quiet).alias("due", metadata=event_time))
+    # Sessions that touch are merged; a gap of exactly the quiet time parts two bursts.
+    length = F.concat((F.col("last") - F.col("first") + quiet - 1).cast("string"), F.lit(" microseconds"))
+    bursts = ahead.groupBy(*keys, F.session_window("due", length).alias("burst")).agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events")
+    )
+    return bursts.select(*keys, "first", "last", "events")
+
+
 class LateRows:
     """Late rows of a stream as a table below ``folder``, one row per batch, so that no count is lost.
 

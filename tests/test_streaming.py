@@ -2,13 +2,14 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import endpoints_of, nodes_of, obj, rows, typ
 
 from driftspark.model import PAYLOADS_DDL
 from driftspark.operators import diff, infer, merge
 from driftspark.model import Contract
 from driftspark.session import settle
-from driftspark.streaming.debounce import LateRows, debounce, debounce_stream
+from driftspark.streaming.debounce import LateRows, debounce, debounce_hot_stream, debounce_stream
 from driftspark.streaming.drift import DriftCheck
 
 EPOCH = dt.datetime(2024, 1, 1)
@@ -133,3 +134,29 @@ def test_stream_of_one_batch_equals_the_batch_operators(spark, check, tmp_path):
     assert rows(check.changes().drop("batch")) == rows(expected)
     keep = ["path", "node_path", "type", "source"]
     assert rows(check.baseline(1), *keep) == rows(after, *keep)
+
+
+def test_hot_stream_equals_batch(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    ddl, minute = "k string, ts timestamp_ntz", 60_000
+    data = [("hot", at(rng.randrange(0, 600 * minute))) for _ in range(500)] + [("b", at(i * 7 * minute)) for i in range(60)]
+    # Gaps of exactly the quiet time and just below it, and rows on the edges of buckets.
+    data += [("edge", at(ms)) for ms in (0, 5 * minute - 1, 10 * minute - 1, 15 * minute - 2, 20 * minute, 25 * minute, 599 * minute)]
+    # Gaps of the quiet time and one microsecond less, inside a bucket run and over the edges of batches.
+    for key, gap in (("just", 300_000_000), ("below", 299_999_999)):
+        data += [(key, EPOCH + dt.timedelta(microseconds=i * gap)) for i in range(100)]
+    data.sort(key=lambda r: r[1])
+    for part in range(4):
+        write_batch(spark, src, data[part * len(data) // 4 : (part + 1) * len(data) // 4], ddl)
+        stream = spark.readStream.schema(ddl).parquet(src)
+        bursts = debounce_hot_stream(stream, ["k"], "ts", 5 * minute * 1000)
+        bursts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(out).awaitTermination()
+    batch = debounce(spark.createDataFrame(data, ddl), ["k"], "ts", 5 * minute * 1000)
+    base = int(EPOCH.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    newest = base + int((data[-1][1] - EPOCH).total_seconds() * 1000) * 1000
+    closed = batch.where(F.col("last") + 2 * 5 * minute * 1000 <= newest - 600_000_000)
+    got = spark.read.schema("k string, first bigint, last bigint, events bigint").parquet(out)
+    assert rows(got) == rows(closed.select("k", "first", "last", "events")) and got.count() > 20
