@@ -22,6 +22,11 @@ PIECE = 1 << 15
 # Single white space between two letters: every match of the pattern that contains the left letter ends
 # before it, and no match that starts at it depends on what is to its left.
 SAFE = re.compile(r"(?<=[^\W\d_])[ \n](?=[^\W\d_])")
+# Runs of white space (as Unicode has it) from this length on are not put through the pattern, whose look-ahead
+# would take a step of the stack for each of their characters. LAST are the alternatives that match such a run:
+# all of it at the end of a text, else all but its last character; no other alternative takes two blanks.
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % PIECE)
+LAST = r"\s+(?!\S)|\s+"
 
 
 @functools.lru_cache(maxsize=4)
@@ -55,11 +60,29 @@ def encode_text(text: str | None, coder) -> list[int]:
     if len(text) <= PIECE:
         return coder.encode_ordinary(text)
     ids: list[int] = []
-    for piece in pieces(text):
-        ids += coder.encode_ordinary(piece)
+    for whole, part in parted(text, BLANKS) if coder._pat_str.endswith(LAST) else [(False, text)]:
+        if whole:
+            ids += coder._encode_single_piece(part)
+        else:
+            for piece in pieces(part):
+                ids += coder.encode_ordinary(piece)
     return ids
 
 
+def parted(text: str, blanks: re.Pattern) -> Iterator[tuple[bool, str]]:
+    """``text`` in parts that are encoded one by one; True marks one that is a single match of the pattern.
+
+    Nothing that ends in front of a run of white space takes any of it, and what matches from there on does not
+    depend on what is to its left, so the cuts change no match."""
+    at = 0
+    for run in blanks.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield False, text[at : run.start()]
+        yield True, text[run.start() : end]
+        at = end
+    yield False, text[at:]
+
+
 def encode(
     docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None
 ) -> DataFrame:
@@ -80,7 +103,8 @@ def encode(
 def with_counts(
     docs: DataFrame, name: str = "n_tokens", text: str = "text", path: str | None = None, pattern: str | None = None
 ) -> DataFrame:
-    """``docs`` with ``name`` (long), the number of ids that :func:`encode` gives for the whole text."""
+    """``docs`` with ``name`` (long), the number of ids that :func:`encode` gives for the whole text: 0 for null and
+    empty ones, for each row of repeated ones. A column ``name`` that is there already is replaced."""
     ready(docs.sparkSession)
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 

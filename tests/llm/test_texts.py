@@ -48,6 +48,21 @@ def test_bpe_of_cut_texts():
         assert [i for p in parts for i in coder.encode_ordinary(p)] == coder.encode_ordinary(text)
 
 
+def test_bpe_of_runs_of_blanks():
+    coder = bpe.encoding(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
+    rng = random.Random(11)
+    short = re.compile(bpe.BLANKS.pattern.replace(str(bpe.PIECE), "4"))
+    for _ in range(300):
+        text = "".join(rng.choice([" ", "  ", "\t", "\n", "\x85", "\u3000", "\x1c", "a", "é1", "!", "'s"]) * rng.randint(1, 6) for _ in range(rng.randint(1, 12)))
+        ids = []
+        for whole, part in bpe.parted(text, short):
+            ids += coder._encode_single_piece(part) if whole else coder.encode_ordinary(part)
+        assert ids == coder.encode_ordinary(text)
+    for blank in (" ", "\t", " \n"):
+        for text in (blank * 1_000_000, "one" + blank * 1_000_000 + "two three"):
+            assert coder.decode(bpe.encode_text(text, coder)) == text
+
+
 def test_raw_bytes_need_not_be_text(spark):
     coder = bpe.encoding(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
     ids = coder.encode_ordinary("é")[:1] if len(coder.encode_ordinary("😀")) == 1 else coder.encode_ordinary("😀")[:1]
