@@ -108,3 +108,12 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string")
     plan = pii.pseudonymise(docs, "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_mentions_end_quickly(spark):
+    texts = ["x@" + "b." * 200_000, "x@" + "b." * 200_000 + "com", "a@b.com " + "c." * 100_000 + "d@e.org", "x@" + "b" * 400_000 + ".com"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = [r["m"] for r in df.select(pii.mentions(pii.F.col("text")).alias("m")).collect()]
+    assert found[0] == [] and found[2][0] == "a@b.com" and found[3] == [texts[3]]
+    labels = "x@" + "b." * 126 + "com"
+    assert [r["m"] for r in spark.createDataFrame([(labels,)], "text string").select(pii.mentions(pii.F.col("text")).alias("m")).collect()] == [[labels]]
