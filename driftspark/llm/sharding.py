@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.llm.common import numbered, table
-from driftspark.session import shared_folder
+from driftspark.session import released_shuffles, shared_folder
 
 OLD_SHARDS, NEW_SHARDS = 16, 24
 # Bytes of a row besides its text.
@@ -105,19 +105,18 @@ def affected(placed: DataFrame, old: str) -> list[int]:
     return sorted(r[0] for r in both.distinct().collect() if r[0] is not None)
 
 
-def rewrite(placed: DataFrame, old: str, folder: str) -> list[int]:
+def rewrite(placed: DataFrame, old: str, folder: str, dealt: bool = True) -> list[int]:
     """Write the affected shards of ``placed`` to ``folder/shard=N`` and leave the files of the others alone.
 
     The folders of affected shards that have no row any more are removed. ``placed`` may be read from
-    ``folder``: old files go when all new ones are written, but ``placed`` cannot be read again then. Each shard
-    is written by several tasks (rows are dealt out by range of the shard and a hash), so a large shard is no
-    single task.
+    ``folder``: old files go when all new ones are written, but ``placed`` cannot be read again then. ``dealt`` is
+    that of :func:`store`.
     """
     todo = affected(placed, old)
     if todo:
         rows = placed.filter(F.col("shard").isin(todo))
         filled = {r[0] for r in rows.select(F.col("shard").cast("int")).distinct().collect()}
-        store(rows, folder)
+        store(rows, folder, dealt)
         context = placed.sparkSession.sparkContext
         for shard in set(todo) - filled:
             path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={shard}")
@@ -125,10 +124,16 @@ def rewrite(placed: DataFrame, old: str, folder: str) -> list[int]:
     return todo
 
 
-def store(rows: DataFrame, folder: str) -> None:
-    """``rows`` as files below ``folder/shard=N``, in place of what the shards among them had."""
-    dealt = rows.withColumn("__at", F.xxhash64(*rows.columns)).repartitionByRange("shard", "__at").drop("__at")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+def store(rows: DataFrame, folder: str, dealt: bool = True) -> None:
+    """``rows`` as files below ``folder/shard=N``, in place of what the shards among them had.
+
+    With ``dealt``, rows are dealt out by range of the shard and a hash, so each shard is written by several tasks and
+    each task writes few of them; the shuffle files are given back. Without it every task writes its own rows, for
+    rows that lie by shard already."""
+    if dealt:
+        rows = rows.withColumn("__at", F.xxhash64(*rows.columns)).repartitionByRange("shard", "__at").drop("__at")
+    with released_shuffles(rows.sparkSession):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
 
 
 def reshard_files(
@@ -155,7 +160,8 @@ def reshard_files(
         first = F.struct(*(F.lit(block["first"][k]).cast(kinds[k]).alias(k) for k in keys))
         target = F.when((F.col("old_shard") == block["old_shard"]) & (key >= first), block["shard"]).otherwise(target)
     whole = keyed.withColumn("shard", target.cast("int")).drop("__size", *keys)
-    return rewrite(whole, "old_shard", folder)
+    # A task reads a part of an old shard, whose rows go to the few shards of its blocks: no rows need to be dealt out.
+    return rewrite(whole, "old_shard", folder, dealt=False)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,16 +169,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The old shards are written to the shared folder with whole texts, the affected ones are written again, and
     the rows are those of the files then."""
-    folder, schema = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", "doc_id {}, text string, old_shard int, shard int"
+    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    schema = "doc_id {}, text string, size long, text_crc32 long, old_shard int, shard int"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     schema = schema.format(docs.schema["doc_id"].dataType.simpleString())
     old = F.pmod(F.xxhash64("text"), F.lit(OLD_SHARDS)).cast("int")
-    store(docs.select("doc_id", "text", old.alias("old_shard"), old.alias("shard")), folder)
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long")
-    reshard_files(spark, folder, schema, size, OLD_SHARDS, NEW_SHARDS, [-size, F.col("doc_id"), crc])
-    files = spark.read.schema(schema).parquet(folder)
-    rows = files.select("doc_id", size.alias("size"), crc.alias("text_crc32"), "old_shard", "shard")
+    # Size and checksum are columns of the files: later steps read them, not the texts.
+    store(docs.select("doc_id", "text", size.alias("size"), crc.alias("text_crc32"), old.alias("old_shard"), old.alias("shard")), folder)
+    reshard_files(spark, folder, schema, F.col("size"), OLD_SHARDS, NEW_SHARDS, [-F.col("size"), F.col("doc_id"), F.col("text_crc32")])
+    rows = spark.read.schema(schema).parquet(folder).select("doc_id", "size", "text_crc32", "old_shard", "shard")
     return numbered(rows, "shard", [F.col("doc_id"), F.col("text_crc32")], "size", "slots").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "old_shard",
