@@ -356,6 +356,12 @@ ORACLE: dict[str, str] = {
       SELECT batch, count(*) AS rows, count(*) FILTER (us < watermark) AS late, watermark FROM e JOIN w USING (batch) GROUP BY batch, watermark""",
     "debounced_checks": f"WITH {_SESSIONS} SELECT * FROM sessions",
     "debounced_stream": f"WITH {_SESSIONS} SELECT * FROM sessions WHERE last + 1800000000 <= (SELECT max(us) FROM e) - 600000000",
+    "merge_wide_object": """WITH k AS (SELECT 'k' || o_orderkey AS node, o_orderkey % 3 AS r, CASE o_orderstatus WHEN 'O' THEN 'integer' ELSE 'string' END AS seen FROM orders),
+      m AS (SELECT '' AS node, 'object' AS type, 'sampled' AS source, NULL AS sampled_type, NULL AS note
+        UNION ALL SELECT node, seen, 'sampled', NULL, NULL FROM k WHERE r = 0
+        UNION ALL SELECT node, 'string', NULL, CASE WHEN seen <> 'string' THEN seen END,
+          CASE WHEN seen <> 'string' THEN 'Static type: string, runtime sample saw: ' || seen END FROM k WHERE r = 2)
+      SELECT 'shop' AS owner, 'wide' AS app, '/ids' AS path, * FROM m""",
     "debounced_hot_stream": """WITH e AS (SELECT event_type, epoch_us(ts) AS us FROM events),
       s AS (SELECT *, CASE WHEN us - (lag(us) OVER (PARTITION BY event_type ORDER BY us)) < 300000000 THEN 0 ELSE 1 END AS starts FROM e),
       i AS (SELECT *, sum(starts) OVER (PARTITION BY event_type ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM s),

@@ -170,6 +170,13 @@ def merge_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_nodes(once, observed).select(*_MERGED, node_text())
 
 
+@query
+def merge_wide_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 on an object keyed by ids: one mark, above as many properties as there are orders."""
+    merged = merge.merge_nodes(T.wide_nodes(spark, sf_dir, observed=False), T.wide_nodes(spark, sf_dir, observed=True))
+    return merged.select(*_MERGED, node_text())
+
+
 @query
 def sample_field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: fields that sampling adds and removes, per endpoint."""

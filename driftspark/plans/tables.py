@@ -290,6 +290,17 @@ def part_nodes(spark: SparkSession, sf_dir: str, observed: bool) -> DataFrame:
     return as_nodes(nodes)
 
 
+def wide_nodes(spark: SparkSession, sf_dir: str, observed: bool) -> DataFrame:
+    """One endpoint whose response is an object with a property for every order key, an object sampled before;
+    the code and the samples know two thirds of the keys each."""
+    orders = spread(spark, sf_dir, "orders").where(f"o_orderkey % 3 <> {1 if observed else 0}")
+    kind = "CASE WHEN o_orderstatus = 'O' THEN 'integer' ELSE 'string' END" if observed else "'string'"
+    place = "'shop' AS owner", "'wide' AS app", "'GET' AS method", "'/ids' AS path", "'response' AS location"
+    ids = orders.selectExpr(*place, "array(concat('k', cast(o_orderkey as string))) AS node_path", "'p' AS trail", f"{kind} AS type", "cast(null as string) AS source")
+    roots = orders.selectExpr(*place, "cast(array() as array<string>) AS node_path", "'' AS trail", "'object' AS type", f"{'null' if observed else repr('sampled')} AS source")
+    return as_nodes(ids.unionByName(roots.distinct()))
+
+
 def part_ctes() -> str:
     endpoint = payload_sql(ENDPOINT_OF_PART)
     return ", ".join(
