@@ -28,13 +28,14 @@ DEFAULT_EXPORT = [
 METHOD_COMPARED = r"""req\.method\s*[!=]==?\s*['"]([A-Z]+)['"]"""
 METHOD_CASE = r"""case\s+['"]([A-Z]+)['"]"""
 
-SEARCH_PARAMETER = r"""searchParams[A-Za-z0-9_$]*\s*[?!]?\.\s*get\(\s*(?:"([^"\n]*)"|'([^'\n]*)')"""
+# What follows is looked for in lexed code, where a string holds hexadecimal digits.
+SEARCH_PARAMETER = r'searchParams[A-Za-z0-9_$]*[\s)]*[?!]?\.\s*get\(\s*"([0-9A-F]*)"'
 QUERY_PROPERTY = r"(?<![A-Za-z0-9_$.])req\??\.query\??\.([A-Za-z_$][A-Za-z0-9_$]*)"
 QUERY_DESTRUCTURED = r"\{([^{}]*)\}\s*(?::[^=;]*)?=\s*req\.query(?!\s*(?:as\s|[?\[.A-Za-z0-9_$]))"
 
 # A response call; the text after it holds its arguments.
 APP_RESPONSE = r"(?:(?<![A-Za-z0-9_$])NextResponse|(?<![A-Za-z0-9_$.])Response)\.json\("
-APP_STATUS = r"(?s),\s*\{(?:[^{}]*[^{}A-Za-z0-9_$])?status\s*:\s*(\d+)\s*(?:,[^{}]*)?\}\s*,?\s*\)"
+APP_STATUS = r"(?s)\A,\s*\{(?:.*,)?\s*status\s*:\s*(\d+)\s*(?:,.*)?\}\s*\z"
 PAGES_RESPONSE = r"(?<![A-Za-z0-9_$.])res\s*(?:\.status\(([^()]*)\)\s*)?\.json\(\s*[^\s)]"
 
 
@@ -42,21 +43,20 @@ def exported_method(method: str) -> str:
     return rf"export\s+(?:async\s+)?function\s+{method}{WORD_END}|export\s+const\s+{method}\s*="
 
 
-def handler_text(method: str) -> str:
-    """From the export of ``method`` to the next export or the end of the file."""
-    return rf"(?s)(?:{exported_method(method)}).*?(?=\n\s*export\s|\z)"
+def from_export(method: str) -> str:
+    """From the export of ``method`` to the end of the file."""
+    return rf"(?s)(?:{exported_method(method)}).*"
 
 
-def plain_handler(method: str) -> str:
-    """The export is a function, an arrow function or a function expression."""
-    arrow = r"(?:async\s*)?(?:function(?![A-Za-z0-9_])|\([^)]*\)\s*(?::[^=]*)?=>|[A-Za-z_$][A-Za-z0-9_$]*\s*=>)"
-    return rf"export\s+(?:async\s+)?function\s+{method}{WORD_END}|export\s+const\s+{method}\s*=\s*{arrow}"
-
-
-def wrapped_handler(method: str) -> str:
-    return rf"export\s+const\s+{method}\s*=\s*([A-Za-z_$][A-Za-z0-9_$.]*)\s*(?:<[^>]*>)?\("
+# The export of a method, where it starts the text: a function, a function expression or an arrow function of
+# one bare name; an arrow function with a parameter list up to the opening of that list; what follows the list.
+EXPORTED_FUNCTION = r"\Aexport\s+(?:async\s+)?function(?![A-Za-z0-9_])"
+EXPORTED_EXPRESSION = r"\Aexport\s+const\s+[A-Z]+\s*=\s*(?:async\s*)?(?:function(?![A-Za-z0-9_])|[A-Za-z_$][A-Za-z0-9_$]*\s*=>)"
+EXPORTED_LIST = r"\Aexport\s+const\s+[A-Z]+\s*=\s*(?:async\s*)?(?:<[^>]*>\s*)?\("
+ARROW = r"\A\s*(?::[^=;]*)?=>"
+EXPORTED_CALL = r"\Aexport\s+const\s+[A-Z]+\s*=\s*(?!async\s*\()[A-Za-z_$][A-Za-z0-9_$.]*\s*(?:<[^>]*>)?\("
 
 
 def comment_before(start: str) -> str:
-    """From a ``/**`` to the comment end that directly precedes ``start``; may begin too early."""
-    return rf"(?s)/\*\*(.*?)\*/\s*(?:{start})"
+    """The doc comment, as lexed, that directly precedes ``start``."""
+    return rf"/\*([0-9A-F]*)\*/\s*(?:{start})"

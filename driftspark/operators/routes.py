@@ -2,7 +2,8 @@
 
 Input: ``source_files (repo, rel_path, content)``, one row per file. Everything but the stack label
 is a narrow projection of the file's own row, and paths are filtered before any content is searched.
-Signals inside handlers (R9-R12) are read with patterns, so comments and strings count as code.
+Signals inside handlers (R9-R12) are read from lexed code (``functions/lexer.py``): comments and strings are
+not code, and a handler, a parameter list and the arguments of a call end where their brackets do.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.functions import patterns as P
+from driftspark.functions.lexer import after_close, lexed, second_argument, statement, text_of
 from driftspark.model import METHODS, STACKS
 
 # Notes on endpoints whose handler cannot be read.
@@ -157,10 +159,9 @@ def first_sentence(comment: Column) -> Column:
     return F.when(text != "", F.when(sentence.endswith("."), sentence).otherwise(F.concat(sentence, F.lit("."))))
 
 
-def _comment(content: Column, start: str) -> Column:
-    found = F.regexp_extract(content, P.comment_before(start), 1)
-    nearest = F.substring_index(found, "/**", -1)
-    return F.when((nearest != "") & ~nearest.contains("*/"), nearest)
+def _comment(code: Column, start: str) -> Column:
+    found = F.regexp_extract(code, P.comment_before(start), 1)
+    return F.when(found != "", text_of(found))
 
 
 def _ints(codes: Column) -> Column:
@@ -170,37 +171,37 @@ def _ints(codes: Column) -> Column:
 
 
 def app_status_codes(handler: Column) -> Column:
-    """R10, App Router: ``{status: N}`` of each response call, 200 without one."""
+    """R10, App Router: ``{status: N}`` as second argument of each response call in lexed code, 200 without one.
+
+    A call is read up to the next response call, so one that holds another as an argument counts as 200.
+    """
     pieces = F.split(handler, P.APP_RESPONSE)
     calls = F.filter(F.slice(pieces, F.lit(2), F.size(pieces)), lambda call: ~call.rlike(r"\A\s*\)"))
 
     def code(call: Column) -> Column:
-        statement = F.element_at(F.split(call, r"\)\s*;", 2), 1)
-        found = F.regexp_extract(F.concat(statement, F.lit(")")), P.APP_STATUS, 1)
+        found = F.regexp_extract(second_argument(call), P.APP_STATUS, 1)
         return F.when(found == "", F.lit(200)).otherwise(found.try_cast("int"))
 
     return _ints(F.transform(calls, code))
 
 
-def pages_status_codes(content: Column) -> Column:
-    """R10, Pages Router: ``res.status(N).json(`` and ``res.json(``."""
-    calls = F.regexp_extract_all(content, F.lit(P.PAGES_RESPONSE), F.lit(1))
+def pages_status_codes(code: Column) -> Column:
+    """R10, Pages Router: ``res.status(N).json(`` and ``res.json(`` in lexed code."""
+    calls = F.regexp_extract_all(code, F.lit(P.PAGES_RESPONSE), F.lit(1))
     return _ints(
         F.transform(calls, lambda arg: F.when(F.trim(arg).rlike(r"^\d+$"), F.trim(arg)).otherwise("200").try_cast("int"))
     )
 
 
 def app_query_names(handler: Column) -> Column:
-    """R9, App Router: names read with ``searchParams.get``."""
-    double = F.regexp_extract_all(handler, F.lit(P.SEARCH_PARAMETER), F.lit(1))
-    single = F.regexp_extract_all(handler, F.lit(P.SEARCH_PARAMETER), F.lit(2))
-    return F.array_distinct(F.transform(double, lambda d, i: F.when(d != "", d).otherwise(F.get(single, i))))
+    """R9, App Router: names read with ``searchParams.get`` in lexed code."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(handler, F.lit(P.SEARCH_PARAMETER), F.lit(1)), text_of))
 
 
-def pages_query_names(content: Column, path: Column) -> Column:
-    """R9, Pages Router: ``req.query.name`` and destructured names, without path parameters."""
-    direct = F.regexp_extract_all(content, F.lit(P.QUERY_PROPERTY), F.lit(1))
-    lists = F.regexp_extract_all(content, F.lit(P.QUERY_DESTRUCTURED), F.lit(1))
+def pages_query_names(code: Column, path: Column) -> Column:
+    """R9, Pages Router: ``req.query.name`` and destructured names in lexed code, without path parameters."""
+    direct = F.regexp_extract_all(code, F.lit(P.QUERY_PROPERTY), F.lit(1))
+    lists = F.regexp_extract_all(code, F.lit(P.QUERY_DESTRUCTURED), F.lit(1))
     parts = F.flatten(F.transform(lists, lambda names: F.split(names, ",")))
     local = F.transform(
         parts,
@@ -215,31 +216,36 @@ def pages_query_names(content: Column, path: Column) -> Column:
 def route_signals(routes: DataFrame) -> DataFrame:
     """R9-R12 for the rows of :func:`app_routes` and :func:`pages_routes`.
 
-    An App handler is the text from its export to the next one; a Pages file shares all signals
-    among its methods.
+    An App handler is its export statement; a Pages file shares all signals among its methods. An export that
+    stands in a comment or string only has no handler. A null ``content`` has no routes and so no row here.
     """
-    content, method = F.col("content"), F.col("method")
     is_app = F.col("router_type") == "app"
+    code, begun = F.col("__code"), F.col("__begun")
+    staged = routes.withColumn("__code", lexed(F.col("content")))
+    staged = staged.withColumn("__begun", F.when(is_app, _by_method(lambda m: F.regexp_extract(code, P.from_export(m), 0))))
+    behind = after_close(F.regexp_replace(begun, P.EXPORTED_LIST, ""))
     status = F.when(
         is_app,
-        F.when(_by_method(lambda m: content.rlike(P.plain_handler(m))), "found")
-        .when(_by_method(lambda m: content.rlike(P.wrapped_handler(m))), "wrapper")
+        F.when(begun.rlike(P.EXPORTED_FUNCTION) | begun.rlike(P.EXPORTED_EXPRESSION), "found")
+        .when(F.when(begun.rlike(P.EXPORTED_LIST), behind.rlike(P.ARROW)).otherwise(False), "found")
+        .when(begun.rlike(P.EXPORTED_CALL), "wrapper")
         .otherwise("not-found"),
     ).otherwise("found")
-    handler = F.when(is_app, _by_method(lambda m: F.regexp_extract(content, P.handler_text(m), 0)))
-    staged = routes.withColumn("inferability", status).withColumn("handler", handler)
-    found = F.col("inferability") == "found"
+    staged = staged.withColumn("inferability", status)
+    staged = staged.withColumn("__handler", F.when(is_app & (F.col("inferability") == "found"), statement(begun)))
+    found, handler = F.col("inferability") == "found", F.col("__handler")
     comment = F.when(
-        is_app, _by_method(lambda m: _comment(content, P.exported_method(m)))
-    ).otherwise(_comment(content, r"export\s+default"))
+        is_app, _by_method(lambda m: _comment(code, P.exported_method(m)))
+    ).otherwise(_comment(code, r"export\s+default"))
+    staged = staged.withColumn("__comment", F.when(found, comment))
     return staged.select(
         *[c for c in routes.columns],
         "inferability",
-        F.when(found, F.when(is_app, app_query_names(F.col("handler"))).otherwise(pages_query_names(content, F.col("path"))))
+        F.when(found, F.when(is_app, app_query_names(handler)).otherwise(pages_query_names(code, F.col("path"))))
         .otherwise(F.array().cast("array<string>")).alias("query_names"),
-        F.when(found, F.when(is_app, app_status_codes(F.col("handler"))).otherwise(pages_status_codes(content)))
+        F.when(found, F.when(is_app, app_status_codes(handler)).otherwise(pages_status_codes(code)))
         .otherwise(F.array(F.lit(200))).alias("status_codes"),
-        F.when(found, first_sentence(comment)).alias("description"),
+        F.when(found, first_sentence(F.col("__comment"))).alias("description"),
         F.when(found, F.lit(None)).when(F.col("inferability") == "wrapper", WRAPPED).otherwise(NO_HANDLER).alias("note"),
     )
 

@@ -6,7 +6,7 @@ written from the rules again, mostly in a different shape (JSON walks, recursion
 
 from __future__ import annotations
 
-from driftspark.operators.routes import WRAPPED
+from driftspark.operators.routes import NO_HANDLER, WRAPPED
 from driftspark.plans import tables as T
 
 _EVENT_PAYLOADS = f"p AS (SELECT ts, {T.payload_sql(T.EVENT_PAYLOAD)} FROM events)"
@@ -207,6 +207,36 @@ signals AS (SELECT *, CASE WHEN router_type = 'app' AND p_type = 'PROMO' THEN 'w
          WHEN router_type = 'app' OR p_type = 'PROMO' THEN '200'
          ELSE (200 + p_size) || CASE p_type WHEN 'LARGE' THEN ',405' ELSE '' END END AS status_codes FROM made)"""
 
+# What each case of handler files shows, read off the cases by hand: case, method, inferability, description,
+# names, codes. ``own`` is the part's status.
+HANDLER_SIGNALS = [
+    (0, "GET", "found", 'Lists "parts".', "q", "own"),
+    (0, "PUT", "not-found", None, "", "200"),
+    (1, "POST", "found", None, "", "own"),
+    (1, "GET", "not-found", None, "", "200"),
+    (2, "GET", "found", None, "", "200,own"),
+    (3, "PUT", "found", "Second; wins.", "", "own"),
+    (4, "GET", "found", None, "page", "own"),
+    (4, "DELETE", "found", None, "", "200"),
+    (5, "GET", "found", None, 'b,it\'s, (a) "name"', "200"),
+    (6, "DELETE", "not-found", None, "", "200"),
+    (6, "POST", "wrapper", None, "", "200"),
+    (7, "GET", "found", None, "x", "200"),
+    (7, "PATCH", "found", None, "", "200"),
+]
+
+
+def _literal(value: object) -> str:
+    return "NULL" if value is None else str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"
+
+
+_HANDLERS = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in HANDLER_SIGNALS)
+_HANDLER_SIGNALS = f"""
+SELECT 'org/' || p_type AS repo, '/api/h' || p_partkey AS path, method, inferability, cast(description AS varchar) AS description,
+  CASE inferability WHEN 'wrapper' THEN '{WRAPPED}' WHEN 'not-found' THEN '{NO_HANDLER}' END AS note, query_names,
+  replace(status_codes, 'own', cast(500 + p_size AS varchar)) AS status_codes
+FROM part JOIN (VALUES {_HANDLERS}) c(k, method, inferability, description, query_names, status_codes) ON p_partkey % 8 = k"""
+
 _SPACE = "[\\s\\x{0b}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 _REFS = f"""
 words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS field FROM benchmark),
@@ -305,6 +335,7 @@ ORACLE: dict[str, str] = {
     "route_resolution": f"WITH {_ROUTES} SELECT repo, path, method, replace(path, '[id]', repo) AS resolved, "
     "CASE WHEN contains(path, '[...rest]') THEN '...rest' ELSE '' END AS missing FROM made",
     "source_signals": f"WITH {_ROUTES} SELECT repo, path, method, inferability, description, note, query_names, status_codes FROM signals",
+    "handler_signals": _HANDLER_SIGNALS,
     "broken_fields": f"{_CONTRACTS}, {_FIELD_CHANGES} SELECT owner, replace(field, 'response.', '') AS field_name, count(*) AS changes FROM field_changes "
     "WHERE change_type = 'breaking' AND field LIKE 'response.%' GROUP BY ALL",
     "consumer_refs": f"WITH {_REFS} SELECT repo, field, file, cast(line AS integer) AS line FROM refs",

@@ -366,6 +366,16 @@ def source_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def handler_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9-R12 where comments, strings, templates and brackets look like signals."""
+    return routes.route_inventory(T.handler_files(spark, sf_dir)).select(
+        "repo", "path", "method", "inferability", "description", "note",
+        F.array_join(F.array_sort("query_names"), ",").alias("query_names"),
+        F.array_join(F.array_sort("status_codes"), ",").alias("status_codes"),
+    )
+
+
 # --- impact (C1-C4) -------------------------------------------------------------------------------
 
 

@@ -338,6 +338,86 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark, sf_dir, "part").selectExpr(*payload_sql_list(FILE_OF_PART))
 
 
+# Handlers whose comments, strings, templates and brackets look like signals; ``7xx`` stands for a status of
+# the part. The rows expected of each case are stated in ``oracle.HANDLER_SIGNALS``.
+HANDLER_CASES = [
+    # 0: commented code
+    """/* export function PUT() {} */
+/** Lists "parts". Never NextResponse.json({}, { status: 410 }). */
+export async function GET(req) {
+  // return NextResponse.json({ gone: true }, { status: 411 });
+  /* const old = req.nextUrl.searchParams.get("old"); */
+  const q = req.nextUrl.searchParams.get("q"); // searchParams.get('r')
+  return NextResponse.json({ q }, { status: 7xx });
+}
+""",
+    # 1: calls in strings, a string with brackets and quotes
+    """export async function POST(req) {
+  const text = "NextResponse.json({}, { status: 412 }) } // \\" {";
+  const other = 'export async function GET() { return Response.json({}); }';
+  return NextResponse.json({ text, other, tail: "})" }, { status: 7xx });
+}
+""",
+    # 2: nested braces in both arguments, properties named status that are not the option
+    """export async function GET(req) {
+  if (!req) return NextResponse.json({ status: 413, of: { status: 414 } }, { headers: { status: "415", x: f({ status: 416 }) }, status: 7xx });
+  return Response.json(wrap([{ a: { b: [1, 2] } }], { status: 417 }));
+}
+""",
+    # 3: a helper behind the handler, and one in front
+    """function before() { return NextResponse.json({}, { status: 418 }); }
+/** First. */
+/** Second; wins. Not this. */
+export const PUT = async (req, { params = {} } = make(1)) => {
+  return NextResponse.json({ id: params.id }, { status: 7xx })
+};
+const after = (req) => NextResponse.json({ n: req.nextUrl.searchParams.get("hidden") }, { status: 419 });
+""",
+    # 4: templates and regular expressions
+    """export async function GET(req) {
+  const url = `a } ${req.nextUrl.searchParams.get('page')} searchParams.get("none") {`;
+  const clean = url.replace(/["'`({]/g, "");
+  return NextResponse.json({ clean, not: `Response.json({}, { status: 420 })` }, { status: 7xx });
+}
+export async function DELETE(req) {
+  return Response.json({ name: req.nextUrl.searchParams.get(name), it: searchParams.get(`no`) });
+}
+""",
+    # 5: a status that is no number of its own
+    """export async function GET(req) {
+  const { searchParams } = new URL(req.url);
+  const a = searchParams.get("it's, (a) \\"name\\""), b = searchParams.get('b');
+  if (a) return NextResponse.json({ a }, b ? { status: 421 } : { status: 422 });
+  if (b) return NextResponse.json({ b }, init({ status: 423 }));
+  return NextResponse.json({ a, b }, { status: "424" }, { status: 425 });
+}
+""",
+    # 6: wrapped, and an export that is only a comment
+    """// export const DELETE = async () => {};
+export const POST = withAuth(async () => NextResponse.json({}, { status: 426 }));
+""",
+    # 7: no response, arrow without a body
+    """/* Plain comment. */
+export const GET = async req => req.nextUrl
+  .searchParams.get("x");
+export async function PATCH(): Promise<{ a: { b: 1 } }> {
+  return { status: 427 };
+}
+""",
+]
+
+
+def handler_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as an App Router file of one of the cases, with a status of its own."""
+    text = F.array(*[F.lit(case) for case in HANDLER_CASES])[(F.col("p_partkey") % len(HANDLER_CASES)).cast("int")]
+    status = (F.lit(500) + F.col("p_size")).cast("string")
+    return spread(spark, sf_dir, "part").select(
+        F.concat(F.lit("org/"), "p_type").alias("repo"),
+        F.concat(F.lit("app/api/h"), F.col("p_partkey").cast("string"), F.lit("/route.ts")).alias("rel_path"),
+        F.replace(text, F.lit("7xx"), status).alias("content"),
+    )
+
+
 def duplicate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two App files and one Pages file per part that declare the same endpoint."""
     paths = "array('app/api/p{0}/route.js', 'app/api/p{0}/route.ts', 'pages/api/p{0}.ts')".replace("{0}", "', cast(p_partkey as string), '")

@@ -147,3 +147,34 @@ def test_status_numbers_are_never_replaced(spark):
     df = spark.createDataFrame([(app, pages)], "a string, p string")
     row = df.select(routes.app_status_codes(F.col("a")).alias("a"), routes.pages_status_codes(F.col("p")).alias("p")).first()
     assert (row["a"], row["p"]) == ([404, 200], [200, 1234567])
+
+
+def lex(spark, text):
+    from driftspark.functions.lexer import lexed
+
+    return spark.createDataFrame([(text,)], "t string").select(lexed(F.col("t"))).first()[0]
+
+
+@pytest.mark.parametrize("source, code", [
+    ("a // b\nc", "a  \nc"), ("a /* b\n */ c", "a \n c"), ("/**/x", " x"), ("/** d */x", "/*206420*/x"), ("a /* open", "a  "),
+    ("f('a\\'b', \"(\")", 'f("612762", "28")'), ("'open\n\"x\"", "'open\n\"78\""), ("`a(` + `b${c({d: 1})}e`", "`` + (c({d: 1}))"),
+    ("x = /[/\"](/g; y", "x = 0; y"), ("a / b / c", "a / b / c"), ("\"//\" // '", '"2F2F"  '), ("", ""), (None, None), ("\"é\"", '"C3A9"'),
+])
+def test_lexed(spark, source, code):
+    assert lex(spark, source) == code
+
+
+def test_brackets_by_depth(spark):
+    from driftspark.functions import lexer
+
+    df = spark.createDataFrame([("a(b[c])) => d", "function f(a: {b: 1}): {c: 1} {\nconst x = 1\n}\nconst y = 2", "f(x, y), {a: {b: 1, c}, d: 2}, e) + g, h")], "a string, s string, c string")
+    row = df.select(lexer.after_close(F.col("a")), lexer.statement(F.col("s")), lexer.second_argument(F.col("c"))).first()
+    assert tuple(row) == (" => d", "function f(a: {b: 1}): {c: 1} {\nconst x = 1\n}", ", {a: , d: 2}")
+    assert spark.createDataFrame([("a(b",)], "a string").select(lexer.after_close(F.col("a"))).first()[0] == ""
+
+
+def test_long_tokens_and_many_brackets(spark):
+    body = "  const a = \"" + "x\\\"(" * 100_000 + "\"; /* " + "* (" * 100_000 + " */\n" + "  f({ a: [1, (2)] }, `${b}`);\n" * 20_000
+    text = "export async function GET(req) {\n" + body + "  return Response.json({}, { status: 418 });\n}\n"
+    row = routes.route_inventory(spark.createDataFrame([("r", "app/api/x/route.ts", text)], SOURCE_FILES_DDL)).first()
+    assert (row.inferability, row.status_codes, row.query_names) == ("found", [418], [])
