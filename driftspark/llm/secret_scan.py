@@ -33,22 +33,30 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[^A-Za-z0-9]+")
 RATIO = 2.0
 
 
-def is_identifier(text: str) -> bool:
-    """Digests of known lengths, UUIDs, plain numbers, and names made of long words."""
-    if UUID.fullmatch(text) or text.isdigit() or (len(text) in DIGESTS and HEX_RUN.fullmatch(text)):
-        return True
+def is_known(text: str) -> bool:
+    """Digests of known lengths, UUIDs and plain numbers."""
+    return bool(UUID.fullmatch(text)) or text.isdigit() or (len(text) in DIGESTS and HEX_RUN.fullmatch(text) is not None)
+
+
+def efficiency(text: str, coder) -> float:
+    """Characters per token. Of a string of letters that falls into parts of four letters or more on average,
+    a possible word or compound name, each part counts as a word in lower case behind a blank, as texts have
+    it: then words lie above the ratio in any case and joined in any way, and random letters below it."""
     words = [p for p in PART.findall(text) if p[0].isalpha()]
-    return not any(c.isdigit() for c in text) and bool(words) and sum(map(len, words)) >= 4 * len(words)
+    letters = sum(map(len, words))
+    if words and letters >= 4 * len(words) and not any(c.isdigit() for c in text):
+        return letters / sum(len(coder.encode_ordinary(" " + word.lower())) for word in words)
+    return len(text) / len(coder.encode_ordinary(text))
 
 
 def random_strings(text: str, coder, ratio: float = RATIO) -> list[tuple[int, int]]:
-    """Spans of strings with under ``ratio`` characters per token that are neither digests nor identifiers."""
+    """Spans of strings with under ``ratio`` characters per token that are no known digests, UUIDs or numbers."""
     spans = []
     for match in CANDIDATE.finditer(text):
         value = match.group().strip("=-_/+")
-        if len(value) < 20 or is_identifier(value) or (value.isalpha() and value[1:] in (value[1:].lower(), value.upper()[1:])):
+        if len(value) < 20 or is_known(value):
             continue
-        if len(value) < ratio * len(coder.encode_ordinary(value)):
+        if efficiency(value, coder) < ratio:
             start = match.start() + match.group().index(value)
             spans.append((start, start + len(value)))
     return spans

@@ -172,6 +172,27 @@ def test_token_efficiency():
     assert secret_scan.random_strings("D41D8CD98F00B204E9800998ECF8427E", coder) == []
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_letters_are_found(letters):
+    coder = secret_scan.encoding(public_tokenizers.path(secret_scan.VOCABULARY), public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    values = ["".join(rng.choices(letters, k=32)) for _ in range(300)]
+    assert sum(secret_scan.random_strings(v, coder) == [(0, 32)] for v in values) >= 285
+
+
+def test_words_and_names_are_left_alone():
+    coder = secret_scan.encoding(public_tokenizers.path(secret_scan.VOCABULARY), public_tokenizers.PATTERN)
+    text = (
+        "internationalization INTERNATIONALIZATION Geschwindigkeitsbegrenzung anticonstitutionnellement desproporcionadamente "
+        "getElementsByClassName DEFAULT_CONNECTION_TIMEOUT application/x-www-form-urlencoded Rechtsschutzversicherungsgesellschaften"
+    )
+    assert secret_scan.random_strings(text, coder) == []
+
+
+def test_empty_table_has_no_spans(spark):
+    assert secret_scan.scan(frame(spark, []).limit(0)).count() == 0
+
+
 def test_redaction(spark):
     texts = ["a token=abcdefghijklmnop b", "clean text", None, ""]
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
