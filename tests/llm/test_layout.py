@@ -35,6 +35,27 @@ def test_boundaries_are_optimal():
     assert packing.boundaries([]) == []
 
 
+def test_boundaries_of_long_texts_are_optimal():
+    rng = random.Random(4)
+    for _ in range(3):
+        bars = [(x, rng.choice([1, 1, 2, 50, 1000])) for x in sorted(rng.sample(range(100_000), 300))]
+        best = [0.0] + [float("inf")] * len(bars)
+        before = [0, *itertools.accumulate(r for _, r in bars)]
+        for _ in range(16):
+            ends = range(1, len(bars) + 1)
+            best = [float("inf"), *(min(best[i] + bars[e - 1][0] * (before[e] - before[i]) for i in range(e)) for e in ends)]
+        edges = packing.boundaries(bars, 16)
+        assert sum(min(e for e in edges if e >= x) * r for x, r in bars) == best[-1]
+
+
+def test_packing_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, i * 100, f"s{i}", i) for i in range(9)], "doc_id long, n long, slot string, before int")
+    got = packing.pack(docs, "n", packing.spread("doc_id"), buckets=3, budget=500)
+    assert got.columns == ["doc_id", "n", "slot", "before", "bucket", "boundary", "batch", "position", "padding"]
+    assert sorted((r["doc_id"], r["slot"], r["before"]) for r in got.collect()) == [(i, f"s{i}", i) for i in range(9)]
+    assert packing.histogram(docs.withColumn("n", packing.F.col("n") % 300), "n").tolist() == [[0, 3], [100, 3], [200, 3]]
+
+
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i, None if i == 5 else rng.choice([0, 3, 40, 41, 300, 1000, 70000]), "x") for i in range(400)] + [(7, 3, "x"), (None, 3, "x")]
