@@ -24,20 +24,23 @@ REPEAT, MAX_COVERED, MAX_LONGEST = 6, 0.30, 100
 def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Order of the suffixes of ``codes`` (ints from 0 up), and their ranks by 1, 2, 4, ... leading words.
 
-    Prefix doubling: each round sorts by pairs of ranks; it ends as soon as all ranks differ.
+    Prefix doubling: each round sorts by pairs of ranks; it ends as soon as all ranks differ. Ranks are kept in
+    32 bits, so a text of n words takes 4 n bytes a round, n times 12 + 4 log n at the widest.
     """
     n = len(codes)
-    rank = codes.astype(np.int64)
+    rank = codes.astype(np.int32)
     levels = [rank]
     width = 1
     while True:
-        later = np.full(n, -1, np.int64)
-        later[: n - width] = rank[width:] if width < n else rank[:0]
-        pair = rank * (n + 1) + later + 1
+        pair = rank.astype(np.int64) * (n + 1)
+        pair[: max(n - width, 0)] += rank[width:] + 1
         order = np.argsort(pair, kind="stable")
         pair = pair[order]
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(np.r_[0, pair[1:] != pair[:-1]])
+        differ = np.zeros(n, bool)
+        np.not_equal(pair[1:], pair[:-1], out=differ[1:])
+        fresh = np.empty(n, np.int32)
+        fresh[order] = np.cumsum(differ, dtype=np.int32)
+        del pair
         rank, width = fresh, width * 2
         if rank[order[-1]] == n - 1 or width >= 2 * n:
             return order, levels
@@ -78,12 +81,22 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
+def repeat_spans(lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the maximal repeats of ``least`` words or more, from :func:`repeated_lengths`.
+
+    A word's length is that of the deepest interval of common prefixes that its suffix lies in. A repeat that
+    is the tail of the one at the word before is left out: that one covers it.
+    """
+    inner = np.zeros(len(lengths), bool)
+    inner[1:] = lengths[:-1] == lengths[1:] + 1
+    starts = np.flatnonzero((lengths >= least) & ~inner)
+    return starts, lengths[starts]
+
+
 def maximal_repeats(codes: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Spans (start, words) of repeated substrings of ``least`` words or more that cannot be made longer
-    on the right, nor on the left as the tail of the preceding one."""
-    lengths = repeated_lengths(codes)
-    inner = np.r_[False, lengths[:-1] == lengths[1:] + 1] if len(lengths) else lengths.astype(bool)
-    return [(int(i), int(lengths[i])) for i in np.flatnonzero((lengths >= least) & ~inner)]
+    """(start, words) of the maximal repeats of ``least`` words or more of a text."""
+    starts, lengths = repeat_spans(repeated_lengths(codes), least)
+    return list(zip(starts.tolist(), lengths.tolist()))
 
 
 def measures(text: str | None, least: int = REPEAT) -> tuple[int, int, int, int, int, int, int]:
@@ -104,15 +117,15 @@ def measures(text: str | None, least: int = REPEAT) -> tuple[int, int, int, int,
             seen.add(line)
     lengths = repeated_lengths(codes) if len(ids) < n else np.zeros(n, np.int64)
     windows = np.flatnonzero(lengths >= WINDOW)
-    repeats = np.flatnonzero(lengths >= least)
+    repeats, repeated = repeat_spans(lengths, least)
     return (
         n,
         sum(map(len, words)),
         sum(text.count(c) for c in SYMBOLS),
         duplicates,
         covered(windows, np.full(len(windows), WINDOW), n) if len(windows) else 0,
-        covered(repeats, lengths[repeats], n) if len(repeats) else 0,
-        int(lengths.max()) if len(repeats) else 0,
+        covered(repeats, repeated, n) if len(repeats) else 0,
+        int(repeated.max()) if len(repeats) else 0,
     )
 
 

@@ -119,6 +119,17 @@ def test_maximal_repeats():
     assert quality.maximal_repeats(np.array([], dtype=np.int64), 2) == []
 
 
+def test_quality_of_a_long_text():
+    import tracemalloc
+
+    tracemalloc.start()
+    got = quality.measures("a " * 1_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == (1_000_000, 1_000_000, 0, 0, 1_000_000, 1_000_000, 999_999)
+    assert peak < 250_000_000
+
+
 def test_quality_rows(spark):
     clean = " ".join(f"w{i}" for i in range(60))
     texts = [None, "", "few words", clean, "\n".join([clean] * 3), clean + " " + " ".join(f"v{i}" for i in range(40)) + " " + clean]
