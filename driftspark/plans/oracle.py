@@ -345,6 +345,18 @@ ORACLE: dict[str, str] = {
     "FROM wanted w LEFT JOIN listed r USING (repo, field) GROUP BY w.repo, w.field",
     "contract_as_of": f"WITH {_PUBLISHED} SELECT owner, app, coalesce(max(version) FILTER (version <= 3000), -1) AS found_version, "
     "CASE WHEN min(version) <= 3000 THEN 'found' ELSE 'missing' END AS status FROM published GROUP BY owner, app",
+    "payload_versions": f"""WITH {_EVENT_PAYLOADS},
+v AS (SELECT *, date_trunc('hour', ts) + INTERVAL 1 HOUR AS since FROM events WHERE value > 100
+  QUALIFY row_number() OVER (PARTITION BY since ORDER BY event_id DESC) = 1),
+met AS (SELECT p.*, v.event_id AS version, v.user_id FROM p ASOF LEFT JOIN v ON p.ts >= v.since),
+judged AS (SELECT method, path, coalesce(version, -1) AS version, status, ts, CASE
+  WHEN version IS NULL THEN 'no contract'
+  WHEN path LIKE '%/view' THEN 'unknown endpoint'
+  WHEN path LIKE '%/purchase' AND user_id % 5 = 0 THEN 'unknown status'
+  WHEN path LIKE '%/error' AND user_id % 3 = 0 THEN 'unknown status'
+  ELSE 'documented' END AS verdict FROM met)
+SELECT method, path, version, status, verdict, count(*) AS calls, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_call,
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_call FROM judged GROUP BY ALL""",
     "registry_current": f"WITH {_PUBLISHED} SELECT owner, app, version, stack, CASE WHEN stack = 'nextjs-hybrid' THEN lower(app) ELSE replace(lower(app), '-', '') END AS name FROM current",
     "registry_search": f"WITH {_PUBLISHED} SELECT owner || '/' || app AS slug, version, stack FROM current "
     "WHERE contains(lower(owner || '/' || app), 'r1') AND stack = 'nextjs-app-router'",

@@ -427,6 +427,18 @@ def contract_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def payload_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 at the time of every payload: all events against the versions that one app had, hour by hour."""
+    history = T.event_history(spark, sf_dir)
+    endpoints = history.selectExpr("owner", "app", "version", T.inline(T.EVENT_ENDPOINTS))
+    found = snapshots.undocumented(T.event_payloads(spark, sf_dir), history, endpoints)
+    return found.select(
+        "method", "path", F.coalesce("version", F.lit(-1).cast("bigint")).alias("version"), "status", "verdict", "calls",
+        stamp(F.col("first_call")).alias("first_call"), stamp(F.col("last_call")).alias("last_call"),
+    )
+
+
 @query
 def registry_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1: current version and published name of every app."""

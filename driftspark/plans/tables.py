@@ -73,6 +73,36 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark, sf_dir, "events", "ts", "event_id", "event_type", "value", "props").selectExpr("ts", "event_id", *payload_sql_list(EVENT_PAYLOAD))
 
 
+# Which events publish a version of the contract of their app, and when: several in one hour, and none before the second.
+EVENT_VERSION = {
+    "owner": "'shop'",
+    "app": "'tracker'",
+    "version": "event_id",
+    "generated_at": "date_trunc('hour', ts) + INTERVAL '1' HOUR",
+    "codes": "user_id % 3",
+    "known": "user_id % 5",
+}
+EVENT_PUBLISHES = "value > 100"
+
+
+def _event_endpoint(ordinal: str, method: str, path: str, codes: str) -> dict[str, str]:
+    return {"ordinal": ordinal, "method": f"'{method}'", "path": f"'/api/events/{path}'", "status_codes": codes}
+
+
+EVENT_ENDPOINTS = [
+    _event_endpoint("0", "GET", "click", "array(200)"),
+    _event_endpoint("1", "GET", "purchase", "CASE WHEN known = 0 THEN array(201) ELSE array(200, 201) END"),
+    _event_endpoint("2", "POST", "signup", "array(200, 422)"),
+    # The last of two endpoints of one name counts.
+    _event_endpoint("3", "DELETE", "error", "array(204)"),
+    _event_endpoint("4", "DELETE", "error", "CASE WHEN codes = 0 THEN array(200) ELSE array(404, 500) END"),
+]
+
+
+def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where(EVENT_PUBLISHES).selectExpr(*payload_sql_list(EVENT_VERSION))
+
+
 def order_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark, sf_dir, "orders").selectExpr("o_orderdate AS ts", *payload_sql_list(ORDER_PAYLOAD))
 
