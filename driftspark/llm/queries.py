@@ -6,6 +6,7 @@ from driftspark.llm.html_text import op7_html_extraction
 from driftspark.llm.lexical import OP13_SQL, op13_lexical_search
 from driftspark.llm.minhash import op3_minhash_neardup
 from driftspark.llm.neardup import op1_embedding_neardup
+from driftspark.llm.oracle import OP1_SQL, OP3_SQL, OP4_SQL, OP8_SQL
 from driftspark.llm.packing import op5_packing
 from driftspark.llm.pii import op10_pii_surrogates
 from driftspark.llm.quality import op8_quality
@@ -22,6 +23,10 @@ QUERIES = {
     )
 }
 ORACLE: dict[str, str] = {
+    "op1_embedding_neardup": OP1_SQL,
+    "op3_minhash_neardup": OP3_SQL,
+    "op4_suffix_dedup": OP4_SQL,
+    "op8_quality": OP8_SQL,
     "op11_target_resampling": OP11_SQL,
     "op12_chat_formatting": OP12_SQL,
     "op13_lexical_search": OP13_SQL,
