@@ -295,6 +295,9 @@ ORACLE: dict[str, str] = {
     "payload_type_tags": _TYPE_TAGS,
     "payload_field_types": f"WITH {_EVENT_PAYLOADS}, {_nodes('p', 'ts, path')} SELECT path, node, type, count(*) AS samples, "
     f"strftime(min(ts), {_STAMP}) AS first_seen, strftime(max(ts), {_STAMP}) AS last_seen FROM n GROUP BY path, node, type",
+    "payload_observations": f"WITH {_EVENT_PAYLOADS}, q AS (SELECT * FROM p WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-22'), "
+    f"{_nodes('q', 'ts, path')} SELECT path, node, type, count(*) AS samples, "
+    f"strftime(min(ts), {_STAMP}) AS first_seen, strftime(max(ts), {_STAMP}) AS last_seen FROM n GROUP BY path, node, type",
     "payload_nested_types": f"WITH {_ORDER_PAYLOADS}, {_nodes('p', 'owner, app')} "
     "SELECT owner, app, node, cast(depth AS integer) AS depth, type, count(*) AS samples FROM n GROUP BY ALL",
     "payload_array_items": _ARRAY_ITEMS,

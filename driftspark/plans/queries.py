@@ -18,6 +18,7 @@ from driftspark.sources import payloads as log
 from driftspark.sources import snapshots
 from driftspark.plans.workflows import contract_of_corpus
 from driftspark.sources.corpus import outside, read_corpus
+from driftspark.sources.observations import Observations
 from driftspark.streaming.debounce import LateRows, debounce, debounce_hot_stream, debounce_stream
 from driftspark.streaming.drift import DriftCheck
 
@@ -68,6 +69,18 @@ def payload_field_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def payload_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I5 from stored summaries: events in three batches that share all days, one of them run twice; a window of days."""
+    payloads = T.event_payloads(spark, sf_dir)
+    store = Observations(spark, f"{shared_folder(spark)}/observations-{uuid.uuid4().hex}")
+    for batch in (0, 1, 2, 1):
+        store.add(payloads.where(F.col("event_id") % 3 == batch), batch)
+    return store.types("2024-01-08", "2024-01-21").select(
+        "path", node_text(), "type", "samples", stamp(F.col("first_seen")).alias("first_seen"), stamp(F.col("last_seen")).alias("last_seen")
+    )
+
+
 @query
 def payload_nested_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I2 with the depth cap and I3 on nested order payloads."""
