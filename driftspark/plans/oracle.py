@@ -376,6 +376,8 @@ SELECT method, path, version, status, verdict, count(*) AS calls, strftime(min(t
     "bool_or(location = 'path' OR location = 'body' AND required) AS required FROM f GROUP BY owner, app, method, path, name) "
     f"SELECT {_ENDPOINT}, name, location, required, '{{\"type\":\"' || type || '\"' || CASE WHEN location = 'body' AND name = 'customer' "
     "THEN ',\"required\":[\"id\"],\"properties\":{\"id\":{\"type\":\"string\"}}' ELSE '' END || '}' AS schema FROM w",
+    "snapshot_tables": f"{_CONTRACTS} SELECT owner, app, location, name, type, count(*) AS nodes, count(DISTINCT path) AS endpoints "
+    "FROM all_n GROUP BY owner, app, location, name, type",
     "snapshot_documents": f"{_CONTRACTS} SELECT owner, app, location, name, type, required, CASE WHEN name = 'total' THEN 'sampled' END AS source, "
     "CASE WHEN location = 'body' AND name = '' THEN 'nowhere' END AS required_names, count(*) AS nodes, count(DISTINCT path) AS endpoints "
     "FROM all_n GROUP BY owner, app, location, name, type, required",

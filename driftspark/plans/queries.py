@@ -507,6 +507,23 @@ def tool_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.select("owner", "app", "method", "path", "name", "location", "required", "schema")
 
 
+@query
+def snapshot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract of every app written as tables in two versions, read back as a whole."""
+    root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    for new in (False, True):
+        contract = T.order_contract(spark, sf_dir, new=new, everything=True)
+        version = F.lit(int(new)).cast("bigint")
+        snapshots.write_tables(
+            Contract(contract.endpoints.withColumn("version", version), contract.nodes.withColumn("version", version)), root
+        )
+    read = snapshots.read_tables(spark, root)
+    kept = snapshots.contract_as_of(read.endpoints.select("owner", "app", "version").distinct(), read, 1)
+    return kept.nodes.groupBy("owner", "app", "location", F.coalesce("name", F.lit("")).alias("name"), "type").agg(
+        F.count(F.lit(1)).alias("nodes"), F.countDistinct("path").alias("endpoints")
+    )
+
+
 @query
 def snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract of every app written as a JSON document, read back, and flattened again."""

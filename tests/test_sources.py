@@ -1,9 +1,11 @@
 import json
+import re
 
 import pytest
 from conftest import endpoints_of, nodes_of, obj, rows, typ
 from pyspark.sql import functions as F
 
+from driftspark.model import Contract
 from driftspark.sources import corpus, payloads, snapshots
 
 DOC = {
@@ -109,3 +111,27 @@ def test_sampling_targets(spark):
     nodes = nodes_of(spark, {("GET", "/s", "response"): obj(**{"x-contract-source": "sampled"}), ("GET", "/t", "response"): obj()})
     assert payloads.sampling_targets(endpoints, nodes).count() == 2
     assert rows(payloads.sampling_targets(endpoints, nodes, sampled_only=True), "path") == [("/s",)]
+
+
+def test_tables_of_many_apps(spark, tmp_path):
+    owners = [*(f"o{i}" for i in range(30)), "007", "", None]
+    endpoints = spark.createDataFrame(
+        [(owner, f"a{n % 3}", 1, n, "GET", f"/p{n}") for owner in owners for n in range(20)],
+        "owner string, app string, version bigint, ordinal bigint, method string, path string",
+    )
+    nodes = endpoints.withColumn("node_path", F.array("path"))
+    root = str(tmp_path / "t")
+    for _ in range(2):
+        snapshots.write_tables(Contract(endpoints, nodes), root)
+    files = spark.read.parquet(f"{root}/nodes").select("owner", F.input_file_name().alias("file")).distinct()
+    # Two writes of four ranges each: an app lies in one or two files of a write, never in one per path.
+    assert files.groupBy("owner").count().agg(F.max("count")).first()[0] <= 4
+    assert rows(snapshots.read_tables(spark, root).endpoints.select(endpoints.columns)) == rows(endpoints.union(endpoints))
+    for owner in ("007", "", "o3", "nobody"):
+        one = snapshots.read_tables(spark, root, owner)
+        wanted = endpoints.where(F.col("owner") == owner)
+        assert rows(one.endpoints.select(endpoints.columns)) == rows(wanted.union(wanted))
+        plan = one.nodes._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+        assert re.search(r"PartitionFilters: \[isnotnull\(bucket#\d+\), \(bucket#\d+ = \d+\)\]", plan)
