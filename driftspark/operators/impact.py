@@ -61,6 +61,25 @@ def _whole_word(field: Column) -> Column:
 _PLAIN = "^[A-Za-z0-9_]+$"
 
 
+def _wanted(fields: DataFrame) -> DataFrame:
+    """Names with the word to look for, written, so that Spark knows their true size: names that can be broadcast meet
+    the words where these are found."""
+    names = fields.select("repo", "field").where("field <> ''").distinct()
+    return settle(names.select("repo", "field", _anchor(F.col("field")).alias("token"), (~F.col("field").rlike(_PLAIN)).alias("odd")), "wanted")
+
+
+def _mentions(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(repo, rel_path, i, field, odd) of the lines that hold the word of a name; ``i`` counts from 0."""
+    numbered = files.select("repo", "rel_path", F.posexplode(F.split("content", "\n", -1)).alias("i", "raw"))
+    tokens = F.array_distinct(F.regexp_extract_all(F.col("raw"), F.lit(_TOKEN), F.lit(0)))
+    return numbered.select("repo", "rel_path", "i", F.explode(tokens).alias("token")).join(wanted, ["repo", "token"]).drop("token")
+
+
+def _shown(raw: Column, max_text: int | None) -> Column:
+    text = F.regexp_replace(raw, f"^{_SPACE}+|{_SPACE}+$", "")
+    return text if max_text is None else F.substring(text, 1, max_text)
+
+
 def consumer_lines(files: DataFrame, fields: DataFrame, max_text: int | None = None) -> DataFrame:
     """Every (repo, field, file, line) where a field name stands as a whole word, with the line's text.
 
@@ -71,13 +90,8 @@ def consumer_lines(files: DataFrame, fields: DataFrame, max_text: int | None = N
     once more. ``max_text`` cuts the shown text to so many characters; without it, lines come whole.
     """
     files = consumer_files(files)
-    fields = fields.select("repo", "field").where("field <> ''").distinct()
-    wanted = fields.select("repo", "field", _anchor(F.col("field")).alias("token"), (~F.col("field").rlike(_PLAIN)).alias("odd"))
-    numbered = files.select("repo", "rel_path", F.posexplode(F.split("content", "\n", -1)).alias("i", "raw"))
-    tokens = F.array_distinct(F.regexp_extract_all(F.col("raw"), F.lit(_TOKEN), F.lit(0)))
     found = (
-        numbered.select("repo", "rel_path", "i", F.explode(tokens).alias("token"))
-        .join(wanted, ["repo", "token"])
+        _mentions(files, _wanted(fields))
         .groupBy("repo", "rel_path", "i")
         .agg(F.collect_list(F.struct("field", "odd")).alias("names"))
         .groupBy("repo", "rel_path")
@@ -86,8 +100,7 @@ def consumer_lines(files: DataFrame, fields: DataFrame, max_text: int | None = N
     split = F.split("content", "\n", -1)
     lines = files.join(found, ["repo", "rel_path"]).select("repo", F.col("rel_path").alias("file"), split.alias("all"), F.explode("hits").alias("h"))
     raw = lines.select("repo", "file", F.col("h.i").alias("i"), F.get("all", F.col("h.i")).alias("raw"), F.col("h.names").alias("names"))
-    text = F.regexp_replace("raw", f"^{_SPACE}+|{_SPACE}+$", "")
-    shown = raw.withColumn("text", text if max_text is None else F.substring(text, 1, max_text))
+    shown = raw.withColumn("text", _shown(F.col("raw"), max_text))
     each = shown.select("repo", F.explode("names").alias("n"), "file", (F.col("i") + 1).alias("line"), "text", "raw")
     here = ~F.col("n.odd") | (F.contains("raw", F.col("n.field")) & F.rlike(F.col("raw"), _whole_word(F.col("n.field"))))
     return each.where(here).select("repo", F.col("n.field").alias("field"), "file", "line", "text")
@@ -99,16 +112,39 @@ def consumer_refs(
     """The first ``limit`` references per (repo, field), by file and line, all with ``limit=None``.
 
     ``total`` is the number of references of the field before the limit. The rank is limited inside each task
-    before the shuffle, so a name used in a third of all lines still moves ``limit`` rows per task.
+    before the shuffle, so a name used in a third of all lines still moves ``limit`` rows per task. Words alone tell
+    where a plain name stands, so its references are counted and ranked without their texts; only the files of the
+    listed ones are read again.
     """
-    lines = consumer_lines(files, fields, max_text)
     if limit is None:
-        return lines
-    lines = settle(lines, "references")
-    first = Window.partitionBy("repo", "field").orderBy("file", "line")
-    ranked = lines.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit).drop("rank")
-    totals = lines.groupBy("repo", "field").agg(F.count(F.lit(1)).alias("total"))
-    return ranked.join(totals, ["repo", "field"])
+        return consumer_lines(files, fields, max_text)
+    files = consumer_files(files)
+    wanted = _wanted(fields)
+    # Files that share a path count once for each of them, as many times as their lines meet it.
+    shared = files.groupBy("repo", "rel_path").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    shared = settle(shared, "shared")
+    plain = _mentions(files, wanted.where("NOT odd")).join(shared, ["repo", "rel_path"], "left")
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))).alias("copy")
+    refs = plain.select("repo", "field", F.col("rel_path").alias("file"), (F.col("i") + 1).alias("line"), copy, F.lit(None).cast("string").alias("text"))
+    odd = wanted.where("odd")
+    if not odd.isEmpty():
+        confirmed = consumer_lines(files, odd, max_text)
+        refs = refs.unionByName(confirmed.withColumn("copy", F.lit(None).cast("long")))
+    refs = settle(refs, "references")
+    # Read twice, so rows that tie are equal in every column.
+    first = Window.partitionBy("repo", "field").orderBy("file", "line", "copy", "text")
+    ranked = refs.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit)
+    totals = refs.groupBy("repo", "field").agg(F.count(F.lit(1)).alias("total"))
+    listed = ranked.where("copy IS NOT NULL").groupBy("repo", F.col("file").alias("rel_path")).agg(
+        F.collect_list(F.struct("field", "rank", "line", "copy")).alias("hits")
+    )
+    lines = files.join(settle(listed, "listed"), ["repo", "rel_path"]).select(
+        "repo", F.split("content", "\n", -1).alias("all"), F.explode("hits").alias("h")
+    ).select("repo", "h.field", "h.rank", "h.copy", _shown(F.get("all", F.col("h.line") - 1), max_text).alias("text"))
+    texts = lines.groupBy("repo", "field", "rank", "copy").agg(F.array_sort(F.collect_list(F.struct("text"))).alias("texts"))
+    read = texts.select("repo", "field", "rank", F.get("texts", (F.col("copy") - 1).cast("int"))["text"].alias("read"))
+    out = ["repo", "field", "file", "line", F.coalesce("read", "text").alias("text"), "total"]
+    return ranked.join(read, ["repo", "field", "rank"], "left").join(totals, ["repo", "field"]).select(*out)
 
 
 def impact_table(fields: DataFrame, refs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from conftest import rows
 
 from driftspark.model import CHANGES_DDL, SOURCE_FILES_DDL
 from driftspark.operators import impact
+from driftspark.session import shared_folder
 
 FILES = [
     ("o/a", "src/one.ts", "const x = data.name;\n\tuse(nameOf, name_1);\r\n  name  name \n$ref a-b a-bc x.$ref"),
@@ -78,3 +79,18 @@ def test_broken_fields(spark):
          ("o", "a", "GET", "/", "body.w", "breaking", "k", 'Field "body.w" was removed'),
          ("o", "a", "GET", "/", "response", "breaking", "k", "response schema removed")], CHANGES_DDL)
     assert rows(impact.broken_fields(changes), "field_name") == [("x",), ("x.y",)]
+
+
+def test_listing_writes_no_texts_of_plain_names_and_counts_copies_of_a_file(spark):
+    body = "const a = one;\n" + "filler;\n" * 5 + "two(one)"
+    # A path that comes twice counts as before: each of its lines for every copy, with that copy's text.
+    files = spark.createDataFrame(
+        [("moved", "src/a.ts", body), ("moved", "src/b.ts", body), ("moved", "src/b.ts", body)], "repo string, rel_path string, content string"
+    )
+    fields = spark.createDataFrame([("moved", "one"), ("moved", "two"), ("moved", "two(one")], "repo string, field string")
+    every = rows(impact.consumer_lines(files, fields, 120))
+    listed = impact.consumer_refs(files, fields, limit=100)
+    assert rows(listed.drop("total")) == every
+    assert {(r["field"], r["total"]) for r in listed.collect()} == {("one", 10), ("two", 5), ("two(one", 5)}
+    written = spark.read.parquet(f"{shared_folder(spark)}/references-*").where("repo = 'moved'")
+    assert written.count() == 20 and written.where("field <> 'two(one' AND text IS NOT NULL").count() == 0
