@@ -134,6 +134,8 @@ def field_changes(
     ``alternatives=True`` compares what is a ``oneOf`` on either side by :func:`alternative_changes` instead of field
     by field. ``pairs`` is :func:`compared_endpoints`, if it is there already.
     """
+    if alternatives:
+        old, new = _hashed(old), _hashed(new)
     if pairs is None:
         pairs = compared_endpoints(old, new, None if alternatives else max_depth)
     both_sides = pairs.where("o IS NOT NULL AND n IS NOT NULL")
@@ -251,15 +253,21 @@ def field_changes(
     return rest.select(*ENDPOINT, "field", F.explode("changes").alias("c")).select(*out).unionByName(_alternative_changes(choices))
 
 
+def _hashed(contract: Contract) -> Contract:
+    """``contract`` with its structural hashes: made once, they tell both which endpoints and which alternatives differ."""
+    if contract.hashes is not None:
+        return contract
+    return Contract(contract.endpoints, contract.nodes, settle(shapes.subtree_hashes(contract.nodes), "hashes"))
+
+
 def _choices(old: Contract, new: Contract, differing: DataFrame, reached: Column) -> tuple[DataFrame, DataFrame]:
     """The alternatives of every node in reach that is a ``oneOf`` on either side and there on both, by structural
     hash, with the sides they are on; and those nodes. A node that is no ``oneOf`` has one alternative, itself."""
     keys = differing.select(*ENDPOINT)
 
     def side(contract: Contract) -> tuple[DataFrame, DataFrame]:
-        hashes = contract.hashes if contract.hashes is not None else shapes.subtree_hashes(contract.nodes)
         nodes = contract.nodes.where(F.col("location").isin(*COMPARED)).select(*NODE, "trail", "type").join(keys, ENDPOINT, "left_semi")
-        hashed = nodes.join(hashes.select(*NODE, "subtree_hash"), NODE)
+        hashed = nodes.join(contract.hashes.select(*NODE, "subtree_hash"), NODE)
         own = hashed.where(reached).select(*NODE, "type", "subtree_hash")
         options = hashed.where("trail LIKE '%o'").withColumn("node_path", parent_path(F.col("node_path")))
         return own, options.select(*NODE, "type", "subtree_hash")
@@ -302,6 +310,8 @@ def diff_contracts(
     """
     if not unique:
         old, new = last_wins(old), last_wins(new)
+    if alternatives:
+        old, new = _hashed(old), _hashed(new)
     pairs = compared_endpoints(old, new, None if alternatives else max_depth)
     none = F.array().cast("array<struct<field:string,change_type:string,kind:string,message:string>>")
     by_endpoint = _listed(pairs, F.concat(_one_sided(), F.coalesce(_codes_and_text(), none)))

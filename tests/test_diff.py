@@ -178,3 +178,14 @@ def test_few_changed_endpoints_and_stored_hashes_give_the_same(spark):
     for sides in ((old, new), kept):
         assert rows(diff.diff_contracts(*sides, max_depth=2), "path", "message") == want
         assert rows(diff.diff_contracts(*sides), "path", "message") == want[:1]
+
+
+def test_alternatives_are_hashed_once(spark, monkeypatch):
+    either = {"oneOf": [typ("string"), obj({"a": ONE})]}
+    old, new = (contract_of(spark, [("GET", "/", [200], None)], {("GET", "/", "response"): doc}) for doc in (either, typ("string")))
+    given, made = [], []
+    shaped, hashed = shapes.endpoint_shapes, shapes.subtree_hashes
+    monkeypatch.setattr(shapes, "endpoint_shapes", lambda nodes, at, hashes=None, deepest=None: given.append(hashes) or shaped(nodes, at, hashes, deepest))
+    monkeypatch.setattr(shapes, "subtree_hashes", lambda nodes: made.append(nodes) or hashed(nodes))
+    assert rows(diff.field_changes(old, new, alternatives=True), "kind", "change_type") == [("alternative_removed", N)]
+    assert len(made) == 2 and len(given) == 2 and None not in given
