@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 _COMMENT = r"/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)|//[^\n]*+"
 _STRING = r'''"(?:[^"\\\n]++|\\[\s\S])*+"|'(?:[^'\\\n]++|\\[\s\S])*+\''''
 _TEMPLATE = r"`(?:[^`\\]++|\\[\s\S])*+`"
-# A slash begins a regular expression only where an operand may stand.
-_REGEX = r"(?<=[(,=:\[!&|?{};]\s{0,4})/(?![*/])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
+# A slash begins a regular expression only where an operand may stand. The slash comes first, so that nothing is
+# looked back for at other characters.
+_REGEX = r"/(?<=[(,=:\[!&|?{};]\s{0,4}/)(?![*/])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
 TOKEN = f"{_COMMENT}|{_STRING}|{_TEMPLATE}|{_REGEX}"
 _EXPRESSION = r"\$\{((?:[^{}`]++|\{[^{}`]*+\})*+)\}"
 

@@ -6,6 +6,7 @@ from conftest import endpoints_of, nodes_of, obj, rows, typ
 from pyspark.sql import functions as F
 
 from driftspark.model import Contract
+from driftspark.session import dealt
 from driftspark.sources import corpus, payloads, snapshots
 
 DOC = {
@@ -135,3 +136,13 @@ def test_tables_of_many_apps(spark, tmp_path):
             spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
         )
         assert re.search(r"PartitionFilters: \[isnotnull\(bucket#\d+\), \(bucket#\d+ = \d+\)\]", plan)
+
+
+def test_tables_of_one_large_task_are_dealt_out(spark, tmp_path):
+    spark.range(30_000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    moved = dealt(one)
+    assert moved.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 5_000
+    assert rows(moved) == [(i,) for i in sorted(range(30_000), key=lambda i: repr((i,)))]
+    even = spark.range(0, 30_000, 1, 8)
+    assert dealt(even) is even and dealt(one, counted=False) is one
