@@ -71,10 +71,12 @@ def plan_merge(
         *_WHERE, F.col("node_path").alias("prefix"), stops.alias("stops"), F.size("node_path").alias("level"), "rule",
         F.coalesce("b.trail", "o.trail").alias("trail"), F.coalesce(F.col("b.source") == SAMPLED, F.lit(False)).alias("sampled"),
     )
-    # The hash leads the join key for a cheap sort, as in node_hash().
+    # The hash leads the join key for a cheap sort, as in node_hash(). Marks are written, so that Spark knows their true
+    # size: a few marks above very many nodes are broadcast, and the nodes do not meet in the task of one key.
     key = F.xxhash64(*_WHERE, "prefix").alias("key")
+    marks = settle(marks.select(key, "*"), "marks")
     steps = both.select("node_hash", *NODE, F.explode(prefixes(F.col("node_path"))).alias("prefix")).select(key, "*")
-    met = steps.join(marks.select(key, "*"), ["key", *_WHERE, "prefix"])
+    met = steps.join(marks, ["key", *_WHERE, "prefix"])
     above = met.groupBy("node_hash", *NODE).agg(
         F.min(F.when(F.col("stops"), F.struct("level", "rule", "trail", "sampled"))).alias("stop"),
         F.collect_list(F.when(~F.col("stops"), F.col("level"))).alias("sampled_levels"),

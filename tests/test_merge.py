@@ -3,7 +3,7 @@ import json
 import pytest
 from conftest import Contract, contract_of, endpoints_of, nodes_of, obj, rows, typ
 
-from driftspark.model import nodes_to_schema
+from driftspark.model import as_nodes, nodes_to_schema
 from driftspark.operators import merge
 
 S = {"x-contract-source": "sampled"}
@@ -212,3 +212,18 @@ def test_carry_forward_and_accept(spark):
     assert found[("GET", "/a", "response")] == known
     assert ("GET", "/z", "response") not in found
     assert {r.version for r in accepted.endpoints.collect()} == {5}
+
+
+def test_a_mark_above_many_nodes_is_broadcast(spark):
+    place = ["'o' AS owner", "'a' AS app", "'GET' AS method", "'/' AS path", "'response' AS location"]
+    ids = spark.range(20_000).selectExpr(*place, "array(concat(id, sha2(string(id), 256))) AS node_path", "'p' AS trail", "'string' AS type", "cast(null as string) AS source")
+    root = spark.range(1).selectExpr(*place, "cast(array() as array<string>) AS node_path", "'' AS trail", "'object' AS type", "'sampled' AS source")
+    nodes = as_nodes(ids.unionByName(root))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    try:
+        plan = merge.plan_merge(nodes, nodes)
+        assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+        assert plan.where("winner = 'b'").count() == 20_001
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
