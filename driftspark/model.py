@@ -90,6 +90,16 @@ def node_hash() -> Column:
     return F.xxhash64(*NODE).alias("node_hash")
 
 
+def key_hashes(name: str, *parts: Column) -> list[Column]:
+    """Two hashes, ``<name>1`` and ``<name>2``, that stand for the texts of a key where these would be shuffled with every
+    row; null where a part is, so that such rows meet nothing. Different keys share both with a probability of 2 ** -128."""
+    there = parts[0].isNotNull()
+    for part in parts[1:]:
+        there = there & part.isNotNull()
+    hashes = F.xxhash64(*parts), F.xxhash64(F.lit(name), *parts)
+    return [F.when(there, value).alias(f"{name}{i}") for i, value in enumerate(hashes, 1)]
+
+
 def is_property(trail: Column) -> Column:
     return F.substring(trail, -1, 1) == "p"
 

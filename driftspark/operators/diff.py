@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspark.model import ENDPOINT, NODE, Contract, node_hash, parent_path, prefixes
+from driftspark.model import ENDPOINT, NODE, Contract, key_hashes, parent_path, prefixes
 from driftspark.operators import shapes
 from driftspark.session import settle
 
@@ -14,6 +14,12 @@ CHANGE = [*ENDPOINT, "field", "change_type", "kind", "message"]
 # The message texts below are fixed values of the report. Path parameters are not compared.
 COMPARED = ["body", "query", "response"]
 _WHERE = [*ENDPOINT, "location"]
+_KEY = ["key1", "key2"]
+
+
+def _key() -> list[Column]:
+    """The endpoint in rows that are moved by the node: its texts come back from the pairs, a row for each endpoint."""
+    return key_hashes("key", *[F.col(name) for name in ENDPOINT])
 
 
 def last_wins(contract: Contract) -> Contract:
@@ -129,15 +135,18 @@ def field_changes(
     Endpoints of one shape on both sides (equal structural hashes; two different schemas share one with
     a probability of 2 ** -64) have no change. Where that leaves less than half of the endpoints, only the nodes of
     those are read further; otherwise taking nodes out first would cost more than it saves. One full outer join
-    on the node key finds every difference; it is keyed down to the field, so no endpoint forms a hot key.
+    on the node key finds every difference; it is keyed down to the field, so no endpoint forms a hot key. Nodes move with
+    two hashes of their endpoint in place of its texts (see :func:`driftspark.model.key_hashes`), and messages are made
+    behind the last join.
     ``max_depth=1`` compares top-level properties, more also looks into nested ones and array items.
     ``alternatives=True`` compares what is a ``oneOf`` on either side by :func:`alternative_changes` instead of field
     by field. ``pairs`` is :func:`compared_endpoints`, if it is there already.
     """
     if alternatives:
         old, new = _hashed(old), _hashed(new)
-    if pairs is None:
-        pairs = compared_endpoints(old, new, None if alternatives else max_depth)
+    if pairs is None:  # codes and descriptions are not looked at here
+        bare = [Contract(c.endpoints.select(*ENDPOINT), c.nodes, c.hashes) for c in (old, new)]
+        pairs = compared_endpoints(*bare, None if alternatives else max_depth)
     both_sides = pairs.where("o IS NOT NULL AND n IS NOT NULL")
     differing = both_sides.where("NOT (o.shape <=> n.shape)")
     matched, changed = both_sides.count(), differing.count()
@@ -149,30 +158,30 @@ def field_changes(
         rows = contract.nodes.where(compared & in_reach)
         if 2 * changed < matched:
             rows = rows.join(differing.select(*ENDPOINT), ENDPOINT, "left_semi")
-        real = rows.select(*_WHERE, "node_path", F.struct("type", "required", F.lit(False).alias("ghost")).alias(name))
+        place = [*_key(), "location"]
+        real = rows.select(*place, "node_path", F.struct("type", "required", F.lit(False).alias("ghost")).alias(name))
         ghosts = rows.where((F.size("required_names") > 0) & (F.size("node_path") < max_depth)).select(
-            *_WHERE, F.explode("required_names").alias("ghost"), "node_path"
+            *place, F.explode("required_names").alias("ghost"), "node_path"
         ).select(
-            *_WHERE, F.concat("node_path", F.array("ghost")).alias("node_path"),
+            *_KEY, "location", F.concat("node_path", F.array("ghost")).alias("node_path"),
             F.struct(F.lit(None).cast("string").alias("type"), F.lit(True).alias("required"), F.lit(True).alias("ghost")).alias(name),
         )
-        return real.unionByName(ghosts).select(node_hash(), "*")
+        return real.unionByName(ghosts)
 
-    both = side(old, "o").join(side(new, "n"), ["node_hash", *_WHERE, "node_path"], "full_outer")
+    both = side(old, "o").join(side(new, "n"), [*_KEY, "location", "node_path"], "full_outer")
     o, n = F.col("o"), F.col("n")
     at_root = F.size("node_path") == 0
 
     request = F.col("location") != "response"
     field = F.concat_ws(".", F.col("location"), F.array_join("node_path", "."))
-    both = both.withColumn("field", F.when(at_root, F.col("location")).otherwise(field))
-    field = F.col("field")
+    field = F.when(at_root, F.col("location")).otherwise(field)
 
     def change(kind: str, change_type: str | Column, message: Column) -> Column:
         level = change_type if isinstance(change_type, Column) else F.lit(change_type)
         return F.struct(F.lit(kind).alias("kind"), level.alias("change_type"), message.alias("message"))
 
     def quoted(template: str, *more: Column) -> Column:
-        return _message(template, field, *more)
+        return _message(template, F.col("field"), *more)
 
     # On a field both sides have, the type and the required flag may both have changed.
     differs = o["type"] != n["type"]
@@ -212,8 +221,8 @@ def field_changes(
         request & n["required"],
         change("required_field_added", BREAKING, quoted('Required field "%s" was added to request body')),
     ).otherwise(change("field_added", NON_BREAKING, quoted('Field "%s" was added')))
-    schema_added = change("schema_added", F.when(request, ADDITIVE).otherwise(NON_BREAKING), _message("%s schema added", field))
-    schema_removed = change("schema_removed", BREAKING, _message("%s schema removed", field))
+    schema_added = change("schema_added", F.when(request, ADDITIVE).otherwise(NON_BREAKING), _message("%s schema added", F.col("field")))
+    schema_removed = change("schema_removed", BREAKING, _message("%s schema removed", F.col("field")))
     gone, fresh = n.isNull() | n["ghost"], o.isNull() | o["ghost"]
     never = F.coalesce(gone, F.lit(False)) & F.coalesce(fresh, F.lit(False))
     one_sided = (
@@ -221,26 +230,28 @@ def field_changes(
         .when(at_root & gone, schema_removed).when(at_root & fresh, schema_added).when(gone, removed).when(fresh, added)
     )
     by_field = F.array(F.when(~at_root, by_type), F.when(~at_root, by_required), one_sided)
-    told = both.select(
-        shapes.endpoint_hash(), *_WHERE, "node_path", "field", F.array_compact(by_field).alias("changes"),
-        (gone | fresh).alias("one_sided"), F.coalesce(real_old & real_new, F.lit(False)).alias("in_both"),
-    )
+    # Whether any of them holds, told without texts.
+    flag_changed = (o["required"] & ~n["required"] & real_new) | (~o["required"] & n["required"] & real_old)
+    has_change = F.coalesce(~at_root & (differs | flag_changed), F.lit(False)) | F.coalesce(~never & (gone | fresh), F.lit(False))
+    in_both = F.coalesce(real_old & real_new, F.lit(False))
+    told = both
     if max_depth > 1:
-        told = settle(told.where((F.col("in_both") & (F.size("node_path") < max_depth)) | (F.size("changes") > 0)), "told")
+        told = settle(both.where((in_both & (F.size("node_path") < max_depth)) | has_change), "told")
     # A schema counts on an endpoint both sides have, a top-level field in a schema both sides have; the few
     # columns of the pairs tell.
-    known = differing.select(shapes.endpoint_hash(), *ENDPOINT, F.col("o.schemas").bitwiseAND(F.col("n.schemas")).alias("schemas"))
+    known = differing.select(*_key(), *ENDPOINT, F.col("o.schemas").bitwiseAND(F.col("n.schemas")).alias("schemas"))
     depth = F.size("node_path")
-    kept = told.where("size(changes) > 0").join(known, ["endpoint_hash", *ENDPOINT]).where(
-        (depth == 0) | shapes.has_schema(F.col("schemas"), F.col("location"))
-    )
+    kept = told.where(has_change).join(known, _KEY).where((depth == 0) | shapes.has_schema(F.col("schemas"), F.col("location")))
     if max_depth > 1:  # what lies deeper counts below a parent both sides have
         # The hash leads the join key for a cheap sort, as in node_hash().
-        key = F.xxhash64(*_WHERE, "parent").alias("key")
-        parents = told.where("in_both").select(*_WHERE, F.col("node_path").alias("parent")).select(key, "*")
-        deep = kept.where((depth > 1) & F.col("one_sided")).withColumn("parent", parent_path(F.col("node_path")))
-        deep = deep.select(key, "*").join(parents, ["key", *_WHERE, "parent"], "left_semi").drop("key", "parent")
-        kept = kept.where(~((depth > 1) & F.col("one_sided"))).unionByName(deep.select(*kept.columns))
+        place = [*_KEY, "location", "parent"]
+        key = F.xxhash64(*place).alias("place")
+        parents = told.where(in_both).select(*_KEY, "location", F.col("node_path").alias("parent")).select(key, "*")
+        below = (depth > 1) & (gone | fresh)
+        deep = kept.where(below).withColumn("parent", parent_path(F.col("node_path")))
+        deep = deep.select(key, "*").join(parents, ["place", *place], "left_semi").drop("place", "parent")
+        kept = kept.where(~below).unionByName(deep.select(*kept.columns))
+    kept = kept.withColumn("field", field).select(*_WHERE, "node_path", "field", F.array_compact(by_field).alias("changes"))
     out = [*ENDPOINT, "field", "c.change_type", "c.kind", "c.message"]
     if not alternatives:
         return kept.select(*ENDPOINT, "field", F.explode("changes").alias("c")).select(*out)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from conftest import Contract, contract_of, endpoints_of, nodes_of, obj, rows, typ
 
@@ -189,3 +191,24 @@ def test_alternatives_are_hashed_once(spark, monkeypatch):
     monkeypatch.setattr(shapes, "subtree_hashes", lambda nodes: made.append(nodes) or hashed(nodes))
     assert rows(diff.field_changes(old, new, alternatives=True), "kind", "change_type") == [("alternative_removed", N)]
     assert len(made) == 2 and len(given) == 2 and None not in given
+
+
+def test_nodes_move_with_hashes_of_their_endpoint(spark):
+    def version(kind):
+        return contract_of(spark, [("GET", "/a", [200], None)], {("GET", "/a", "response"): obj({"x": typ(kind)})})
+
+    changes = diff.field_changes(version("string"), version("integer"))
+    plan = changes._jdf.queryExecution().optimizedPlan().toString()
+    outer = [line for line in plan.splitlines() if "Join FullOuter" in line]
+    assert len(outer) == 1 and "key1" in outer[0]
+    assert not re.search(r"\b(owner|app|method|path)#", outer[0])
+    assert rows(changes, "path", "field", "kind") == [("/a", "response.x", "type_changed")]
+
+
+def test_a_key_with_a_null_part_has_no_hashes(spark):
+    from driftspark.model import key_hashes
+
+    texts = spark.createDataFrame([("a", None), (None, "a"), ("a", "b"), ("ab", "")], "x string, y string")
+    found = texts.select(*key_hashes("k", F.col("x"), F.col("y"))).collect()
+    assert [tuple(r) for r in found[:2]] == [(None, None)] * 2
+    assert len({*found[2], *found[3]}) == 4
