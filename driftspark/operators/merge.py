@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.model import ENDPOINT, NODE, NODE_ATTRIBUTES, Contract, as_nodes, is_property, node_hash, parent_path, prefixes
+from driftspark.model import ENDPOINT, NODE, NODE_ATTRIBUTES, Contract, as_nodes, is_property, key_hashes, node_hash, parent_path, prefixes
 from driftspark.session import settle
 
 SAMPLED = "sampled"
@@ -16,6 +16,11 @@ def _side(df: DataFrame, name: str) -> DataFrame:
     return df.select(node_hash(), *NODE, F.struct(*NODE_ATTRIBUTES).alias(name))
 
 
+def _place(name: str, path: str) -> list[Column]:
+    """A place in a schema, told by hashes: steps and what they find move without texts. Null segments count."""
+    return key_hashes(name, *[F.col(c) for c in [*_WHERE, path]], F.transform(path, lambda segment: segment.isNull()))
+
+
 def _rule(learn_empty_items: bool, widen_numbers: bool) -> Column:
     b, o = F.col("b"), F.col("o")
     same_number = F.lit(False)
@@ -47,7 +52,8 @@ def plan_merge(
     the proper prefixes of every path meet in an equi-join on (endpoint, location, prefix): a mark with very many
     nodes below it is one row on one side, so the join can be split, and nothing is gathered per schema. What
     a node finds is folded per node, at most one value for each of its levels.
-    The outer join is written once, as it is read for both sides of that join.
+    The outer join is written once, as it is read for both sides of that join. In that join nodes and marks stand under
+    hashes of their places (see :func:`driftspark.model.key_hashes`), so texts are moved with the nodes alone.
     """
     if learn_empty_items:
         options = (
@@ -59,7 +65,7 @@ def plan_merge(
     else:
         b_side = _side(baseline, "b")
     both = b_side.join(_side(observed, "o"), ["node_hash", *NODE], "full_outer")
-    both = settle(both.withColumn("rule", _rule(learn_empty_items, widen_numbers)).drop("b_alternatives"), "both")
+    both = settle(both.withColumn("rule", _rule(learn_empty_items, widen_numbers)).drop("b_alternatives", "node_hash"), "both")
 
     def holds_children(side: str) -> Column:
         node = F.col(side)
@@ -71,17 +77,17 @@ def plan_merge(
         *_WHERE, F.col("node_path").alias("prefix"), stops.alias("stops"), F.size("node_path").alias("level"), "rule",
         F.coalesce("b.trail", "o.trail").alias("trail"), F.coalesce(F.col("b.source") == SAMPLED, F.lit(False)).alias("sampled"),
     )
-    # The hash leads the join key for a cheap sort, as in node_hash(). Marks are written, so that Spark knows their true
-    # size: a few marks above very many nodes are broadcast, and the nodes do not meet in the task of one key.
-    key = F.xxhash64(*_WHERE, "prefix").alias("key")
-    marks = settle(marks.select(key, "*"), "marks")
-    steps = both.select("node_hash", *NODE, F.explode(prefixes(F.col("node_path"))).alias("prefix")).select(key, "*")
-    met = steps.join(marks, ["key", *_WHERE, "prefix"])
-    above = met.groupBy("node_hash", *NODE).agg(
+    # Marks are written, so that Spark knows their true size: a few marks above very many nodes are broadcast, and the
+    # nodes do not meet in the task of one key.
+    mark, node = ["mark1", "mark2"], ["node1", "node2"]
+    marks = settle(marks.select(*_place("mark", "prefix"), "stops", "level", "rule", "trail", "sampled"), "marks")
+    placed = both.select(*_place("node", "node_path"), "*")
+    steps = placed.select(*node, *_WHERE, F.explode(prefixes(F.col("node_path"))).alias("prefix")).select(*node, *_place("mark", "prefix"))
+    above = steps.join(marks, mark).groupBy(*node).agg(
         F.min(F.when(F.col("stops"), F.struct("level", "rule", "trail", "sampled"))).alias("stop"),
         F.collect_list(F.when(~F.col("stops"), F.col("level"))).alias("sampled_levels"),
     )
-    planned = both.join(above, ["node_hash", *NODE], "left").select(*NODE, "b", "o", "rule", "stop", "sampled_levels")
+    planned = placed.join(above, node, "left").select(*NODE, "b", "o", "rule", "stop", "sampled_levels")
 
     no_levels = F.array().cast("array<int>")
     sampled_levels = F.coalesce("sampled_levels", no_levels)

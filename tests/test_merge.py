@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from conftest import Contract, contract_of, endpoints_of, nodes_of, obj, rows, typ
@@ -227,3 +228,16 @@ def test_a_mark_above_many_nodes_is_broadcast(spark):
         assert plan.where("winner = 'b'").count() == 20_001
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_steps_and_marks_move_without_texts(spark):
+    def schema(kind):
+        return nodes_of(spark, {("GET", "/a", "response"): obj({"x": obj({"y": typ(kind)}), "z": typ("string")})})
+
+    plan = merge.plan_merge(schema("string"), schema("integer"))
+    joins = [line for line in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joins) == 2
+    assert not any(re.search(r"\b(owner|app|method|path|prefix|node_path)#", line) for line in joins)
+    assert rows(merge.merged_nodes(plan), "name", "type", "sampled_type") == [
+        ("x", "object", None), ("y", "string", "integer"), ("z", "string", None), (None, "object", None),
+    ]
