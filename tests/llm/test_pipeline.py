@@ -54,3 +54,18 @@ def test_stages_keep_the_columns(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
 
 
+
+
+def test_python_workers_get_bounded_batches(spark):
+    import pyarrow as pa
+
+    from driftspark.llm.common import ready
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    many = ready(spark).range(0, 3000, 1, 1)
+    assert max(r.n for r in many.mapInArrow(sizes, "n long").collect()) <= 1000
+    long = many.limit(400).selectExpr("repeat(cast(id as string), 20000) AS t")
+    assert max(r.n for r in long.mapInArrow(sizes, "n long").collect()) < 400
