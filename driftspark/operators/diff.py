@@ -236,12 +236,25 @@ def field_changes(
     in_both = F.coalesce(real_old & real_new, F.lit(False))
     told = both
     if max_depth > 1:
-        told = settle(both.where((in_both & (F.size("node_path") < max_depth)) | has_change), "told")
+        told = both.where((in_both & (F.size("node_path") < max_depth)) | has_change)
+    elif alternatives:
+        told = both.where(has_change)
+    if alternatives:
+        told = told.withColumn("row", F.monotonically_increasing_id())
+    if told is not both:
+        told = settle(told, "told")
     # A schema counts on an endpoint both sides have, a top-level field in a schema both sides have; the few
     # columns of the pairs tell.
     known = differing.select(*_key(), *ENDPOINT, F.col("o.schemas").bitwiseAND(F.col("n.schemas")).alias("schemas"))
     depth = F.size("node_path")
-    kept = told.where(has_change).join(known, _KEY).where((depth == 0) | shapes.has_schema(F.col("schemas"), F.col("location")))
+    own = told.where(has_change)
+    if alternatives:  # what lies at or below an alternative is not told field by field
+        choices = _choices(old, new, differing if 2 * changed < matched else None, compared & in_reach, max_depth)
+        above = F.explode(F.array_append(prefixes(F.col("node_path")), F.col("node_path"))).alias("prefix")
+        switched = choices.select(*_KEY, "location", F.col("node_path").alias("prefix"))
+        replaced = own.select("row", *_KEY, "location", above).join(switched, [*_KEY, "location", "prefix"], "left_semi")
+        own = own.join(replaced.select("row").distinct(), "row", "left_anti").drop("row")
+    kept = own.join(known, _KEY).where((depth == 0) | shapes.has_schema(F.col("schemas"), F.col("location")))
     if max_depth > 1:  # what lies deeper counts below a parent both sides have
         # The hash leads the join key for a cheap sort, as in node_hash().
         place = [*_KEY, "location", "parent"]
@@ -253,60 +266,67 @@ def field_changes(
         kept = kept.where(~below).unionByName(deep.select(*kept.columns))
     kept = kept.withColumn("field", field).select(*_WHERE, "node_path", "field", F.array_compact(by_field).alias("changes"))
     out = [*ENDPOINT, "field", "c.change_type", "c.kind", "c.message"]
-    if not alternatives:
-        return kept.select(*ENDPOINT, "field", F.explode("changes").alias("c")).select(*out)
-    choices, switched = _choices(old, new, differing, compared & in_reach)
-    above = F.explode(F.array_append(prefixes(F.col("node_path")), F.col("node_path"))).alias("prefix")
-    rows = kept.select(*_WHERE, "node_path", "field", "changes", F.monotonically_increasing_id().alias("row"))
-    rows = settle(rows, "rows")
-    replaced = rows.select("row", *_WHERE, above).join(switched.withColumnRenamed("node_path", "prefix"), [*_WHERE, "prefix"], "left_semi")
-    rest = rows.join(replaced.select("row").distinct(), "row", "left_anti")
-    return rest.select(*ENDPOINT, "field", F.explode("changes").alias("c")).select(*out).unionByName(_alternative_changes(choices))
+    by_name = kept.select(*ENDPOINT, "field", F.explode("changes").alias("c")).select(*out)
+    return by_name if not alternatives else by_name.unionByName(_alternative_changes(choices, differing))
 
 
 def _hashed(contract: Contract) -> Contract:
-    """``contract`` with its structural hashes: made once, they tell both which endpoints and which alternatives differ."""
+    """``contract`` with its structural hashes: made once, they tell both which endpoints and which alternatives differ.
+    Trails and types come along, so that nodes need not meet their hashes again."""
     if contract.hashes is not None:
         return contract
-    return Contract(contract.endpoints, contract.nodes, settle(shapes.subtree_hashes(contract.nodes), "hashes"))
-
-
-def _choices(old: Contract, new: Contract, differing: DataFrame, reached: Column) -> tuple[DataFrame, DataFrame]:
-    """The alternatives of every node in reach that is a ``oneOf`` on either side and there on both, by structural
-    hash, with the sides they are on; and those nodes. A node that is no ``oneOf`` has one alternative, itself."""
-    keys = differing.select(*ENDPOINT)
-
-    def side(contract: Contract) -> tuple[DataFrame, DataFrame]:
-        nodes = contract.nodes.where(F.col("location").isin(*COMPARED)).select(*NODE, "trail", "type").join(keys, ENDPOINT, "left_semi")
-        hashed = nodes.join(contract.hashes.select(*NODE, "subtree_hash"), NODE)
-        own = hashed.where(reached).select(*NODE, "type", "subtree_hash")
-        options = hashed.where("trail LIKE '%o'").withColumn("node_path", parent_path(F.col("node_path")))
-        return own, options.select(*NODE, "type", "subtree_hash")
+    nodes = contract.nodes.where(F.col("location").isin(*COMPARED)).withColumn("kept", F.struct("trail", "type"))
+    return Contract(contract.endpoints, contract.nodes, shapes.subtree_hashes(nodes))
 
-    (old_own, old_options), (new_own, new_options) = side(old), side(new)
-    switched = old_options.select(*NODE).union(new_options.select(*NODE)).distinct()
-    switched = settle(switched.join(old_own, NODE, "left_semi").join(new_own, NODE, "left_semi"), "switched")
 
-    def offered(own: DataFrame, options: DataFrame, name: str) -> DataFrame:
-        of = options.join(switched, NODE, "left_semi")
-        alone = own.join(switched, NODE, "left_semi").join(options.select(*NODE).distinct(), NODE, "left_anti")
-        return of.unionByName(alone).distinct().withColumn(name, F.lit(True))
-
-    shape = [*NODE, "type", "subtree_hash"]
-    # Types may be null: they are joined as text.
-    sides = [
-        df.withColumn("type", F.coalesce("type", F.lit("untyped"))) for df in (offered(old_own, old_options, "o"), offered(new_own, new_options, "n"))
-    ]
-    return sides[0].join(sides[1], shape, "full_outer"), switched
+def _choices(old: Contract, new: Contract, few: DataFrame | None, reached: Column, max_depth: int) -> DataFrame:
+    """The nodes in reach that are a ``oneOf`` on either side and there on both, with the alternatives, by structural hash,
+    that only one side has (``o`` or ``n``); a row without either stands for a node where none came or went. A node that is
+    no ``oneOf`` has one alternative, itself.
 
+    Nodes and alternatives of both sides are moved once, to the node that offers them, with hashes of their endpoint. The
+    alternatives of one node meet in one task, which may spill. ``few`` are the endpoints that differ, where they are worth taking out first.
+    """
+    place = [*_KEY, "location", "node_path"]
 
-def _alternative_changes(choices: DataFrame) -> DataFrame:
+    def side(contract: Contract, name: str) -> DataFrame:
+        hashed = contract.hashes.where(F.col("location").isin(*COMPARED) & (F.size("node_path") <= max_depth + 1))
+        if "kept" in hashed.columns:
+            hashed = hashed.select(*NODE, "kept.*", "subtree_hash")
+        else:
+            hashed = hashed.select(*NODE, "subtree_hash").join(contract.nodes.select(*NODE, "trail", "type"), NODE)
+        if few is not None:
+            hashed = hashed.join(few.select(*ENDPOINT), ENDPOINT, "left_semi")
+        own = F.when(reached, F.struct(F.col("node_path"), F.lit(False).alias("option")))
+        option = F.when(F.col("trail").like("%o"), F.struct(parent_path(F.col("node_path")).alias("node_path"), F.lit(True).alias("option")))
+        # Types may be null: they are compared as text.
+        rows = hashed.select(
+            *_key(), "location", F.coalesce("type", F.lit("untyped")).alias("type"), "subtree_hash",
+            F.explode(F.array_compact(F.array(own, option))).alias("at"),
+        ).where("key1 IS NOT NULL")
+        flags = [(F.lit(name == x) & (F.col("at.option") == y)).alias(f"{x}_{z}") for x in "on" for y, z in ((False, "own"), (True, "option"))]
+        return rows.select(*_KEY, "location", "at.node_path", "type", "subtree_hash", *flags)
+
+    flags = [f"{x}_{z}" for x in "on" for z in ("own", "option")]
+    moved = side(old, "o").unionByName(side(new, "n")).repartition(*place)
+    rows = moved.groupBy(*place, "type", "subtree_hash").agg(*(F.max(x).alias(x) for x in flags))
+    at = Window.partitionBy(*place)
+    rows = rows.select("*", *(F.max(x).over(at).alias(f"any_{x}") for x in flags), F.min("subtree_hash").over(at).alias("least"))
+    offered = [F.when(F.col(f"any_{x}_option"), F.col(f"{x}_option")).otherwise(F.col(f"{x}_own")) for x in "on"]
+    o, n = offered[0] & ~offered[1], offered[1] & ~offered[0]
+    rows = rows.where("any_o_own AND any_n_own AND (any_o_option OR any_n_option)")
+    rows = rows.select(*place, "type", o.alias("o"), n.alias("n"), (F.col("subtree_hash") == F.col("least")).alias("one"))
+    return settle(rows.where("o OR n OR one").drop("one"), "choices")
+
+
+def _alternative_changes(choices: DataFrame, differing: DataFrame) -> DataFrame:
     """Alternatives that came or went. A request that takes more, or a response that gives less, breaks no one."""
     request = F.col("location") != "response"
     field = F.when(F.size("node_path") == 0, F.col("location")).otherwise(F.concat_ws(".", "location", F.array_join("node_path", ".")))
-    gone = F.col("n").isNull()
+    gone = F.col("o")
     verb = F.when(gone, "removed").otherwise("added")
-    return choices.where("o IS NULL OR n IS NULL").select(
+    known = differing.select(*_key(), *ENDPOINT).dropDuplicates(_KEY)
+    return choices.where("o OR n").join(known, _KEY).select(
         *ENDPOINT, field.alias("field"), F.when(request == gone, BREAKING).otherwise(NON_BREAKING).alias("change_type"),
         F.concat(F.lit("alternative_"), verb).alias("kind"), _message('Alternative %s of "%s" was %s', F.col("type"), field, verb).alias("message"),
     )

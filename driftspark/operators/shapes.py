@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.model import ENDPOINT, LOCATIONS, NODE, parent_path
@@ -33,7 +33,8 @@ def _label() -> Column:
 def _level(nodes: DataFrame, depth: int) -> DataFrame:
     """Nodes of one depth: the key, the hash of what is their own and that of the label they have in their parent."""
     label = _label() if depth else F.lit(0).cast("long")
-    return nodes.where(F.size("node_path") == depth).select(*NODE, _own(), label.alias("label"))
+    kept = ["kept"] if "kept" in nodes.columns else []
+    return nodes.where(F.size("node_path") == depth).select(*NODE, *kept, _own(), label.alias("label"))
 
 
 def _sums(rows: DataFrame, key: list[str], above: DataFrame | None) -> DataFrame:
@@ -49,6 +50,17 @@ def _sums(rows: DataFrame, key: list[str], above: DataFrame | None) -> DataFrame
     return rows.select("*", zero.alias("high"), zero.alias("low"))
 
 
+def _beside(rows: DataFrame, above: DataFrame) -> DataFrame:
+    """As :func:`_sums`, but with every one of ``rows``, as they have something to keep; ``first`` tells one row of each node."""
+    given = above.groupBy(*NODE).agg(F.sum("high").alias("high"), F.sum("low").alias("low"))
+    same, zero = Window.partitionBy(*NODE), F.lit(0).cast("long")
+    return rows.join(given, NODE, "left").select(
+        *NODE, "kept", F.max("own").over(same).alias("own"), F.max("label").over(same).alias("label"),
+        F.coalesce("high", zero).alias("high"), F.coalesce("low", zero).alias("low"),
+        (F.row_number().over(same.orderBy("own")) == 1).alias("first"),
+    )
+
+
 def _levels(nodes: DataFrame, settled: bool, top: int = 0, deepest: int | None = None) -> Iterator[DataFrame]:
     """The nodes of each depth with their ``subtree_hash``, from the deepest up to ``top``.
 
@@ -59,10 +71,15 @@ def _levels(nodes: DataFrame, settled: bool, top: int = 0, deepest: int | None =
     """
     if deepest is None:
         deepest = nodes.agg(F.max(F.size("node_path"))).first()[0]
-    below = None
+    below, carried = None, "kept" in nodes.columns
     for depth in range(-1 if deepest is None else deepest, top - 1, -1):
-        rows = _sums(_level(nodes, depth), NODE, None if below is None else _given(below))
-        rows = rows.select(*NODE, "label", F.xxhash64("own", "high", "low").alias("subtree_hash"))
+        rows = _level(nodes, depth)
+        if carried and below is not None:
+            rows = _beside(rows, _given(below.where("first")))
+        else:
+            rows = _sums(rows, NODE, None if below is None else _given(below)).withColumn("first", F.lit(True))
+        more = ["kept", "first"] if carried else []
+        rows = rows.select(*NODE, *more, "label", F.xxhash64("own", "high", "low").alias("subtree_hash"))
         below = settle(rows, "shapes") if settled else rows
         yield below
 
@@ -76,11 +93,13 @@ def _given(below: DataFrame) -> DataFrame:
 def subtree_hashes(nodes: DataFrame) -> DataFrame:
     """Node key and ``subtree_hash`` of every node of one or many contracts.
 
-    To be written beside the nodes: whoever keeps them need not read nodes to see that nothing changed.
+    To be written beside the nodes: whoever keeps them need not read nodes to see that nothing changed. They are read
+    from written tables, one for each depth. A column ``kept`` of ``nodes`` comes along, with a row for every node row.
     """
-    found = nodes.select(*NODE, F.lit(0).cast("long").alias("subtree_hash")).limit(0)
+    out = [*NODE, *(["kept"] if "kept" in nodes.columns else []), "subtree_hash"]
+    found = nodes.withColumn("subtree_hash", F.lit(0).cast("long")).select(*out).limit(0)
     for level in _levels(nodes, settled=True):
-        found = found.unionByName(level.select(*NODE, "subtree_hash"))
+        found = found.unionByName(level.select(*out))
     return found
 
 

@@ -194,6 +194,23 @@ def test_alternatives_are_hashed_once(spark, monkeypatch):
     assert len(made) == 2 and len(given) == 2 and None not in given
 
 
+def test_alternatives_meet_once_at_the_node_that_offers_them(spark):
+    a, b = obj({"a": ONE}), typ("integer")
+    docs = [({"oneOf": [a, b]}, a), (obj({"x": {"oneOf": [a, b, {}]}}), obj({"x": {"oneOf": [b, a]}})), (a, obj({"a": typ("integer")}))]
+    old, new = (contract_of(spark, [("GET", f"/{i}", [200], None) for i in range(3)], {("GET", f"/{i}", "response"): d[k] for i, d in enumerate(docs)}) for k in (0, 1))
+    want = sorted([("/0", "response", "alternative_removed"), ("/1", "response.x", "alternative_removed"), ("/2", "response.a", "type_changed")])
+    found = diff.field_changes(old, new, alternatives=True)
+    assert rows(found, "path", "field", "kind") == want
+    # Nodes and hashes are not joined again: what is left are joins of changes.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 5
+    stored = [Contract(c.endpoints, c.nodes, shapes.subtree_hashes(c.nodes)) for c in (old, new)]
+    assert rows(diff.field_changes(*stored, alternatives=True), "path", "field", "kind") == want
+    twice = [Contract(c.endpoints, c.nodes.union(c.nodes)) for c in (old, new)]
+    repeated = diff.field_changes(*twice, alternatives=True).where("kind LIKE 'alternative%'")
+    assert rows(repeated, "path", "field", "kind") == want[:2]
+    assert rows(repeated, "message") == [('Alternative integer of "response" was removed',), ('Alternative untyped of "response.x" was removed',)]
+
+
 def test_nodes_move_with_hashes_of_their_endpoint(spark):
     def version(kind):
         return contract_of(spark, [("GET", "/a", [200], None)], {("GET", "/a", "response"): obj({"x": typ(kind)})})
