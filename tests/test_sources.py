@@ -138,6 +138,52 @@ def test_tables_of_many_apps(spark, tmp_path):
         assert re.search(r"PartitionFilters: \[isnotnull\(bucket#\d+\), \(bucket#\d+ = \d+\)\]", plan)
 
 
+def shuffle_files(spark):
+    """Shuffles whose files are still there."""
+    return spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+
+def test_writes_give_their_shuffle_files_back(spark, tmp_path):
+    endpoints = spark.range(40).selectExpr(
+        "'o' AS owner", "concat('a', id % 3) AS app", "1L AS version", "id AS ordinal", "'GET' AS method", "concat('/p', id) AS path"
+    )
+    documents = endpoints.groupBy("owner", "app", "version").agg(F.max("path").alias("document"))
+    before = shuffle_files(spark)
+    snapshots.write_documents(documents, str(tmp_path / "d"))
+    assert shuffle_files(spark) <= before
+    assert rows(spark.read.parquet(str(tmp_path / "d"))) == rows(documents)
+
+
+def shuffles(df):
+    """Shuffles of a result, without those that a plan uses again."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange (?:hash|range|round)", plan))
+
+
+def test_nodes_of_a_document_move_once_and_what_it_holds_is_counted_in_place(spark, tmp_path):
+    from driftspark.model import as_nodes, nodes_to_schema
+
+    nested = obj({"a": obj({"b": typ("string"), "[]": typ("integer")}, ["b", "[]"]), "l": typ("array", items=obj({"c": typ("string")}, ["c"]))}, ["a", "gone"])
+    docs = {("GET", "/", "response"): nested, ("GET", "/", "body"): obj({"x": typ("string")}, ["x"]), ("PUT", "/", "body"): typ("array")}
+    nodes = nodes_of(spark, docs)
+    written = nodes_to_schema(nodes)
+    assert {(r.method, r.path, r.location): json.loads(r.schema) for r in written.collect()} == {
+        **docs, ("GET", "/", "response"): {**nested, "required": ["a", "gone"], "properties": {
+            **nested["properties"], "a": {**nested["properties"]["a"], "required": ["[]", "b"]}}},
+        ("PUT", "/", "body"): {"type": "array", "items": {}},
+    }
+    assert shuffles(nodes_to_schema(nodes)) == 1
+    # A null in the key of a schema: its required names are told to nobody, as before.
+    nameless = nodes_to_schema(nodes.where("location = 'body' AND method = 'GET'").withColumn("owner", F.lit(None).cast("string")))
+    assert [json.loads(r.schema) for r in nameless.collect()] == [obj({"x": typ("string")})]
+    text = json.dumps({"endpoints": [{"path": "/", "method": "GET", "responseSchema": nested}]})
+    documents = spark.createDataFrame([("o", f"a{n}", 1, text) for n in range(5)], "owner string, app string, version bigint, document string")
+    snapshots.write_documents(documents, str(tmp_path / "d"))
+    plain, keyed = (snapshots.to_contract(snapshots.read_documents(spark, str(tmp_path / "d"), k), levels=3).nodes for k in ((), ["owner", "app"]))
+    assert rows(keyed) == rows(plain)
+    assert shuffles(keyed.groupBy("owner", "app", "name").agg(F.count_distinct("path"))) == 1
+
+
 def test_tables_of_one_large_task_are_dealt_out(spark, tmp_path):
     spark.range(30_000).coalesce(1).write.parquet(str(tmp_path / "one"))
     one = spark.read.parquet(str(tmp_path / "one"))
