@@ -149,6 +149,7 @@ def test_writes_give_their_shuffle_files_back(spark, tmp_path):
     )
     documents = endpoints.groupBy("owner", "app", "version").agg(F.max("path").alias("document"))
     before = shuffle_files(spark)
+    snapshots.write_tables(Contract(endpoints, endpoints.withColumn("node_path", F.array("path"))), str(tmp_path / "t"))
     snapshots.write_documents(documents, str(tmp_path / "d"))
     assert shuffle_files(spark) <= before
     assert rows(spark.read.parquet(str(tmp_path / "d"))) == rows(documents)
@@ -160,6 +161,22 @@ def shuffles(df):
     return len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange (?:hash|range|round)", plan))
 
 
+def test_versions_of_apps_and_what_is_counted_in_them_move_once(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        data = [("o", app, version, f"/{n}") for app, last in (("a", 3), ("b", 1), (None, 2)) for version in range(last + 1) for n in range(version + 1)]
+        nodes = spark.createDataFrame(data + data[:2], "owner string, app string, version bigint, path string")
+        heads = nodes.select("owner", "app", "version").distinct()
+        kept = snapshots.contract_as_of(heads, Contract(nodes, nodes), 2).nodes
+        assert rows(kept) == sorted([*[("o", "a", 2, f"/{n}") for n in range(3)], *[("o", "b", 1, f"/{n}") for n in range(2)]], key=repr)
+        none = snapshots.contract_as_of(heads, Contract(nodes, nodes), -1).nodes
+        assert none.count() == 0
+        counted = kept.groupBy("owner", "app", "version").agg(F.countDistinct("path"))
+        assert shuffles(counted) <= shuffles(kept)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+
+
 def test_nodes_of_a_document_move_once_and_what_it_holds_is_counted_in_place(spark, tmp_path):
     from driftspark.model import as_nodes, nodes_to_schema
 
